@@ -1,7 +1,8 @@
 """DuckDB SQL for the queries, written apart from the Spark code.
 
 Each entry is a final SELECT over named views; a query gets the views it needs, directly or
-through others, as common table expressions.
+through others, as common table expressions. Doubles are rounded to six places after adding 1e-9,
+here and in the queries, so that halves, which engines round differently, go the same way.
 """
 
 from __future__ import annotations
@@ -294,15 +295,15 @@ EDGE = REDEMPTION + """, giver AS "from", giver_name AS "Referrer_Name", taker_n
     taker AS "to", child AS "childId", week, novelty AS "IsNewCustomer", store AS "StoreName",
     store_id AS "StoreId", zip AS "ZipCode", n AS n_interactions, zip_code, store_key"""
 NODE = """phone AS id, name AS label, user_type, n_shares"""
-MEANS = """round(active, 6) AS active, round(freq, 6) AS mean_freq, round(gmv, 6) AS mean_gmv"""
+MEANS = """round(active + 1e-9, 6) AS active, round(freq + 1e-9, 6) AS mean_freq, round(gmv + 1e-9, 6) AS mean_gmv"""
 FINAL_STAGE = f"""phone AS phone_number, name AS user_name, n_shares, client AS client_id,
-    n_users AS n_distinct_users, round(per_user, 6) AS mean_shares_per_user, round(vir_users, 6) AS vir_users,
-    coupon, n_zips AS delivery_zipcodes, n_stores AS delivery_stores, round(vir_physical, 6) AS vir_physical,
-    n_weeks AS n_active_weeks, round(vir_temp, 6) AS vir_temp, round(k_factor, 3) AS k_factor,
-    {MEANS}, round(aov, 6) AS mean_aov, round(rate, 6) AS child_sharing_rate,
-    round(fraction, 6) AS active_child_fracc, round(score, 6) AS virality_score, stage AS user_type, stage_rank"""
+    n_users AS n_distinct_users, round(per_user + 1e-9, 6) AS mean_shares_per_user, round(vir_users + 1e-9, 6) AS vir_users,
+    coupon, n_zips AS delivery_zipcodes, n_stores AS delivery_stores, round(vir_physical + 1e-9, 6) AS vir_physical,
+    n_weeks AS n_active_weeks, round(vir_temp + 1e-9, 6) AS vir_temp, round(k_factor, 3) AS k_factor,
+    {MEANS}, round(aov + 1e-9, 6) AS mean_aov, round(rate + 1e-9, 6) AS child_sharing_rate,
+    round(fraction + 1e-9, 6) AS active_child_fracc, round(score + 1e-9, 6) AS virality_score, stage AS user_type, stage_rank"""
 SHORT_STAGE = f"""phone AS phone_number, name AS user_name, n_shares, client AS client_id, {MEANS},
-    round(aov, 6) AS mean_aov, stage AS user_type, stage_rank"""
+    round(aov + 1e-9, 6) AS mean_aov, stage AS user_type, stage_rank"""
 FINAL_EDGE = """order_id, used_at::VARCHAR AS order_utc, code AS coupon_code, client AS referrer_client_id,
     giver AS referrer_phone_number, giver_name AS referrer_name, taker_name AS referral_name,
     taker AS referral_phone_number, child AS referral_client_id, week, novelty AS is_new_customer,
@@ -317,7 +318,7 @@ FLAGS = ", ".join(
 SELECTS: dict[str, str] = {
     "redemptions": f"""SELECT {REDEMPTION}, giver AS "Referrer_num", giver_name AS "Referrer_Name",
         taker_name AS "Referral_Name", taker AS "Referral_num", child AS "childId",
-        round(total, 6) AS "GMV_after_discount", week, novelty AS "IsNewCustomer", store AS "StoreName",
+        round(total + 1e-9, 6) AS "GMV_after_discount", week, novelty AS "IsNewCustomer", store AS "StoreName",
         store_id AS "StoreId", zip AS "ZipCode" FROM v_redeemed""",
     "personal_coupons": """SELECT id AS "Id", code AS "CouponCode" FROM v_personal_code""",
     "referrer_of_coupon": """SELECT p.id AS "DiscountId", code AS "CouponCode", h.id AS "ClientId",
@@ -325,7 +326,7 @@ SELECTS: dict[str, str] = {
         FROM v_personal_code p JOIN v_shop_customer h ON upper(code) = upper(own_code)""",
     "buyer_coupon_orders": """SELECT u.order_id AS "OrderId", u.used_at::VARCHAR AS "OrderUTC",
         p.code AS "CouponCode", b.id AS "ClientId", b.username AS "Referrer_num", a.firstname AS "Referrer_Name",
-        a.firstname AS "Referral_Name", a.phone AS "Referral_num", round(o.total, 6) AS "GMV_after_discount",
+        a.firstname AS "Referral_Name", a.phone AS "Referral_num", round(o.total + 1e-9, 6) AS "GMV_after_discount",
         n.week, n.novelty AS "IsNewCustomer", s.name AS "StoreName", s.id AS "StoreId", s.zip AS "ZipCode"
         FROM v_personal_code p
         JOIN v_shop_usage u ON u.discount_id = p.id
@@ -361,7 +362,7 @@ SELECTS: dict[str, str] = {
     "csv_users": f"SELECT {NODE} FROM v_node",
     "user_client_id": """SELECT phone AS id, g.client AS "ClientId" FROM v_node LEFT JOIN v_giver_client g USING (phone)""",
     "non_sharer_client_id": """SELECT phone AS id, client AS "ClientId" FROM v_person WHERE n_shares = 0""",
-    "share_threshold": "SELECT round(mean_shares, 6) AS mean_shares FROM v_threshold",
+    "share_threshold": "SELECT round(mean_shares + 1e-9, 6) AS mean_shares FROM v_threshold",
     "sharers": f"""SELECT {NODE}, client AS "ClientId" FROM v_person WHERE n_shares > 0""",
     "non_sharers": f"""SELECT {NODE}, client AS "ClientId" FROM v_person WHERE n_shares = 0""",
     "influencers": f"""SELECT {NODE}, client AS "ClientId" FROM v_person WHERE stage = 'influencer'""",
@@ -370,7 +371,7 @@ SELECTS: dict[str, str] = {
     "intermediate_interactions": f"SELECT {EDGE} FROM v_final_edge WHERE stage = 'intermediate'",
     "distinct_users": """SELECT client AS "ClientId", count(*) AS n_distinct_users FROM v_inf_edge GROUP BY client""",
     "mean_shares": """SELECT client AS "ClientId", n_shares, n_users AS n_distinct_users,
-        round(n_shares / n_users::DOUBLE, 6) AS mean_shares_per_user
+        round(n_shares / n_users::DOUBLE + 1e-9, 6) AS mean_shares_per_user
         FROM v_person JOIN v_counted USING (client) WHERE stage = 'influencer'""",
     "client_coupon": """SELECT DISTINCT client AS "ClientId", code AS coupon FROM v_inf_edge""",
     "coupon_conflicts": """SELECT client AS "ClientId", count(DISTINCT code) AS n_coupons,
@@ -385,59 +386,59 @@ SELECTS: dict[str, str] = {
         FROM v_inf_edge GROUP BY ALL""",
     "self_interactions": """SELECT client AS "ClientId",
         coalesce(max(n) FILTER (giver = taker), 0) AS auto_interactions FROM v_edge GROUP BY client""",
-    "vir_users": """SELECT client AS "ClientId", round(vir_users, 6) AS vir_users FROM v_scaled""",
-    "vir_physical": """SELECT client AS "ClientId", round(vir_physical, 6) AS vir_physical FROM v_scaled""",
-    "vir_temp": """SELECT client AS "ClientId", round(vir_temp, 6) AS vir_temp FROM v_scaled""",
+    "vir_users": """SELECT client AS "ClientId", round(vir_users + 1e-9, 6) AS vir_users FROM v_scaled""",
+    "vir_physical": """SELECT client AS "ClientId", round(vir_physical + 1e-9, 6) AS vir_physical FROM v_scaled""",
+    "vir_temp": """SELECT client AS "ClientId", round(vir_temp + 1e-9, 6) AS vir_temp FROM v_scaled""",
     "cumulative_uses": """SELECT client AS "ClientId", day::VARCHAR AS day, n AS uses, x, y::BIGINT AS y, u0
         FROM v_use_point""",
     "virality_curve": """SELECT client AS "ClientId", x, u0, k,
-        round(CASE WHEN k = 1 THEN u0 * x ELSE u0 * (pow(k, x) - 1) / (k - 1) END, 6) + 0.0 AS predicted
+        round(CASE WHEN k = 1 THEN u0 * x ELSE u0 * (pow(k, x) - 1) / (k - 1) END + 1e-9, 6) AS predicted
         FROM v_use_point, (VALUES (0.9::DOUBLE), (1.0::DOUBLE), (1.002::DOUBLE)) AS g(k)""",
     "k_factor": """SELECT client AS "ClientId", round(k, 3) AS k_factor FROM v_use_fit""",
     "k_factor_events": """SELECT client AS "ClientId", round(k, 3) AS k_factor FROM v_event_fit""",
     "delivery_date": """SELECT order_id AS "Id", fecha::VARCHAR AS fecha FROM v_arrival""",
     "week_start": """SELECT order_id AS "Id", semana::VARCHAR AS semana, monday::VARCHAR AS monday
         FROM v_arrival JOIN v_calendar USING (fecha, monday)""",
-    "order_lines": """SELECT tienda AS storeid, cliente, sku AS "Sku", round(price::DOUBLE, 6) AS "PriceExclTax",
-        round(cost::DOUBLE, 6) AS costo, category AS categoria, category_id::BIGINT AS catid,
-        zip AS "ZipCode_tienda", round(lat, 6) AS "Latitude", round(lon, 6) AS "Longitude",
+    "order_lines": """SELECT tienda AS storeid, cliente, sku AS "Sku", round(price::DOUBLE + 1e-9, 6) AS "PriceExclTax",
+        round(cost::DOUBLE + 1e-9, 6) AS costo, category AS categoria, category_id::BIGINT AS catid,
+        zip AS "ZipCode_tienda", round(lat + 1e-9, 6) AS "Latitude", round(lon + 1e-9, 6) AS "Longitude",
         fecha::VARCHAR AS fecha, semana::VARCHAR AS semana FROM v_line""",
     "customer_lifetime": """SELECT cliente, born::VARCHAR AS nacimiento, last::VARCHAR AS ultimopedido
         FROM v_lifetime""",
     "customer_history": "SELECT cliente, skus AS skuhistoricos, cats AS catshistoricas FROM v_lifetime",
-    "weekly_customer_store": """SELECT semana::VARCHAR AS semana, tienda, cliente, round(gmv::DOUBLE, 6) AS gmv,
-        round(cost::DOUBLE, 6) AS costo, skus, zip AS "ZipCode_tienda", cats AS categorias, round(gm, 6) AS gm
+    "weekly_customer_store": """SELECT semana::VARCHAR AS semana, tienda, cliente, round(gmv::DOUBLE + 1e-9, 6) AS gmv,
+        round(cost::DOUBLE + 1e-9, 6) AS costo, skus, zip AS "ZipCode_tienda", cats AS categorias, round(gm + 1e-9, 6) AS gm
         FROM v_store_week_client""",
     "daily_order_flag": "SELECT fecha::VARCHAR AS fecha, cliente, pedido FROM v_order_day",
     "weekly_frequency": "SELECT semana::VARCHAR AS semana, cliente, n AS frecuencia FROM v_order_days",
     "store_week_customers": """SELECT semana::VARCHAR AS semana, tienda, zip AS "ZipCode_tienda",
-        round(lat, 6) AS "Latitude", round(lon, 6) AS "Longitude", clients AS clientesactivos FROM v_store_week""",
+        round(lat + 1e-9, 6) AS "Latitude", round(lon + 1e-9, 6) AS "Longitude", clients AS clientesactivos FROM v_store_week""",
     "category_flags": f"""SELECT semana::VARCHAR AS semana, cliente, {FLAGS} FROM v_line GROUP BY semana, cliente""",
     "active_flag": "SELECT cliente, active AS activo1 FROM v_activity",
     "behaviour": """SELECT semana::VARCHAR AS semana, born::VARCHAR AS nacimiento, last::VARCHAR AS ultimopedido,
-        active AS activo1, cliente, tienda, zip AS "ZipCode_tienda", round(gmv::DOUBLE, 6) AS gmv,
-        freq AS frecuencia, clients AS clientesactivos, round(lat, 6) AS "Latitude", round(lon, 6) AS "Longitude",
-        skus, cats AS categorias, round(cost::DOUBLE, 6) AS costo, round(gm, 6) AS gm,
-        all_skus AS skuhistoricos, all_cats AS catshistoricas, round(aov, 6) AS "AOV" FROM v_behaved""",
-    "client_means": f"""SELECT client AS "ClientId", {MEANS}, round(aov, 6) AS "mean_AOV" FROM v_client_mean""",
+        active AS activo1, cliente, tienda, zip AS "ZipCode_tienda", round(gmv::DOUBLE + 1e-9, 6) AS gmv,
+        freq AS frecuencia, clients AS clientesactivos, round(lat + 1e-9, 6) AS "Latitude", round(lon + 1e-9, 6) AS "Longitude",
+        skus, cats AS categorias, round(cost::DOUBLE + 1e-9, 6) AS costo, round(gm + 1e-9, 6) AS gm,
+        all_skus AS skuhistoricos, all_cats AS catshistoricas, round(aov + 1e-9, 6) AS "AOV" FROM v_behaved""",
+    "client_means": f"""SELECT client AS "ClientId", {MEANS}, round(aov + 1e-9, 6) AS "mean_AOV" FROM v_client_mean""",
     "child_sharing": """SELECT client AS "ClientId", n_children, n_sharing AS n_sharing_children,
-        round(rate, 6) AS child_sharing_rate FROM v_sharing""",
-    "child_behaviour": f"""SELECT parent AS "parent_Id", child AS cliente, {MEANS}, round(aov, 6) AS "mean_AOV"
+        round(rate + 1e-9, 6) AS child_sharing_rate FROM v_sharing""",
+    "child_behaviour": f"""SELECT parent AS "parent_Id", child AS cliente, {MEANS}, round(aov + 1e-9, 6) AS "mean_AOV"
         FROM v_child_mean""",
-    "active_child_fraction": """SELECT client AS "ClientId", round(fraction, 6) AS active_child_fracc
+    "active_child_fraction": """SELECT client AS "ClientId", round(fraction + 1e-9, 6) AS active_child_fracc
         FROM v_child_active""",
-    "parent_behaviour": f"""SELECT client AS "ClientId", {MEANS}, round(aov, 6) AS "mean_AOV" FROM v_parent_metric""",
-    "users_metrics": f"""SELECT client AS "ClientId", {MEANS}, round(aov, 6) AS "mean_AOV",
-        round(rate, 6) AS child_sharing_rate, round(fraction, 6) AS active_child_fracc, NULL::BIGINT AS cliente
+    "parent_behaviour": f"""SELECT client AS "ClientId", {MEANS}, round(aov + 1e-9, 6) AS "mean_AOV" FROM v_parent_metric""",
+    "users_metrics": f"""SELECT client AS "ClientId", {MEANS}, round(aov + 1e-9, 6) AS "mean_AOV",
+        round(rate + 1e-9, 6) AS child_sharing_rate, round(fraction + 1e-9, 6) AS active_child_fracc, NULL::BIGINT AS cliente
         FROM v_parent_metric
         UNION ALL
-        SELECT parent, {MEANS}, round(aov, 6), NULL, NULL, child FROM v_child_mean""",
+        SELECT parent, {MEANS}, round(aov + 1e-9, 6), NULL, NULL, child FROM v_child_mean""",
     "influencer_profile": f"""SELECT client AS "ClientId", phone AS id, name AS label, n_shares,
-        round(q.active, 6) AS active, round(freq, 6) AS mean_freq, round(gmv, 6) AS mean_gmv,
-        round(aov, 6) AS "mean_AOV", round(rate, 6) AS child_sharing_rate,
-        round(fraction, 6) AS active_child_fracc
+        round(q.active + 1e-9, 6) AS active, round(freq + 1e-9, 6) AS mean_freq, round(gmv + 1e-9, 6) AS mean_gmv,
+        round(aov + 1e-9, 6) AS "mean_AOV", round(rate + 1e-9, 6) AS child_sharing_rate,
+        round(fraction + 1e-9, 6) AS active_child_fracc
         FROM v_person JOIN v_parent_metric q USING (client) WHERE stage = 'influencer'""",
-    "virality_score": """SELECT client AS "ClientId", round(score, 6) AS virality_score
+    "virality_score": """SELECT client AS "ClientId", round(score + 1e-9, 6) AS virality_score
         FROM v_scored WHERE stage = 'influencer'""",
     "influencer_ranking": f"SELECT {FINAL_STAGE} FROM v_final_stage WHERE stage = 'influencer'",
     "intermediate_users": f"SELECT {SHORT_STAGE} FROM v_final_stage WHERE stage = 'intermediate'",
@@ -446,10 +447,10 @@ SELECTS: dict[str, str] = {
     "user_interactions": f"SELECT {FINAL_EDGE} FROM v_final_edge",
     "sink_user_stages": f"SELECT {FINAL_STAGE} FROM v_final_stage",
     "sink_user_interactions": f"SELECT {FINAL_EDGE} FROM v_final_edge",
-    "mape": """SELECT event_type, round(100 * avg(abs((t - p) / t)), 6) AS mape FROM v_forecast WHERE t <> 0
+    "mape": """SELECT event_type, round(100 * avg(abs((t - p) / t)) + 1e-9, 6) AS mape FROM v_forecast WHERE t <> 0
         GROUP BY event_type""",
     "mape_shifted": """SELECT event_type,
-        round(100 * avg(CASE WHEN t = 0 THEN abs(1 - (p + 1)) ELSE abs((t - p) / t) END), 6) AS mape
+        round(100 * avg(CASE WHEN t = 0 THEN abs(1 - (p + 1)) ELSE abs((t - p) / t) END) + 1e-9, 6) AS mape
         FROM v_forecast GROUP BY event_type""",
 }
 

@@ -1,7 +1,7 @@
 """Every operator as a query on the shared test tables.
 
 Results are made comparable across engines at the very end: dates and times as text, money
-as doubles, doubles rounded to six places, integers as 64-bit.
+as doubles, doubles rounded to six places (halves up, see checks.oracle), integers as 64-bit.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def comparable(df: DataFrame) -> DataFrame:
         if isinstance(kind, (T.DateType, T.TimestampNTZType, T.TimestampType)):
             column = column.cast("string")
         elif isinstance(kind, (T.DoubleType, T.DecimalType)):
-            column = F.round(column.cast("double"), 6)
+            column = F.round(column.cast("double") + 1e-9, 6)
         elif isinstance(kind, T.IntegerType):
             column = column.cast("bigint")
         columns.append(column.alias(field.name))

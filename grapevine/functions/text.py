@@ -57,4 +57,4 @@ def name_similarity(left: str, right: str) -> Column:
             ]
             yield pd.Series(shares, dtype="float64")
 
-    return F.pandas_udf(similarity, T.DoubleType(), F.PandasUDFType.SCALAR_ITER)(left, right)
+    return F.pandas_udf(similarity, T.DoubleType())(left, right)

@@ -30,11 +30,10 @@ def child_sharing(edges: DataFrame, client_edges: DataFrame) -> DataFrame:
     """
     sharing = edges.groupBy(_phone("from").alias("phone")).agg(F.count_distinct("ClientId").alias("n_sharing"))
     invited = client_edges.groupBy("ClientId", _phone("to").alias("phone")).agg(
-        F.max(_to_self().cast("int")).alias("is_self"), F.min("OrderId").alias("OrderId")
-    )
-    second_hop = balanced_join(
-        invited, sharing, ["phone"], spread=["ClientId"], how="left", probe=client_edges.select("ClientId", _phone("to").alias("phone"))
+        F.max(_to_self().cast("int")).alias("is_self")
     )
+    uses = client_edges.select("ClientId", _phone("to").alias("phone"))
+    second_hop = balanced_join(invited, sharing, ["phone"], spread=["ClientId"], how="left", probe=uses)
     counts = second_hop.groupBy("ClientId").agg(
         (F.count(F.lit(1)) - F.max("is_self")).alias("n_children"),
         (F.sum(F.coalesce("n_sharing", F.lit(0))) - F.max("is_self")).alias("n_sharing_children"),
@@ -52,10 +51,10 @@ def children(client_edges: DataFrame) -> DataFrame:
     has_self = client_edges.groupBy(F.col("ClientId").alias("parent_Id")).agg(
         F.max(_to_self().cast("int")).alias("has_self")
     )
-    pairs = client_edges.select(F.col("ClientId").alias("parent_Id"), F.col("childId").alias("cliente")).distinct()
+    uses = client_edges.select(F.col("ClientId").alias("parent_Id"), F.col("childId").alias("cliente"))
     own = F.col("cliente") == F.col("parent_Id")
     return (
-        balanced_join(pairs, has_self, ["parent_Id"], spread=["cliente"], probe=pairs)
+        balanced_join(uses.distinct(), has_self, ["parent_Id"], spread=["cliente"], probe=uses)
         .where(~(own & (F.col("has_self") == 1)))
         .select("parent_Id", "cliente")
     )
@@ -68,7 +67,8 @@ def child_behaviour(client_edges: DataFrame, means: DataFrame) -> DataFrame:
     invited. Customers without orders are left out.
     """
     per_child = means.withColumnRenamed("ClientId", "cliente")
-    return balanced_join(children(client_edges), per_child, ["cliente"], spread=["parent_Id"], probe=client_edges.select(F.col("childId").alias("cliente"), F.col("ClientId").alias("parent_Id"))).select(
+    uses = client_edges.select(F.col("childId").alias("cliente"), F.col("ClientId").alias("parent_Id"))
+    return balanced_join(children(client_edges), per_child, ["cliente"], spread=["parent_Id"], probe=uses).select(
         "parent_Id", "cliente", "active", "mean_freq", "mean_gmv", "mean_AOV"
     )
 

@@ -42,11 +42,11 @@ def order_lines(tables: ShopTables, rules: Rules) -> DataFrame:
     heads = balanced_join(heads, addresses, ["BillingAddressId"], spread=["OrderId"], probe=head_keys)
     heads = balanced_join(heads, stores, ["storeid"], spread=["OrderId"], probe=head_keys)
 
-    goods = (
-        tables.product.select(F.col("Id").alias("ProductId"), "Sku")
-        .join(tables.product_category.select("ProductId", F.col("CategoryId").alias("catid")), "ProductId")
-        .join(tables.category.select(F.col("Id").alias("catid"), F.col("Name").alias("categoria")), "catid")
-    )
+    # Few categories share all products, so their names are joined with the same care.
+    categories = tables.category.select(F.col("Id").alias("catid"), F.col("Name").alias("categoria"))
+    filed = tables.product_category.select("ProductId", F.col("CategoryId").alias("catid"))
+    named = balanced_join(filed, categories, ["catid"], spread=["ProductId"])
+    goods = named.join(tables.product.select(F.col("Id").alias("ProductId"), "Sku"), "ProductId")
     items = tables.order_item.select(
         "OrderId",
         "ProductId",
@@ -92,14 +92,17 @@ def customer_history(lines: DataFrame) -> DataFrame:
 
 
 def weekly_customer_store(lines: DataFrame) -> DataFrame:
-    """Spend, cost, margin and breadth per week, store and customer."""
+    """Spend, cost, margin and breadth per week, store and customer.
+
+    The postal code belongs to the store; as a grouping column it keeps text out of the
+    aggregate, which Spark can then hash instead of sort.
+    """
     return (
-        lines.groupBy("semana", F.col("storeid").alias("tienda"), "cliente")
+        lines.groupBy("semana", F.col("storeid").alias("tienda"), "cliente", "ZipCode_tienda")
         .agg(
             F.sum("PriceExclTax").alias("gmv"),
             F.sum("costo").alias("costo"),
             F.count_distinct("Sku").alias("skus"),
-            F.min("ZipCode_tienda").alias("ZipCode_tienda"),
             F.count_distinct("categoria").alias("categorias"),
         )
         .withColumn("gm", ratio(F.col("gmv") - F.col("costo"), F.col("gmv")))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SALTS = 64  # tasks that share one hot key
-HOT_KEYS = 1000  # keys treated as hot: the heaviest ones of the probed rows
+HOT_ROWS = 1_000_000  # a key with fewer rows overloads no task
+HOT_KEYS = 1000  # at most this many keys are salted, the heaviest ones
 PROBE_EVERY = 64  # one in this many rows is counted to find them
 
 
@@ -45,21 +46,20 @@ def hot_keys(
     keys: Sequence[str],
     spread: Sequence[str],
     every: int = PROBE_EVERY,
-    limit: int = HOT_KEYS,
-) -> DataFrame:
-    """Hashes of the heaviest keys, at most ``limit`` rows, found by counting one row in ``every``.
+    rows: int = HOT_ROWS,
+) -> list[int]:
+    """Hashes of the heaviest keys, HOT_KEYS numbers at most, from a count of one row in ``every``.
 
-    Only the placement of rows depends on this list, never the result: a key that is missing
-    here is joined unsalted.
+    Only the placement of rows depends on this list, never the result: a key missing here is
+    joined unsalted, and as one of the lighter keys it holds less than one row in HOT_KEYS.
     """
-    return (
+    counted = (
         probe.where(F.pmod(_same_on_every_run(spread), F.lit(every)) == 0)
-        .groupBy(_same_on_every_run(keys).alias("_key"))
+        .groupBy(_same_on_every_run(keys).alias("key"))
         .count()
-        .orderBy(F.desc("count"), "_key")
-        .limit(limit)
-        .select("_key", F.lit(True).alias("_hot"))
+        .where(F.col("count") * every >= rows)
     )
+    return [row.key for row in counted.orderBy(F.desc("count"), "key").limit(HOT_KEYS).collect()]
 
 
 def balanced_join(
@@ -71,35 +71,27 @@ def balanced_join(
     probe: DataFrame | None = None,
     salts: int = SALTS,
     every: int = PROBE_EVERY,
+    rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``big.join(small, keys, how)`` (inner, left or left_semi) with hot keys spread out.
 
-    Where ``may_be_skewed`` rules a hot task out, this is the plain join. Otherwise the rows
-    of a hot key in ``big`` are dealt over ``salts`` tasks by a hash of the ``spread``
-    columns, and the matching rows of ``small`` are repeated once per task; all other keys
-    join as they are. ``probe`` is a cheap frame with the key and spread columns to look for
-    hot keys in, ``big`` itself by default. The list of hot keys has at most HOT_KEYS rows,
-    so broadcasting it is safe at any data size.
+    Where ``may_be_skewed`` rules a hot task out, or no key turns out hot, this is the plain
+    join. Otherwise the rows of a hot key in ``big`` are dealt over ``salts`` tasks by a hash
+    of the ``spread`` columns, and the matching rows of ``small`` are repeated once per task;
+    all other keys join as they are. ``probe`` is a cheap frame with the key and spread
+    columns to look for hot keys in, ``big`` itself by default. Looking runs a job; its
+    result is the same constant list for both sides, whatever is recomputed later.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"cannot balance a {how!r} join")
     keys = list(keys)
     probe = big if probe is None else probe
-    if not may_be_skewed(probe, small):
+    hot = hot_keys(probe, keys, spread, every, rows) if may_be_skewed(probe, small) else []
+    if not hot:
         return big.join(small, keys, how)
-    hot = F.broadcast(hot_keys(probe, keys, spread, every))
-
-    def flagged(df: DataFrame) -> DataFrame:
-        return df.withColumn("_key", _same_on_every_run(keys)).join(hot, "_key", "left")
-
-    dealt = flagged(big).withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(_same_on_every_run(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int"),
-    )
-    repeated = flagged(small).withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ),
-    )
-    return dealt.drop("_key", "_hot").join(repeated.drop("_key", "_hot"), [*keys, "_salt"], how).drop("_salt")
+    is_hot = _same_on_every_run(keys).isin(hot)
+    share = F.pmod(_same_on_every_run(spread), F.lit(salts)).cast("int")
+    dealt = big.withColumn("_salt", F.when(is_hot, share).otherwise(0))
+    every_share = F.array(*[F.lit(i) for i in range(salts)])
+    repeated = small.withColumn("_salt", F.explode(F.when(is_hot, every_share).otherwise(F.array(F.lit(0)))))
+    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")

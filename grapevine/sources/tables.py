@@ -7,7 +7,7 @@ from dataclasses import fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from grapevine.sources.schemas import SCHEMAS, ShopTables
+from grapevine.sources.schemas import ShopTables
 
 
 def read_shop_parquet(spark: SparkSession, folder: str, limit: int | None = None) -> ShopTables:
@@ -50,14 +50,17 @@ def _collected(read, limit: int | None) -> ShopTables:
     return ShopTables.of(frames)
 
 
+CSV_OPTIONS = {"header": "true", "escape": '"', "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]"}
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header, in a declared schema."""
-    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    """CSV with a header, in a declared schema. Empty text comes back as missing."""
+    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, one file per partition, replacing what was there."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def write_table(df: DataFrame, name: str, database: str | None = None, if_exists: str = "replace") -> None:
@@ -80,16 +83,3 @@ def _mode(if_exists: str) -> str:
     if if_exists not in modes:
         raise ValueError(f"if_exists must be one of {sorted(modes)}, not {if_exists!r}")
     return modes[if_exists]
-
-
-__all__ = [
-    "SCHEMAS",
-    "read_csv",
-    "read_shop_catalog",
-    "read_shop_jdbc",
-    "read_shop_parquet",
-    "write_csv",
-    "write_jdbc",
-    "write_parquet",
-    "write_table",
-]

@@ -1,0 +1,95 @@
+from __future__ import annotations
+
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from grapevine.operators import orders as ops
+from grapevine.rules import Rules
+from grapevine.sources.schemas import CATEGORY_FLAGS
+from tests.frames import moment, rows_of, shop
+
+MONDAY = moment("2021-03-01 12:00:00")  # delivered on Tuesday
+THURSDAY = moment("2021-03-04 12:00:00")  # delivered on Friday of the same week
+
+
+def small_shop(spark, **more):
+    tables = dict(
+        customer=[(1, "A", None, 11, MONDAY), (2, "B", None, 12, MONDAY)],
+        address=[(11, "ana", "A"), (12, "bea", "B")],
+        store=[(5, "five", "100", 1.0, 2.0), (3, "three", None, 3.0, 4.0)],
+        category=[(i, name) for i, name in CATEGORY_FLAGS.items()],
+        product=[(1, "SKU-1"), (2, "SKU-2"), (3, "SKU-3")],
+        product_category=[(1, 2), (1, 3), (2, 7)],  # product 3 has no category
+        order=[
+            (100, 1, 5, 11, MONDAY, 10.0),
+            (101, 1, 3, 11, THURSDAY, 20.0),
+            (102, 2, 5, 12, MONDAY, 1.0),
+            (103, 2, 5, 99, MONDAY, 1.0),  # unknown address
+            (104, 9, 5, 11, MONDAY, 1.0),  # unknown customer
+        ],
+        order_item=[
+            (100, 1, 2, 10.0, 1.5),
+            (100, 3, 1, 99.0, 1.0),
+            (101, 2, 1, 4.0, 1.0),
+            (102, 2, 1, 0.0, 1.0),
+            (103, 1, 1, 7.0, 1.0),
+            (104, 1, 1, 7.0, 1.0),
+        ],
+    )
+    return shop(spark, **(tables | more))
+
+
+def test_lines_repeat_per_category_and_need_all_parties(spark):
+    lines = ops.order_lines(small_shop(spark), Rules())
+    found = rows_of(lines, "cliente", "storeid", "Sku", "catid", "costo", F.col("fecha").cast("string"))
+    assert found == [
+        (1, 3, "SKU-2", 7, Decimal("1.0000"), "2021-03-05"),
+        (1, 5, "SKU-1", 2, Decimal("3.0000"), "2021-03-02"),
+        (1, 5, "SKU-1", 3, Decimal("3.0000"), "2021-03-02"),
+        (2, 5, "SKU-2", 7, Decimal("1.0000"), "2021-03-02"),
+    ]
+
+
+def test_zero_spend_has_no_margin_and_is_no_order_day(spark):
+    lines = ops.order_lines(small_shop(spark), Rules())
+    assert rows_of(ops.weekly_customer_store(lines).where("cliente = 2"), "gmv", "gm") == [(Decimal("0.0000"), None)]
+    rows = ops.behaviour(lines, "2021-03-15", Rules()).where("cliente = 2")
+    assert rows_of(rows, "frecuencia", "AOV", "activo1") == [(0, None, 1)]
+
+
+def test_a_week_with_several_stores_shows_the_lowest_store(spark):
+    rows = ops.behaviour(ops.order_lines(small_shop(spark), Rules()), "2021-03-16", Rules()).where("cliente = 1")
+    assert rows_of(rows, "tienda", "gmv", "frecuencia", "AOV", "skuhistoricos", "catshistoricas", "activo1") == [
+        (3, Decimal("4.0000"), 2, 2.0, 2, 3, 0)
+    ]
+
+
+def test_activity_counts_days_from_the_last_week(spark):
+    days = spark.sql("SELECT explode(array(DATE'2021-03-01', DATE'2021-03-02', DATE'2021-04-01', NULL)) AS d")
+    flags = [r[0] for r in days.select(ops.active_flag(F.col("d"), "2021-03-16", Rules())).collect()]
+    assert flags == [0, 1, 1, 0]
+
+
+def test_category_flags_tell_absent_from_unpaid(spark):
+    lines = ops.order_lines(small_shop(spark), Rules())
+    found = rows_of(ops.category_flags(lines), "cliente", "cuidadopersonal", "despensa", "fruver", "belleza")
+    assert found == [(1, 1, 1, 1, None), (2, None, None, 0, None)]
+    assert ops.category_flags(lines).columns == ["semana", "cliente", *CATEGORY_FLAGS.values()]
+
+
+def test_lines_are_the_same_with_salted_joins(spark, always_skewed, monkeypatch):
+    plain = rows_of(ops.order_lines(small_shop(spark), Rules()))
+    behaviour = rows_of(ops.behaviour(ops.order_lines(small_shop(spark), Rules()), "2021-03-16", Rules()))
+    join = ops.balanced_join
+    monkeypatch.setattr(ops, "balanced_join", lambda *a, **k: join(*a, **k, every=1, rows=1))
+    assert rows_of(ops.order_lines(small_shop(spark), Rules())) == plain
+    assert rows_of(ops.behaviour(ops.order_lines(small_shop(spark), Rules()), "2021-03-16", Rules())) == behaviour
+
+
+def test_means_skip_missing_values(spark):
+    rows = spark.createDataFrame(
+        [(1, 1, 2, Decimal("4"), 2.0), (1, 1, 0, Decimal("0"), None)],
+        "cliente long, activo1 int, frecuencia long, gmv decimal(18,4), AOV double",
+    )
+    assert rows_of(ops.client_means(rows)) == [(1, 1.0, 1.0, 2.0, 2.0)]
