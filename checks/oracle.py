@@ -199,7 +199,7 @@ VIEWS: dict[str, str] = {
         JOIN v_store_week s USING (semana, tienda)
         WHERE rn = 1""",
     "v_client_mean": """
-        SELECT cliente AS client, avg(active) AS active, avg(freq) AS freq, avg(gmv::DOUBLE) AS gmv, avg(aov) AS aov
+        SELECT cliente AS client, avg(active) AS active, avg(freq) AS freq, avg(gmv) AS gmv, avg(aov::DECIMAL(28, 8)) AS aov
         FROM v_behaved GROUP BY cliente""",
     # --- invited customers --------------------------------------------------------------------
     "v_own_use": "SELECT client, max(CASE WHEN giver = taker THEN 1 ELSE 0 END)::BIGINT AS self FROM v_inf_edge GROUP BY client",
@@ -299,7 +299,7 @@ MEANS = """round(active + 1e-9, 6) AS active, round(freq + 1e-9, 6) AS mean_freq
 FINAL_STAGE = f"""phone AS phone_number, name AS user_name, n_shares, client AS client_id,
     n_users AS n_distinct_users, round(per_user + 1e-9, 6) AS mean_shares_per_user, round(vir_users + 1e-9, 6) AS vir_users,
     coupon, n_zips AS delivery_zipcodes, n_stores AS delivery_stores, round(vir_physical + 1e-9, 6) AS vir_physical,
-    n_weeks AS n_active_weeks, round(vir_temp + 1e-9, 6) AS vir_temp, round(k_factor, 3) AS k_factor,
+    n_weeks AS n_active_weeks, round(vir_temp + 1e-9, 6) AS vir_temp, round(k_factor + 5e-7, 3) AS k_factor,
     {MEANS}, round(aov + 1e-9, 6) AS mean_aov, round(rate + 1e-9, 6) AS child_sharing_rate,
     round(fraction + 1e-9, 6) AS active_child_fracc, round(score + 1e-9, 6) AS virality_score, stage AS user_type, stage_rank"""
 SHORT_STAGE = f"""phone AS phone_number, name AS user_name, n_shares, client AS client_id, {MEANS},
@@ -394,8 +394,8 @@ SELECTS: dict[str, str] = {
     "virality_curve": """SELECT client AS "ClientId", x, u0, k,
         round(CASE WHEN k = 1 THEN u0 * x ELSE u0 * (pow(k, x) - 1) / (k - 1) END + 1e-9, 6) AS predicted
         FROM v_use_point, (VALUES (0.9::DOUBLE), (1.0::DOUBLE), (1.002::DOUBLE)) AS g(k)""",
-    "k_factor": """SELECT client AS "ClientId", round(k, 3) AS k_factor FROM v_use_fit""",
-    "k_factor_events": """SELECT client AS "ClientId", round(k, 3) AS k_factor FROM v_event_fit""",
+    "k_factor": """SELECT client AS "ClientId", round(k + 5e-7, 3) AS k_factor FROM v_use_fit""",
+    "k_factor_events": """SELECT client AS "ClientId", round(k + 5e-7, 3) AS k_factor FROM v_event_fit""",
     "delivery_date": """SELECT order_id AS "Id", fecha::VARCHAR AS fecha FROM v_arrival""",
     "week_start": """SELECT order_id AS "Id", semana::VARCHAR AS semana, monday::VARCHAR AS monday
         FROM v_arrival JOIN v_calendar USING (fecha, monday)""",

@@ -121,7 +121,8 @@ def _virality_score(c: Campaign) -> DataFrame:
 
 
 def _rounded_k(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("k_factor", F.round("k_factor", 3))
+    # The SQL searches in steps of 1e-6: shifted by half a step, the two never part at a half.
+    return rows.withColumn("k_factor", F.round(F.col("k_factor") + 5e-7, 3))
 
 
 def _cumulative_uses(c: Campaign) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from grapevine.functions.calendar import delivery_date, week_start
 from grapevine.functions.scaling import ratio
+from grapevine.operators.distinct import distinct_counts
 from grapevine.operators.skew import balanced_join
 from grapevine.rules import Rules
 from grapevine.sources.schemas import CATEGORY_FLAGS, ShopTables
@@ -19,7 +20,9 @@ def order_lines(tables: ShopTables, rules: Rules) -> DataFrame:
 
     A line appears once per category of its product, and not at all if the product has none
     or if the order lacks its customer, address or store. Orders and products are completed
-    on their own side first, so each line crosses the network at most twice.
+    on their own side first, so each line crosses the network at most twice. Orders come
+    last: that leaves an order's lines side by side, and the aggregates that follow combine
+    them before they shuffle.
     """
     orders = tables.order
     heads = orders.select(
@@ -54,8 +57,8 @@ def order_lines(tables: ShopTables, rules: Rules) -> DataFrame:
         (F.col("Quantity") * F.col("OriginalProductCost")).alias("costo"),
     )
     item_keys = tables.order_item.select("OrderId", "ProductId")
-    placed = balanced_join(items, heads, ["OrderId"], spread=["ProductId"], probe=item_keys)
-    return balanced_join(placed, goods, ["ProductId"], spread=["OrderId"], probe=item_keys).select(
+    sold = balanced_join(items, goods, ["ProductId"], spread=["OrderId"], probe=item_keys)
+    return balanced_join(sold, heads, ["OrderId"], spread=["ProductId"], probe=item_keys).select(
         "storeid",
         "cliente",
         "Sku",
@@ -72,18 +75,20 @@ def order_lines(tables: ShopTables, rules: Rules) -> DataFrame:
 
 
 def _customer_totals(lines: DataFrame) -> DataFrame:
-    # One pass for both lifetime and history; unused aggregates are pruned.
-    return lines.groupBy("cliente").agg(
-        F.min("semana").alias("nacimiento"),
-        F.max("semana").alias("ultimopedido"),
-        F.count_distinct("Sku").alias("skuhistoricos"),
-        F.count_distinct("categoria").alias("catshistoricas"),
+    # One pass for both lifetime and history.
+    return distinct_counts(
+        lines,
+        ["cliente"],
+        {"skuhistoricos": "Sku", "catshistoricas": "categoria"},
+        {"nacimiento": F.min("semana"), "ultimopedido": F.max("semana")},
     )
 
 
 def customer_lifetime(lines: DataFrame) -> DataFrame:
     """First and last order week per customer."""
-    return _customer_totals(lines).select("cliente", "nacimiento", "ultimopedido")
+    return lines.groupBy("cliente").agg(
+        F.min("semana").alias("nacimiento"), F.max("semana").alias("ultimopedido")
+    )
 
 
 def customer_history(lines: DataFrame) -> DataFrame:
@@ -94,19 +99,14 @@ def customer_history(lines: DataFrame) -> DataFrame:
 def weekly_customer_store(lines: DataFrame) -> DataFrame:
     """Spend, cost, margin and breadth per week, store and customer.
 
-    The postal code belongs to the store; as a grouping column it keeps text out of the
-    aggregate, which Spark can then hash instead of sort.
+    The postal code belongs to the store and is carried as a grouping column.
     """
-    return (
-        lines.groupBy("semana", F.col("storeid").alias("tienda"), "cliente", "ZipCode_tienda")
-        .agg(
-            F.sum("PriceExclTax").alias("gmv"),
-            F.sum("costo").alias("costo"),
-            F.count_distinct("Sku").alias("skus"),
-            F.count_distinct("categoria").alias("categorias"),
-        )
-        .withColumn("gm", ratio(F.col("gmv") - F.col("costo"), F.col("gmv")))
-    )
+    return distinct_counts(
+        lines.withColumnRenamed("storeid", "tienda"),
+        ["semana", "tienda", "cliente", "ZipCode_tienda"],
+        {"skus": "Sku", "categorias": "categoria"},
+        {"gmv": F.sum("PriceExclTax"), "costo": F.sum("costo")},
+    ).withColumn("gm", ratio(F.col("gmv") - F.col("costo"), F.col("gmv")))
 
 
 def _spent(total: Column) -> Column:
@@ -204,10 +204,18 @@ def behaviour(lines: DataFrame, as_of: datetime.date | str, rules: Rules) -> Dat
 
 
 def client_means(behaviour_rows: DataFrame) -> DataFrame:
-    """A client's mean activity, frequency, spend and order value over their weeks."""
+    """A client's mean activity, frequency, spend and order value over their weeks.
+
+    Money is averaged in decimals: sums of doubles depend on the order of the rows, and users
+    with equal means would change places from run to run.
+    """
+
+    def mean_money(column: str, kind: str) -> Column:
+        return F.avg(F.col(column).cast(kind)).cast("double")
+
     return behaviour_rows.groupBy(F.col("cliente").alias("ClientId")).agg(
         F.avg("activo1").alias("active"),
         F.avg("frecuencia").alias("mean_freq"),
-        F.avg(F.col("gmv").cast("double")).alias("mean_gmv"),
-        F.avg("AOV").alias("mean_AOV"),
+        mean_money("gmv", "decimal(28,4)").alias("mean_gmv"),
+        mean_money("AOV", "decimal(28,8)").alias("mean_AOV"),
     )

@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 
 from grapevine.functions.scaling import ratio, with_minmax
 from grapevine.functions.text import untagged
+from grapevine.operators.distinct import distinct_counts
 from grapevine.rules import Rules
 
 MISSING = "\x00"  # stands for NULL where a missing value counts as one value
 
 
-def _kinds(column: str) -> Column:
-    return F.count_distinct(F.coalesce(F.col(column), F.lit(MISSING)))
-
-
 def distinct_users(edges: DataFrame) -> DataFrame:
     """Interactions per client, one to oneself included."""
     return edges.groupBy("ClientId").agg(F.count(F.lit(1)).alias("n_distinct_users"))
@@ -81,16 +78,18 @@ def self_interactions(edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, rules: Rules) -> DataFrame:
     """Users, postal codes, stores and weeks per client, from one aggregate.
 
-    Distinct counts are spread by value before they are gathered per client, so a client
-    with very many interactions is no hot spot.
+    A missing postal code, store or week counts as one value.
     """
-    counts = edges.groupBy("ClientId").agg(
-        F.count(F.lit(1)).alias("n_distinct_users"),
-        F.min("CouponCode").alias("coupon"),
-        F.max("CouponCode").alias("other_coupon"),
-        _kinds("ZipCode").alias("delivery_zipcodes"),
-        _kinds("StoreName").alias("delivery_stores"),
-        _kinds("week").alias("n_active_weeks"),
+    places = {"delivery_zipcodes": "ZipCode", "delivery_stores": "StoreName", "n_active_weeks": "week"}
+    counts = distinct_counts(
+        edges.withColumns({c: F.coalesce(F.col(c), F.lit(MISSING)) for c in places.values()}),
+        ["ClientId"],
+        places,
+        {
+            "n_distinct_users": F.count(F.lit(1)),
+            "coupon": F.min("CouponCode"),
+            "other_coupon": F.max("CouponCode"),
+        },
     )
     if rules.stop_on_coupon_conflict:
         message = F.concat(F.col("ClientId").cast("string"), F.lit(" has more than one coupon"))

@@ -28,17 +28,25 @@ def _estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def large(df: DataFrame) -> bool:
+    """Whether all rows together are more than the session calls a skewed partition."""
+    limit = _setting_in_bytes(df.sparkSession, "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes")
+    return _estimated_bytes(df) > limit
+
+
 def may_be_skewed(probe: DataFrame, small: DataFrame) -> bool:
     """Whether a join by key can end in one overloaded task.
 
     It cannot if the optimizer's own estimate lets it broadcast the small side, nor if all
-    rows of the big side together are less than the session calls a skewed partition.
+    rows of the big side together are few.
     """
-    spark = probe.sparkSession
-    if _estimated_bytes(small) <= _setting_in_bytes(spark, "spark.sql.autoBroadcastJoinThreshold"):
-        return False
-    limit = _setting_in_bytes(spark, "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes")
-    return _estimated_bytes(probe) > limit
+    limit = _setting_in_bytes(probe.sparkSession, "spark.sql.autoBroadcastJoinThreshold")
+    return _estimated_bytes(small) > limit and large(probe)
+
+
+def is_one_of(keys: Sequence[str], hashes: Sequence[int]) -> Column:
+    """Whether a row's key is in a list made by ``hot_keys``."""
+    return _same_on_every_run(keys).isin(list(hashes))
 
 
 def hot_keys(
@@ -89,7 +97,7 @@ def balanced_join(
     hot = hot_keys(probe, keys, spread, every, rows) if may_be_skewed(probe, small) else []
     if not hot:
         return big.join(small, keys, how)
-    is_hot = _same_on_every_run(keys).isin(hot)
+    is_hot = is_one_of(keys, hot)
     share = F.pmod(_same_on_every_run(spread), F.lit(salts)).cast("int")
     dealt = big.withColumn("_salt", F.when(is_hot, share).otherwise(0))
     every_share = F.array(*[F.lit(i) for i in range(salts)])

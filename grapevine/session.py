@@ -16,11 +16,17 @@ SETTINGS = {
 }
 
 
-def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session with the settings the library is tuned for; on a cluster pass no master."""
+def build_session(
+    master: str | None = None, shuffle_partitions: int | None = None, memory: str = "12g"
+) -> SparkSession:
+    """A session with the settings the library is tuned for; on a cluster pass no master.
+
+    ``memory`` is for a local session, where the driver does all the work; on a cluster the
+    submitting command sets memory.
+    """
     builder = SparkSession.builder.appName("grapevine")
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", memory)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     if shuffle_partitions:

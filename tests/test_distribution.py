@@ -136,3 +136,21 @@ def test_coupon_filter_and_columns_reach_the_scan(spark, tmp_path):
     plan = plan_of(personal_coupons(spark.read.parquet(path), Rules()).select("CouponCode"))
     assert "Contains(CouponCode,-)" in plan
     assert "ReadSchema: struct<CouponCode:string>" in plan
+
+
+def test_distinct_counts_equal_the_plain_ones_for_small_and_heavy_groups(spark, always_skewed):
+    from grapevine.operators.distinct import distinct_counts
+
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 1, 2, 3, None]), rng.choice([None, *"abcdefgh"]), rng.randrange(50), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, a string, b long, n long")
+    plain = df.groupBy("k").agg(
+        F.sum("n").alias("total"), F.count_distinct("a").alias("as"), F.count_distinct("b").alias("bs")
+    )
+    for heavy_from in (700, 1, 10**9):  # one heavy group, all, none
+        found = distinct_counts(
+            df, ["k"], {"as": "a", "bs": "b"}, {"total": F.sum("n")}, every=1, rows=heavy_from
+        )
+        assert ("Union" in plan_of(found)) == (heavy_from < 10**9)
+        assert rows_of(found, *plain.columns) == rows_of(plain)
+        assert found.schema["as"].dataType == plain.schema["as"].dataType
