@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grapevine.operators.skew import PROBE_EVERY, hot_keys, is_one_of, large
+from grapevine.operators.skew import HOT_KEYS, PROBE_EVERY, hot_keys, is_one_of, large
 
 SET_ROWS = 100_000  # groups of more rows than this count their distinct values the spread way
 
@@ -24,9 +24,9 @@ def distinct_counts(
 
     Several ``count_distinct`` in one aggregate make Spark repeat every row once per counted
     column and shuffle all of them twice. Most groups are small: these count the size of a
-    set, which combines before the one shuffle. The heaviest groups, where a set could grow
-    large, are looked for in a part of the rows, and take the ordinary way; it deals a group's
-    values over all tasks.
+    set, which combines before the one shuffle. Groups of more than ``rows`` rows, where a set
+    could grow large, are looked for in one row of ``every``, and take the ordinary way, which
+    deals a group's values over all tasks. If there are too many of them to list, all groups do.
     """
     spread = list(distinct.values())
     hot = hot_keys(df, keys, spread, every, rows) if large(df) else []
@@ -35,6 +35,8 @@ def distinct_counts(
     if not hot:
         return df.groupBy(*keys).agg(*kept.values(), *sizes)
     counts = [F.count_distinct(c).alias(name) for name, c in distinct.items()]
+    if len(hot) == HOT_KEYS:
+        return df.groupBy(*keys).agg(*kept.values(), *counts)
     heavy = is_one_of(keys, hot)
     return (
         df.where(~heavy)

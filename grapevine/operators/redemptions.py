@@ -41,12 +41,14 @@ def referrer_of_coupon(tables: ShopTables, rules: Rules) -> DataFrame:
     )
 
 
-def _named(customers: DataFrame, client: str, address: DataFrame, **columns: str) -> DataFrame:
-    """Customers with columns of their billing address under new names."""
-    addresses = address.select(
+def _named(rows: DataFrame, client: str, tables: ShopTables, **columns: str) -> DataFrame:
+    """Rows of customers with columns of their billing address under new names."""
+    addresses = tables.address.select(
         F.col("Id").alias("BillingAddress_Id"), *[F.col(old).alias(new) for new, old in columns.items()]
     )
-    return balanced_join(customers, addresses, ["BillingAddress_Id"], spread=[client]).drop("BillingAddress_Id")
+    customers = tables.customer.select(F.col("Id").alias(client), "BillingAddress_Id")
+    named = balanced_join(rows, addresses, ["BillingAddress_Id"], spread=[client], probe=customers)
+    return named.drop("BillingAddress_Id")
 
 
 def redemptions(tables: ShopTables, rules: Rules) -> DataFrame:
@@ -56,9 +58,7 @@ def redemptions(tables: ShopTables, rules: Rules) -> DataFrame:
     orders, the buyers and the stores. No sort: the steps that need the order total's order
     take it from the values.
     """
-    owners = _named(
-        referrer_of_coupon(tables, rules), "ClientId", tables.address, Referrer_Name="Firstname"
-    )
+    owners = _named(referrer_of_coupon(tables, rules), "ClientId", tables, Referrer_Name="Firstname")
     usage = tables.discount_usage.select("OrderId", "DiscountId", F.col("CreatedOnUtc").alias("OrderUTC"))
     used = balanced_join(usage, owners, ["DiscountId"], spread=["OrderId"], probe=usage)
 
@@ -76,7 +76,7 @@ def redemptions(tables: ShopTables, rules: Rules) -> DataFrame:
             F.col("Id").alias("childId"), F.col("CreatedOnUtc").alias("born"), "BillingAddress_Id"
         ),
         "childId",
-        tables.address,
+        tables,
         Referral_Name="Firstname",
         Referral_num="PhoneNumber",
     )
@@ -127,7 +127,7 @@ def buyer_coupon_orders(tables: ShopTables, rules: Rules) -> DataFrame:
             "BillingAddress_Id",
         ),
         "ClientId",
-        tables.address,
+        tables,
         Referrer_Name="Firstname",
         Referral_num="PhoneNumber",
     )

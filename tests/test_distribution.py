@@ -138,7 +138,8 @@ def test_coupon_filter_and_columns_reach_the_scan(spark, tmp_path):
     assert "ReadSchema: struct<CouponCode:string>" in plan
 
 
-def test_distinct_counts_equal_the_plain_ones_for_small_and_heavy_groups(spark, always_skewed):
+def test_distinct_counts_equal_the_plain_ones_for_small_and_heavy_groups(spark, always_skewed, monkeypatch):
+    from grapevine.operators import distinct
     from grapevine.operators.distinct import distinct_counts
 
     rng = random.Random(2)
@@ -154,3 +155,7 @@ def test_distinct_counts_equal_the_plain_ones_for_small_and_heavy_groups(spark,
         assert ("Union" in plan_of(found)) == (heavy_from < 10**9)
         assert rows_of(found, *plain.columns) == rows_of(plain)
         assert found.schema["as"].dataType == plain.schema["as"].dataType
+    monkeypatch.setattr(distinct, "HOT_KEYS", 1)
+    found = distinct_counts(df, ["k"], {"as": "a", "bs": "b"}, {"total": F.sum("n")}, every=1, rows=700)
+    assert "Union" not in plan_of(found) and "Expand" in plan_of(found)
+    assert rows_of(found, *plain.columns) == rows_of(plain)
