@@ -81,7 +81,7 @@ VIEWS: dict[str, str] = {
     "v_pair_row": """
         SELECT *, count(*) OVER (PARTITION BY giver, taker) AS n,
                row_number() OVER (PARTITION BY giver, taker
-                                  ORDER BY used_at DESC NULLS FIRST, total, order_id) AS newest
+                                  ORDER BY used_at DESC NULLS FIRST, total, order_id, client) AS newest
         FROM v_redeemed""",
     "v_edge": """
         SELECT order_id, used_at, code, client, giver, giver_name, taker_name, taker, child,

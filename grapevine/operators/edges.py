@@ -14,14 +14,15 @@ def latest_interactions(redemptions: DataFrame) -> DataFrame:
     """One row per pair of numbers: its latest redemption, and how many there were.
 
     A missing time counts as latest; equal times go to the lowest order total, then to the
-    lowest order id and code. Count and choice come from one aggregate, which combines before
+    lowest order and client id. Count and choice come from one aggregate, which combines before
     the shuffle, so a pair with very many redemptions is no hot spot.
     """
     pairs = redemptions.withColumnsRenamed(ENDS)
     rest = [c for c in pairs.columns if c not in ENDS.values()]
     total = F.col("GMV_after_discount")
+    lowest_ids = -F.col("OrderId"), -F.col("ClientId")
     lateness = F.struct(
-        F.col("OrderUTC").isNull(), "OrderUTC", total.isNull(), -total, -F.col("OrderId"), "CouponCode"
+        F.col("OrderUTC").isNull(), "OrderUTC", total.isNull(), -total, *lowest_ids, "CouponCode"
     )
     return (
         pairs.groupBy("from", "to")

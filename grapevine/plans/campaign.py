@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,10 @@ from grapevine.sources.tables import write_csv, write_table
 
 SCORE_PARTS = ["active", "vir_users", "vir_physical", "vir_temp", "child_sharing_rate", "active_child_fracc"]
 
+# Names of the results and of their columns.
+STAGES_TABLE, INTERACTIONS_TABLE = "referrals_user_stages", "referrals_user_interactions"
+INTERACTIONS_CSV, USERS_CSV = "referrer_referral.csv", "user_properties.csv"
+
 STAGE_COLUMNS = {
     "id": "phone_number",
     "label": "user_name",
@@ -79,7 +85,7 @@ def export_csv(interactions: DataFrame, users: DataFrame, folder: str) -> tuple[
 
     Ids end the sort orders, so equal counts spread over several sort tasks.
     """
-    paths = f"{folder}/referrer_referral.csv", f"{folder}/user_properties.csv"
+    paths = f"{folder}/{INTERACTIONS_CSV}", f"{folder}/{USERS_CSV}"
     write_csv(interactions.orderBy(F.desc("n_interactions"), "OrderId", "from", "to"), paths[0])
     write_csv(users.orderBy(F.desc("n_shares"), "id"), paths[1])
     return paths
@@ -104,6 +110,7 @@ class Campaign:
         rules: Rules | None = None,
         workspace: Workspace | None = None,
     ):
+        self.spark = spark
         self.tables = tables
         self.as_of = as_of
         self.rules = rules or Rules()
@@ -152,8 +159,19 @@ class Campaign:
         days = growth.daily_uses(self.influencer_edges, "ClientId", "OrderUTC")
         return growth.k_factor(growth.cumulative_uses(days), self.rules)
 
+    def prepare(self) -> None:
+        """Make both sides of the analysis, redemptions and behaviour, at the same time.
+
+        Neither needs the other, and the jobs of one fill the tasks the other leaves idle.
+        """
+        sides = (lambda: self.reach), (lambda: self.means)
+        with ThreadPoolExecutor(len(sides)) as pool:
+            for done in [pool.submit(inheritable_thread_target(self.spark)(side)) for side in sides]:
+                done.result()
+
     @cached_property
     def child_rows(self) -> DataFrame:
+        self.prepare()
         return family.child_behaviour(self.influencer_edges, self.means)
 
     @cached_property
@@ -163,6 +181,7 @@ class Campaign:
         A client id can belong to an influencer's number and, under the billing phone, to a
         passive one, so the metrics are joined by client and stage.
         """
+        self.prepare()
         metrics = (
             self.reach.join(self.k_factors, "ClientId", "left")
             .join(
@@ -217,6 +236,6 @@ def run(
     campaign = Campaign(spark, tables, as_of, rules, workspace)
     user_stages, user_interactions = campaign.user_stages, campaign.user_interactions
     if database:
-        write_table(user_stages, "referrals_user_stages", database)
-        write_table(user_interactions, "referrals_user_interactions", database)
+        write_table(user_stages, STAGES_TABLE, database)
+        write_table(user_interactions, INTERACTIONS_TABLE, database)
     return user_stages, user_interactions

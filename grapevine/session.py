@@ -64,6 +64,6 @@ class Workspace:
         return f"{self.folder}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
+        path = self.path(f"{name}-{uuid.uuid4().hex[:8]}")
         df.write.mode("errorifexists").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -33,6 +33,8 @@ def test_equal_times_go_to_the_lowest_total_then_order(spark):
         {"OrderId": 2, "GMV_after_discount": 5},
     )
     assert rows_of(ops.latest_interactions(rows), "OrderId") == [(2,)]
+    same_order = redemption_frame(spark, {"ClientId": 5}, {"ClientId": 4}, {"ClientId": 6})
+    assert rows_of(ops.latest_interactions(same_order), "ClientId") == [(4,)]
     with_unknown = rows.unionByName(redemption_frame(spark, {"OrderId": 9, "GMV_after_discount": None}))
     assert rows_of(ops.latest_interactions(with_unknown), "OrderId") == [(9,)]
 

@@ -87,6 +87,16 @@ def test_children(spark, edges, children):
     assert rows_of(found) == [(1, c) for c in children]
 
 
+def test_an_own_number_under_another_id_is_reported(spark):
+    edges = edge_frame(
+        spark,
+        {"ClientId": 1, "from": "A", "to": "A", "childId": 9},
+        {"ClientId": 2, "from": "B", "to": "B", "childId": 2},
+        {"ClientId": 3, "from": "C", "to": "K", "childId": 3},
+    )
+    assert rows_of(family.self_mismatches(edges)) == [(1,)]
+
+
 def test_family_metrics(spark):
     edges = edge_frame(
         spark, {"to": "B", "childId": 2}, {"to": "C", "childId": 3}, {"to": "D", "childId": 4}, {"ClientId": 8, "from": "Z", "to": "D", "childId": 4}
