@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grapevine.operators.skew import HOT_KEYS, PROBE_EVERY, hot_keys, is_one_of, large
+from grapevine.operators import skew
 
-SET_ROWS = 100_000  # groups of more rows than this count their distinct values the spread way
+SET_ROWS = 100_000  # groups from this size on do not count by sets
 
 
 def distinct_counts(
@@ -17,27 +17,24 @@ def distinct_counts(
     keys: Sequence[str],
     distinct: dict[str, str],
     others: dict[str, Column] | None = None,
-    every: int = PROBE_EVERY,
-    rows: int = SET_ROWS,
 ) -> DataFrame:
     """``df.groupBy(keys)`` with distinct counts (``{new name: column}``) and other aggregates.
 
     Several ``count_distinct`` in one aggregate make Spark repeat every row once per counted
     column and shuffle all of them twice. Most groups are small: these count the size of a
-    set, which combines before the one shuffle. Groups of more than ``rows`` rows, where a set
-    could grow large, are looked for in one row of ``every``, and take the ordinary way, which
-    deals a group's values over all tasks. If there are too many of them to list, all groups do.
+    set, which combines before the one shuffle. Heavy groups, where a set could grow large,
+    are looked for in a part of the rows, and take the ordinary way, which deals a group's
+    values over all tasks. If there are too many of them to list, all groups do.
     """
-    spread = list(distinct.values())
-    hot = hot_keys(df, keys, spread, every, rows) if large(df) else []
+    hot = skew.Probe(df, list(distinct.values()), keys, hot_rows=SET_ROWS).hot(keys)
     kept = {name: column.alias(name) for name, column in (others or {}).items()}
     sizes = [F.size(F.collect_set(c)).cast("bigint").alias(name) for name, c in distinct.items()]
     if not hot:
         return df.groupBy(*keys).agg(*kept.values(), *sizes)
     counts = [F.count_distinct(c).alias(name) for name, c in distinct.items()]
-    if len(hot) == HOT_KEYS:
+    if len(hot) == skew.HOT_KEYS:
         return df.groupBy(*keys).agg(*kept.values(), *counts)
-    heavy = is_one_of(keys, hot)
+    heavy = skew.is_one_of(keys, hot)
     return (
         df.where(~heavy)
         .groupBy(*keys)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from grapevine.functions.calendar import delivery_date, week_start
 from grapevine.functions.scaling import ratio
 from grapevine.operators.distinct import distinct_counts
-from grapevine.operators.skew import balanced_join
+from grapevine.operators.skew import Probe, balanced_join
 from grapevine.rules import Rules
 from grapevine.sources.schemas import CATEGORY_FLAGS, ShopTables
 
@@ -40,15 +40,15 @@ def order_lines(tables: ShopTables, rules: Rules) -> DataFrame:
         F.col("Latitud").alias("Latitude"),
         F.col("Longitud").alias("Longitude"),
     )
-    head_keys = heads.select("OrderId", "cliente", "storeid", "BillingAddressId")
-    heads = balanced_join(heads, customers, ["cliente"], spread=["OrderId"], probe=head_keys)
-    heads = balanced_join(heads, addresses, ["BillingAddressId"], spread=["OrderId"], probe=head_keys)
-    heads = balanced_join(heads, stores, ["storeid"], spread=["OrderId"], probe=head_keys)
+    parties = Probe(heads, ["OrderId"], ["cliente"], ["BillingAddressId"], ["storeid"])
+    heads = balanced_join(heads, customers, ["cliente"], ["OrderId"], parties)
+    heads = balanced_join(heads, addresses, ["BillingAddressId"], ["OrderId"], parties)
+    heads = balanced_join(heads, stores, ["storeid"], ["OrderId"], parties)
 
     # Few categories share all products, so their names are joined with the same care.
     categories = tables.category.select(F.col("Id").alias("catid"), F.col("Name").alias("categoria"))
     filed = tables.product_category.select("ProductId", F.col("CategoryId").alias("catid"))
-    named = balanced_join(filed, categories, ["catid"], spread=["ProductId"])
+    named = balanced_join(filed, categories, ["catid"], ["ProductId"], Probe(filed, ["ProductId"], ["catid"]))
     goods = named.join(tables.product.select(F.col("Id").alias("ProductId"), "Sku"), "ProductId")
     items = tables.order_item.select(
         "OrderId",
@@ -56,9 +56,9 @@ def order_lines(tables: ShopTables, rules: Rules) -> DataFrame:
         "PriceExclTax",
         (F.col("Quantity") * F.col("OriginalProductCost")).alias("costo"),
     )
-    item_keys = tables.order_item.select("OrderId", "ProductId")
-    sold = balanced_join(items, goods, ["ProductId"], spread=["OrderId"], probe=item_keys)
-    return balanced_join(sold, heads, ["OrderId"], spread=["ProductId"], probe=item_keys).select(
+    item_keys = Probe(tables.order_item, ["OrderId", "ProductId"], ["ProductId"], ["OrderId"])
+    sold = balanced_join(items, goods, ["ProductId"], ["OrderId"], item_keys)
+    return balanced_join(sold, heads, ["OrderId"], ["ProductId"], item_keys).select(
         "storeid",
         "cliente",
         "Sku",
@@ -176,10 +176,8 @@ def behaviour(lines: DataFrame, as_of: datetime.date | str, rules: Rules) -> Dat
     stores = store_week_customers(lines).drop("ZipCode_tienda")
     with_frequency = one_store.join(weekly_frequency(lines), ["semana", "cliente"])
     with_totals = with_frequency.join(_customer_totals(lines), "cliente")
-    joined = balanced_join(
-        with_totals, stores, ["tienda", "semana"], spread=["cliente"],
-        probe=lines.select(F.col("storeid").alias("tienda"), "semana", "cliente"),
-    )
+    visits = Probe(lines.withColumnRenamed("storeid", "tienda"), ["cliente"], ["tienda", "semana"])
+    joined = balanced_join(with_totals, stores, ["tienda", "semana"], ["cliente"], visits)
     return joined.select(
         "semana",
         "nacimiento",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grapevine.functions.calendar import customer_novelty, local_time, week_code
-from grapevine.operators.skew import balanced_join
+from grapevine.operators.skew import Probe, balanced_join
 from grapevine.rules import Rules
 from grapevine.sources.schemas import ShopTables
 
@@ -36,7 +36,7 @@ def referrer_of_coupon(tables: ShopTables, rules: Rules) -> DataFrame:
         "BillingAddress_Id",
         F.lower("ReferralCode").alias("code"),
     )
-    return balanced_join(holders, coupons, ["code"], spread=["ClientId"]).select(
+    return balanced_join(holders, coupons, ["code"], ["ClientId"], Probe(holders, ["ClientId"], ["code"])).select(
         "DiscountId", "CouponCode", "ClientId", "Referrer_num", "BillingAddress_Id"
     )
 
@@ -46,9 +46,8 @@ def _named(rows: DataFrame, client: str, tables: ShopTables, **columns: str) ->
     addresses = tables.address.select(
         F.col("Id").alias("BillingAddress_Id"), *[F.col(old).alias(new) for new, old in columns.items()]
     )
-    customers = tables.customer.select(F.col("Id").alias(client), "BillingAddress_Id")
-    named = balanced_join(rows, addresses, ["BillingAddress_Id"], spread=[client], probe=customers)
-    return named.drop("BillingAddress_Id")
+    shared = Probe(tables.customer, ["Id"], ["BillingAddress_Id"])
+    return balanced_join(rows, addresses, ["BillingAddress_Id"], [client], shared).drop("BillingAddress_Id")
 
 
 def redemptions(tables: ShopTables, rules: Rules) -> DataFrame:
@@ -60,7 +59,8 @@ def redemptions(tables: ShopTables, rules: Rules) -> DataFrame:
     """
     owners = _named(referrer_of_coupon(tables, rules), "ClientId", tables, Referrer_Name="Firstname")
     usage = tables.discount_usage.select("OrderId", "DiscountId", F.col("CreatedOnUtc").alias("OrderUTC"))
-    used = balanced_join(usage, owners, ["DiscountId"], spread=["OrderId"], probe=usage)
+    uses = Probe(usage, ["OrderId", "DiscountId"], ["DiscountId"], ["OrderId"])
+    used = balanced_join(usage, owners, ["DiscountId"], ["OrderId"], uses)
 
     orders = tables.order.select(
         F.col("Id").alias("OrderId"),
@@ -69,7 +69,7 @@ def redemptions(tables: ShopTables, rules: Rules) -> DataFrame:
         F.col("CreatedOnUtc").alias("placed"),
         F.col("OrderTotal").alias("GMV_after_discount"),
     )
-    placed = balanced_join(used, orders, ["OrderId"], spread=["DiscountId"], probe=usage)
+    placed = balanced_join(used, orders, ["OrderId"], ["DiscountId"], uses)
 
     buyers = _named(
         tables.customer.select(
@@ -83,8 +83,9 @@ def redemptions(tables: ShopTables, rules: Rules) -> DataFrame:
     stores = tables.store.select(F.col("Id").alias("StoreId"), F.col("Name").alias("StoreName"), "ZipCode")
     # Buyers and stores that are hot among the coupon orders, found without the joins above.
     coupon_orders = orders.join(usage.select("OrderId"), "OrderId", "left_semi")
-    bought = balanced_join(placed, buyers, ["childId"], spread=["OrderId"], probe=coupon_orders)
-    sold = balanced_join(bought, stores, ["StoreId"], spread=["OrderId"], probe=coupon_orders)
+    parties = Probe(coupon_orders, ["OrderId"], ["childId"], ["StoreId"])
+    bought = balanced_join(placed, buyers, ["childId"], ["OrderId"], parties)
+    sold = balanced_join(bought, stores, ["StoreId"], ["OrderId"], parties)
     return sold.select(
         "OrderId",
         "OrderUTC",
@@ -133,10 +134,12 @@ def buyer_coupon_orders(tables: ShopTables, rules: Rules) -> DataFrame:
     )
     stores = tables.store.select(F.col("Id").alias("StoreId"), F.col("Name").alias("StoreName"), "ZipCode")
     coupon_orders = orders.join(usage.select("OrderId"), "OrderId", "left_semi")
-    used = balanced_join(usage, coupons, ["DiscountId"], spread=["OrderId"])
-    placed = balanced_join(used, orders, ["OrderId"], spread=["DiscountId"], probe=usage)
-    bought = balanced_join(placed, buyers, ["ClientId"], spread=["OrderId"], probe=coupon_orders)
-    sold = balanced_join(bought, stores, ["StoreId"], spread=["OrderId"], probe=coupon_orders)
+    uses = Probe(usage, ["OrderId", "DiscountId"], ["DiscountId"], ["OrderId"])
+    parties = Probe(coupon_orders, ["OrderId"], ["ClientId"], ["StoreId"])
+    used = balanced_join(usage, coupons, ["DiscountId"], ["OrderId"], uses)
+    placed = balanced_join(used, orders, ["OrderId"], ["DiscountId"], uses)
+    bought = balanced_join(placed, buyers, ["ClientId"], ["OrderId"], parties)
+    sold = balanced_join(bought, stores, ["StoreId"], ["OrderId"], parties)
     return sold.select(
         "OrderId",
         "OrderUTC",
@@ -163,7 +166,8 @@ def customer_zip(tables: ShopTables) -> DataFrame:
     )
     phones = tables.address.select(F.col("Id").alias("BillingAddress_Id"), F.col("Id").alias("AddressId"), "PhoneNumber")
     people = tables.customer.select(F.col("Id").alias("UserId"), "BillingAddress_Id")
-    located = balanced_join(people, phones, ["BillingAddress_Id"], spread=["UserId"])
-    return balanced_join(codes, located, ["UserId"], spread=["ZipCode"]).select(
+    shared = Probe(people, ["UserId"], ["BillingAddress_Id"])
+    located = balanced_join(people, phones, ["BillingAddress_Id"], ["UserId"], shared)
+    return balanced_join(codes, located, ["UserId"], ["ZipCode"], Probe(codes, ["ZipCode"], ["UserId"])).select(
         "AddressId", "PhoneNumber", "UserId", "BillingAddress_Id", "EntityId", "ZipCode"
     )

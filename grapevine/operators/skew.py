@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,78 +29,94 @@ def _estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def large(df: DataFrame) -> bool:
-    """Whether all rows together are more than the session calls a skewed partition."""
-    limit = _setting_in_bytes(df.sparkSession, "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes")
-    return _estimated_bytes(df) > limit
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether the optimizer's own size estimate lets it broadcast the frame unasked."""
+    limit = _setting_in_bytes(df.sparkSession, "spark.sql.autoBroadcastJoinThreshold")
+    return _estimated_bytes(df) <= limit
 
 
-def may_be_skewed(probe: DataFrame, small: DataFrame) -> bool:
-    """Whether a join by key can end in one overloaded task.
+class Probe:
+    """Looks for hot keys in a cheap frame, once for all joins on it.
 
-    It cannot if the optimizer's own estimate lets it broadcast the small side, nor if all
-    rows of the big side together are few.
+    ``rows`` holds the key columns of each join in ``key_sets``, and the columns ``by``, whose
+    content hash decides which rows are counted. A key is hot from ``hot_rows`` rows on,
+    HOT_ROWS by default. Nothing is counted for frames that are smaller than what the session
+    calls a skewed partition.
     """
-    limit = _setting_in_bytes(probe.sparkSession, "spark.sql.autoBroadcastJoinThreshold")
-    return _estimated_bytes(small) > limit and large(probe)
+
+    def __init__(
+        self, rows: DataFrame, by: Sequence[str], *key_sets: Sequence[str], hot_rows: int | None = None
+    ):
+        self.rows, self.by = rows, list(by)
+        self.hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+        self.key_sets = [list(keys) for keys in key_sets]
+
+    @cached_property
+    def large(self) -> bool:
+        limit = _setting_in_bytes(
+            self.rows.sparkSession, "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"
+        )
+        return _estimated_bytes(self.rows) > limit
+
+    @cached_property
+    def _found(self) -> list[tuple[int, int]]:
+        """Pairs of key set and key hash, at most HOT_KEYS per key set: small numbers to collect."""
+        marked = [
+            F.struct(F.lit(i).alias("key_set"), _same_on_every_run(keys).alias("key"))
+            for i, keys in enumerate(self.key_sets)
+        ]
+        counted = (
+            self.rows.where(F.pmod(_same_on_every_run(self.by), F.lit(PROBE_EVERY)) == 0)
+            .select(F.explode(F.array(*marked)).alias("mark"))
+            .groupBy("mark.key_set", "mark.key")
+            .count()
+            .where(F.col("count") * PROBE_EVERY >= self.hot_rows)
+        )
+        heaviest = counted.orderBy(F.desc("count"), "key_set", "key").limit(HOT_KEYS * len(self.key_sets))
+        return [(row.key_set, row.key) for row in heaviest.collect()]
+
+    def hot(self, keys: Sequence[str]) -> list[int]:
+        """Hashes of the hot keys of one key set.
+
+        Only the placement of rows depends on this list, never the result: a key missing here
+        is treated as the others, and as a lighter one holds at most one row in HOT_KEYS.
+        """
+        wanted = self.key_sets.index(list(keys))
+        if not self.large:
+            return []
+        return [key for key_set, key in self._found if key_set == wanted]
 
 
 def is_one_of(keys: Sequence[str], hashes: Sequence[int]) -> Column:
-    """Whether a row's key is in a list made by ``hot_keys``."""
+    """Whether a row's key is in a list made by ``Probe.hot``."""
     return _same_on_every_run(keys).isin(list(hashes))
 
 
-def hot_keys(
-    probe: DataFrame,
-    keys: Sequence[str],
-    spread: Sequence[str],
-    every: int = PROBE_EVERY,
-    rows: int = HOT_ROWS,
-) -> list[int]:
-    """Hashes of the heaviest keys, HOT_KEYS numbers at most, from a count of one row in ``every``.
-
-    Only the placement of rows depends on this list, never the result: a key missing here is
-    joined unsalted, and as one of the lighter keys it holds less than one row in HOT_KEYS.
-    """
-    counted = (
-        probe.where(F.pmod(_same_on_every_run(spread), F.lit(every)) == 0)
-        .groupBy(_same_on_every_run(keys).alias("key"))
-        .count()
-        .where(F.col("count") * every >= rows)
-    )
-    return [row.key for row in counted.orderBy(F.desc("count"), "key").limit(HOT_KEYS).collect()]
-
-
 def balanced_join(
     big: DataFrame,
     small: DataFrame,
     keys: Sequence[str],
     spread: Sequence[str],
+    probe: Probe,
     how: str = "inner",
-    probe: DataFrame | None = None,
-    salts: int = SALTS,
-    every: int = PROBE_EVERY,
-    rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``big.join(small, keys, how)`` (inner, left or left_semi) with hot keys spread out.
 
-    Where ``may_be_skewed`` rules a hot task out, or no key turns out hot, this is the plain
-    join. Otherwise the rows of a hot key in ``big`` are dealt over ``salts`` tasks by a hash
-    of the ``spread`` columns, and the matching rows of ``small`` are repeated once per task;
-    all other keys join as they are. ``probe`` is a cheap frame with the key and spread
-    columns to look for hot keys in, ``big`` itself by default. Looking runs a job; its
-    result is the same constant list for both sides, whatever is recomputed later.
+    Where the small side can be broadcast, or the probe finds no hot key, this is the plain
+    join. Otherwise the rows of a hot key in ``big`` are dealt over SALTS tasks by a hash of
+    the ``spread`` columns, and the matching rows of ``small`` are repeated once per task; all
+    other keys join as they are. The list of hot keys is a constant of the plan, the same for
+    both sides, whatever is recomputed later.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"cannot balance a {how!r} join")
     keys = list(keys)
-    probe = big if probe is None else probe
-    hot = hot_keys(probe, keys, spread, every, rows) if may_be_skewed(probe, small) else []
+    hot = probe.hot(keys) if not fits_broadcast(small) else []
     if not hot:
         return big.join(small, keys, how)
     is_hot = is_one_of(keys, hot)
-    share = F.pmod(_same_on_every_run(spread), F.lit(salts)).cast("int")
+    share = F.pmod(_same_on_every_run(spread), F.lit(SALTS)).cast("int")
     dealt = big.withColumn("_salt", F.when(is_hot, share).otherwise(0))
-    every_share = F.array(*[F.lit(i) for i in range(salts)])
+    every_share = F.array(*[F.lit(i) for i in range(SALTS)])
     repeated = small.withColumn("_salt", F.explode(F.when(is_hot, every_share).otherwise(F.array(F.lit(0)))))
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grapevine.operators.skew import balanced_join
+from grapevine.operators.skew import Probe, balanced_join
 
 
 def sharers(user_rows: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def intermediates(user_rows: DataFrame) -> DataFrame:
 def edges_of(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Interactions whose referrer is one of the given users, by client id."""
     ids = members.select("ClientId").distinct()
-    return balanced_join(edges, ids, ["ClientId"], spread=["OrderId"], how="left_semi").select(*edges.columns)
+    uses = Probe(edges, ["OrderId"], ["ClientId"])
+    return balanced_join(edges, ids, ["ClientId"], ["OrderId"], uses, "left_semi").select(*edges.columns)
 
 
 def typed_edges(edges: DataFrame, staged_sharers: DataFrame) -> DataFrame:
@@ -43,7 +44,8 @@ def typed_edges(edges: DataFrame, staged_sharers: DataFrame) -> DataFrame:
     One join for both stages of sharers; users who do not share have no interactions.
     """
     stages = staged_sharers.select("ClientId", F.col("stage").alias("referrer_type")).distinct()
-    return balanced_join(edges, stages, ["ClientId"], spread=["OrderId"]).select(*edges.columns, "referrer_type")
+    uses = Probe(edges, ["OrderId"], ["ClientId"])
+    return balanced_join(edges, stages, ["ClientId"], ["OrderId"], uses).select(*edges.columns, "referrer_type")
 
 
 def with_stage(user_rows: DataFrame) -> DataFrame:

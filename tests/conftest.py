@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 
+from grapevine.operators import distinct, skew
 from grapevine.session import build_session
 
 
@@ -14,8 +15,11 @@ def spark():
 
 
 @pytest.fixture
-def always_skewed(spark):
-    """No broadcasts, and any amount of data counts as enough to be skewed."""
+def always_skewed(spark, monkeypatch):
+    """No broadcasts, any amount of data counts as large, and every row is looked at."""
+    monkeypatch.setattr(skew, "PROBE_EVERY", 1)
+    monkeypatch.setattr(skew, "HOT_ROWS", 1)
+    monkeypatch.setattr(distinct, "SET_ROWS", 1)
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.queries import QUERIES
-from grapevine.operators import skew
+from grapevine.operators import distinct, skew
+from grapevine.operators.distinct import distinct_counts
 from grapevine.operators.ranking import ranked
 from grapevine.session import Workspace, shared_folder
 from tests.frames import rows_of
@@ -30,47 +31,68 @@ def skewed(spark):
     return big, small
 
 
+@pytest.fixture
+def hot_from_100(always_skewed, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 100)
+
+
+def by_row(big, *keys):
+    return skew.Probe(big, ["row"], *keys)
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
-def test_balanced_join_equals_the_plain_join(spark, always_skewed, how):
+def test_balanced_join_equals_the_plain_join(spark, hot_from_100, how):
     big, small = skewed(spark)
-    joined = skew.balanced_join(big, small, ["key"], ["row"], how, every=1, rows=100)
+    joined = skew.balanced_join(big, small, ["key"], ["row"], by_row(big, ["key"]), how)
     assert "_salt" in plan_of(joined)
     assert joined.columns == big.join(small, ["key"], how).columns
     assert rows_of(joined) == rows_of(big.join(small, ["key"], how))
 
 
-def test_balanced_join_on_two_keys_with_several_rows_each(spark, always_skewed):
+def test_balanced_join_on_two_keys_with_several_rows_each(spark, hot_from_100):
     big, small = skewed(spark)
     big, small = big.withColumn("day", F.col("row") % 2), small.withColumn("day", F.lit(0).cast("long"))
-    joined = skew.balanced_join(big, small, ["key", "day"], ["row"], every=1, rows=100)
+    joined = skew.balanced_join(big, small, ["key", "day"], ["row"], by_row(big, ["key", "day"]))
+    assert "_salt" in plan_of(joined)
     assert rows_of(joined) == rows_of(big.join(small, ["key", "day"]))
 
 
-def test_a_hot_key_is_dealt_over_many_tasks(spark, always_skewed):
+def test_a_hot_key_is_dealt_over_many_tasks(spark, hot_from_100):
     big, small = skewed(spark)
-    joined = skew.balanced_join(big, small, ["key"], ["row"], every=1, rows=100, salts=64)
+    joined = skew.balanced_join(big, small, ["key"], ["row"], by_row(big, ["key"]))
     per_task = joined.where("key = 0").groupBy(F.spark_partition_id()).count().collect()
     assert len(per_task) >= 6  # of 8 shuffle partitions
 
 
-def test_hot_keys_are_found_in_a_part_of_the_rows(spark):
+def test_one_probe_finds_the_hot_keys_of_several_joins(spark, hot_from_100, monkeypatch):
     big, _ = skewed(spark)
-    hash_of = {r[0]: r[1] for r in big.select("key", F.xxhash64("key")).distinct().collect()}
-    assert skew.hot_keys(big, ["key"], ["row"], every=1, rows=100) == [hash_of[0]]
-    assert skew.hot_keys(big, ["key"], ["row"], every=8, rows=500) == [hash_of[0]]
-    assert skew.hot_keys(big, ["key"], ["row"]) == []
-
-
-def test_no_probe_where_nothing_can_be_skewed(spark, monkeypatch):
-    monkeypatch.setattr(skew, "hot_keys", lambda *a, **k: pytest.fail("probed"))
+    big = big.withColumn("other", F.when(F.col("row") % 2 == 0, "x").otherwise(F.col("row").cast("string")))
+    hash_of_key = big.where("key = 0").select(F.xxhash64("key")).first()[0]
+    hash_of_other = big.where("other = 'x'").select(F.xxhash64("other")).first()[0]
+    probe = by_row(big, ["key"], ["other"])
+    assert probe.hot(["key"]) == [hash_of_key]
+    assert probe.hot(["other"]) == [hash_of_other]
+    with pytest.raises(ValueError):
+        probe.hot(["row"])
+    monkeypatch.setattr(skew, "PROBE_EVERY", 8)
+    monkeypatch.setattr(skew, "HOT_ROWS", 500)
+    assert by_row(big, ["key"]).hot(["key"]) == [hash_of_key]
+    monkeypatch.setattr(skew, "HOT_ROWS", 10**6)
+    assert by_row(big, ["key"]).hot(["key"]) == []
+
+
+def test_nothing_is_counted_where_nothing_can_be_skewed(spark, monkeypatch):
+    monkeypatch.setattr(skew.Probe, "_found", property(lambda self: pytest.fail("counted")))
     big, small = skewed(spark)
-    assert "_salt" not in plan_of(skew.balanced_join(big, small, ["key"], ["row"]))
+    tiny = spark.sql("SELECT 0L AS key")
+    for side in (small, tiny):
+        assert "_salt" not in plan_of(skew.balanced_join(big, side, ["key"], ["row"], by_row(big, ["key"])))
 
 
 def test_unsupported_join_is_refused(spark):
     big, small = skewed(spark)
     with pytest.raises(ValueError, match="outer"):
-        skew.balanced_join(big, small, ["key"], ["row"], how="outer")
+        skew.balanced_join(big, small, ["key"], ["row"], by_row(big, ["key"]), "outer")
 
 
 def test_rank_equals_a_window_over_each_group(spark):
@@ -139,23 +161,22 @@ def test_coupon_filter_and_columns_reach_the_scan(spark, tmp_path):
 
 
 def test_distinct_counts_equal_the_plain_ones_for_small_and_heavy_groups(spark, always_skewed, monkeypatch):
-    from grapevine.operators import distinct
-    from grapevine.operators.distinct import distinct_counts
-
     rng = random.Random(2)
     rows = [(rng.choice([1, 1, 2, 3, None]), rng.choice([None, *"abcdefgh"]), rng.randrange(50), i) for i in range(3000)]
     df = spark.createDataFrame(rows, "k long, a string, b long, n long")
     plain = df.groupBy("k").agg(
         F.sum("n").alias("total"), F.count_distinct("a").alias("as"), F.count_distinct("b").alias("bs")
     )
+
+    def found():
+        return distinct_counts(df, ["k"], {"as": "a", "bs": "b"}, {"total": F.sum("n")})
+
     for heavy_from in (700, 1, 10**9):  # one heavy group, all, none
-        found = distinct_counts(
-            df, ["k"], {"as": "a", "bs": "b"}, {"total": F.sum("n")}, every=1, rows=heavy_from
-        )
-        assert ("Union" in plan_of(found)) == (heavy_from < 10**9)
-        assert rows_of(found, *plain.columns) == rows_of(plain)
-        assert found.schema["as"].dataType == plain.schema["as"].dataType
-    monkeypatch.setattr(distinct, "HOT_KEYS", 1)
-    found = distinct_counts(df, ["k"], {"as": "a", "bs": "b"}, {"total": F.sum("n")}, every=1, rows=700)
-    assert "Union" not in plan_of(found) and "Expand" in plan_of(found)
-    assert rows_of(found, *plain.columns) == rows_of(plain)
+        monkeypatch.setattr(distinct, "SET_ROWS", heavy_from)
+        assert ("Union" in plan_of(found())) == (heavy_from < 10**9)
+        assert rows_of(found(), *plain.columns) == rows_of(plain)
+        assert found().schema["as"].dataType == plain.schema["as"].dataType
+    monkeypatch.setattr(distinct, "SET_ROWS", 700)
+    monkeypatch.setattr(skew, "HOT_KEYS", 1)
+    assert "Union" not in plan_of(found()) and "Expand" in plan_of(found())
+    assert rows_of(found(), *plain.columns) == rows_of(plain)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from grapevine.operators import redemptions as ops
+from grapevine.operators import skew
 from grapevine.rules import Rules
 from tests.frames import moment, rows_of, shop
 
@@ -47,18 +48,20 @@ def test_redemptions_drop_what_has_no_order_store_or_personal_code(spark):
 
 
 def test_redemptions_are_the_same_with_salted_joins(spark, always_skewed, monkeypatch):
-    plain = rows_of(ops.redemptions(small_shop(spark), Rules()))
     salted = []
     join = ops.balanced_join
 
-    def forced(*args, **kwargs):
-        out = join(*args, **kwargs, every=1, rows=1)
+    def watched(*args):
+        out = join(*args)
         salted.append("_salt" in out._jdf.queryExecution().analyzed().toString())
         return out
 
-    monkeypatch.setattr(ops, "balanced_join", forced)
-    assert rows_of(ops.redemptions(small_shop(spark), Rules())) == plain
+    monkeypatch.setattr(ops, "balanced_join", watched)
+    found = rows_of(ops.redemptions(small_shop(spark), Rules()))
     assert len(salted) == 7 and all(salted)
+    monkeypatch.setattr(skew, "HOT_ROWS", 10**9)
+    assert rows_of(ops.redemptions(small_shop(spark), Rules())) == found
+    assert len(salted) == 14 and not any(salted[7:])
 
 
 def test_buyer_orders_show_the_buyer_at_both_ends(spark):
