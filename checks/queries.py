@@ -269,8 +269,8 @@ QUERIES: dict[str, Query] = {
     "week_start": _from_tables(_week_start),
     "order_lines": _from_lines(lambda lines: lines),
     "customer_lifetime": _from_lines(orders.customer_lifetime),
-    "customer_history": _from_lines(orders.customer_history),
-    "weekly_customer_store": _from_lines(orders.weekly_customer_store),
+    "customer_history": _from_campaign(lambda c: orders.customer_history(c.lines)),
+    "weekly_customer_store": _from_campaign(lambda c: orders.weekly_customer_store(c.lines)),
     "daily_order_flag": _from_lines(lambda lines: orders.daily_order_flag(lines).drop("semana")),
     "weekly_frequency": _from_lines(orders.weekly_frequency),
     "store_week_customers": _from_lines(orders.store_week_customers),
