@@ -42,8 +42,7 @@ VIEWS: dict[str, str] = {
                     ELSE r * r * r // (n * n) END AS discount_id
         FROM (SELECT o_orderkey, n, o_orderkey * 31 % n AS r,
                      o_orderdate + to_seconds(o_orderkey * 7919 % 86400) AS used_at
-              FROM orders, (SELECT count(*) AS n FROM customer)
-              WHERE o_orderkey % 4 = 0)""",
+              FROM orders, (SELECT count(*) AS n FROM customer))""",
     "v_shop_discount": """
         SELECT id, CASE WHEN id % 2 = 1 THEN lower(own_code) ELSE own_code END AS code
         FROM v_shop_customer WHERE id <> 11
