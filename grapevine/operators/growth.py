@@ -11,11 +11,21 @@ from pyspark.sql import functions as F
 from grapevine.functions.scaling import virality_curve
 from grapevine.rules import Rules
 
-COARSE_STEP, COARSE_UNTIL, WIDE_STEP = 0.01, 2.0, 0.1
+# Candidates for k: up to this value in this step. Long histories have their k close to 1.
+SCAN = ((0.9, 0.05), (1.1, 0.01), (2.0, 0.05), (math.inf, 0.25))
 PRECISION = 1e-9
 GOLDEN = (math.sqrt(5) - 1) / 2
 
 
+def candidates(low: float, high: float) -> list[float]:
+    """Values from ``low`` to ``high`` in the steps of SCAN."""
+    found = [low]
+    while found[-1] < high:
+        step = next(step for until, step in SCAN if found[-1] < until - 1e-9)
+        found.append(min(high, round((math.floor(found[-1] / step + 1e-9) + 1) * step, 10)))
+    return found
+
+
 def daily_uses(uses: DataFrame, client: str, moment: str) -> DataFrame:
     """Uses per client and UTC calendar day; rows without a time are left out."""
     return (
@@ -54,9 +64,9 @@ def k_factor(cumulative: DataFrame, rules: Rules) -> DataFrame:
     """The k that fits u0 (k^x - 1) / (k - 1) to a client's cumulative uses best.
 
     Least squares within [k_low, k_high]; NULL with fewer than ``min_active_days`` days. A
-    scan over a grid (finer up to 2) finds the neighbourhood of the smallest error, then a
-    golden-section search narrows it. All of it is one projection over one short array per
-    client, at most an entry per calendar day, and needs no further shuffle.
+    scan over candidates finds the neighbourhood of the smallest error, then a golden-section
+    search narrows it. All of it is one projection over one short array per client, at most
+    an entry per calendar day, and needs no further shuffle.
     """
     fits = cumulative.groupBy("ClientId").agg(
         F.array_sort(
@@ -67,21 +77,16 @@ def k_factor(cumulative: DataFrame, rules: Rules) -> DataFrame:
     enough = F.size("points") >= rules.min_active_days
     points, u0 = F.col("points"), F.col("u0")
 
-    fine = max(0, round((min(COARSE_UNTIL, rules.k_high) - rules.k_low) / COARSE_STEP))
-    wide = max(0, math.ceil((rules.k_high - COARSE_UNTIL) / WIDE_STEP))
-    grid = [rules.k_low + i * COARSE_STEP for i in range(fine + 1)]
-    grid += [min(rules.k_high, COARSE_UNTIL + i * WIDE_STEP) for i in range(1, wide + 1)]
+    ks = candidates(rules.k_low, rules.k_high)
+    spans = [
+        F.struct(F.lit(k).alias("k"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+        for lo, k, hi in zip([ks[0], *ks[:-1]], ks, [*ks[1:], ks[-1]], strict=True)
+    ]
     scan = F.array_min(
         F.transform(
-            F.array(*[F.lit(round(k, 10)) for k in grid]),
-            lambda k: F.struct(_squared_error(points, u0, k).alias("error"), k.alias("k")),
+            F.array(*spans), lambda span: F.struct(_squared_error(points, u0, span.k).alias("error"), span.alias("at"))
         )
-    ).getField("k")
-    around = F.when(F.col("best") < COARSE_UNTIL, COARSE_STEP).otherwise(WIDE_STEP)
-    bracket = F.struct(
-        F.greatest(F.lit(rules.k_low), F.col("best") - around).alias("lo"),
-        F.least(F.lit(rules.k_high), F.col("best") + around).alias("hi"),
-    )
+    ).getField("at")
 
     def narrow(span: Column, _step: Column) -> Column:
         width = span.hi - span.lo
@@ -92,7 +97,9 @@ def k_factor(cumulative: DataFrame, rules: Rules) -> DataFrame:
             F.when(keep_left, right).otherwise(span.hi).alias("hi"),
         )
 
-    steps = math.ceil(math.log(2 * WIDE_STEP / PRECISION) / -math.log(GOLDEN))
+    widest = max(hi - lo for lo, hi in zip(ks, ks[2:] or ks[1:]))
+    steps = math.ceil(math.log(widest / PRECISION) / -math.log(GOLDEN))
+    bracket = F.struct(F.col("best.lo").alias("lo"), F.col("best.hi").alias("hi"))
     search = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), bracket, narrow)
     fitted = fits.withColumn("best", F.when(enough, scan)).withColumn(
         "span", F.when(F.col("best").isNotNull(), search)

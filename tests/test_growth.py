@@ -18,6 +18,14 @@ def curve(client: int, k: float, u0: int, days: list[int]) -> list[tuple]:
     return [(client, None, None, x, float(u0 * x) if k == 1 else u0 * (k**x - 1) / (k - 1) + 0.0, u0) for x in days]
 
 
+def test_candidates_lie_closest_around_one():
+    ks = growth.candidates(0.01, 10.0)
+    assert ks[0] == 0.01 and ks[-1] == 10.0 and ks == sorted(set(ks))
+    assert [k for k in ks if 0.975 < k < 1.025] == [0.98, 0.99, 1.0, 1.01, 1.02]
+    assert max(b - a for a, b in zip(ks, ks[1:], strict=False)) == pytest.approx(0.25)
+    assert growth.candidates(0.5, 0.52) == [0.5, 0.52]
+
+
 def test_k_is_found_again_on_exact_curves(spark):
     ks = [0.6, 0.9, 0.99, 1.0, 1.003, 1.05, 1.2, 3.0, 9.7]
     rows = [p for i, k in enumerate(ks) for p in curve(i, k, 3, [0, 1, 2, 4, 7, 11, 20])]
