@@ -39,11 +39,14 @@ def cumulative_uses(days: DataFrame) -> DataFrame:
     """Per client and active day: days since the first, uses so far, uses on the first day.
 
     The window holds one row per client and calendar day, so its size is bounded by the
-    calendar whatever the number of uses.
+    calendar whatever the number of uses. The number of partitions is set here, because the
+    fit that follows is heavy for the size of its data: adaptive merging, which goes by size,
+    would leave it to few tasks.
     """
+    partitions = int(days.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_day = W.partitionBy("ClientId").orderBy("day")
     so_far = by_day.rowsBetween(W.unboundedPreceding, W.currentRow)
-    return days.select(
+    return days.repartition(partitions, "ClientId").select(
         "ClientId",
         "day",
         "uses",

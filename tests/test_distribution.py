@@ -137,6 +137,15 @@ def test_plans_stay_in_the_jvm(spark, name):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
+def test_growth_factors_shuffle_clients_once(spark):
+    from grapevine.operators import growth
+    from grapevine.rules import Rules
+
+    days = spark.range(100).selectExpr("id % 9 AS ClientId", "date_add(DATE'2021-01-01', int(id)) AS day", "1L AS uses")
+    plan = plan_of(growth.k_factor(growth.cumulative_uses(days), Rules()))
+    assert plan.count("Exchange hashpartitioning(ClientId") == 1
+
+
 def test_name_similarity_is_one_python_step_after_the_aggregate(spark):
     plan = plan_of(QUERIES["name_similarity"](spark, SF))
     assert plan.count("+- ArrowEvalPython") == 1
