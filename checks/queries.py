@@ -17,7 +17,8 @@ from grapevine.functions.scaling import virality_curve
 from grapevine.operators import accuracy, edges, family, growth, orders, reach, redemptions, stages
 from grapevine.plans.campaign import Campaign, export_csv
 from grapevine.rules import Rules
-from grapevine.session import Workspace
+from grapevine.session import Workspace, use_trial_folder
+from grapevine.sources.schemas import ShopTables
 from grapevine.sources.tables import read_csv, write_parquet
 from grapevine.sources.testviews import AS_OF, shop_from_test_tables
 
@@ -39,8 +40,13 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
+def _shop(spark: SparkSession, sf_dir: str) -> ShopTables:
+    use_trial_folder(spark)
+    return shop_from_test_tables(spark, sf_dir)
+
+
 def _from_tables(build: Callable) -> Query:
-    return lambda spark, sf_dir: comparable(build(shop_from_test_tables(spark, sf_dir)))
+    return lambda spark, sf_dir: comparable(build(_shop(spark, sf_dir)))
 
 
 def _from_redemptions(build: Callable[[DataFrame], DataFrame]) -> Query:
@@ -53,7 +59,7 @@ def _from_lines(build: Callable[[DataFrame], DataFrame]) -> Query:
 
 def _from_campaign(build: Callable[[Campaign], DataFrame]) -> Query:
     return lambda spark, sf_dir: comparable(
-        build(Campaign(spark, shop_from_test_tables(spark, sf_dir), AS_OF, RULES))
+        build(Campaign(spark, _shop(spark, sf_dir), AS_OF, RULES))
     )
 
 
@@ -174,7 +180,7 @@ def _sink(name: str) -> Query:
     """Write a result table, read it back."""
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        campaign = Campaign(spark, shop_from_test_tables(spark, sf_dir), AS_OF, RULES)
+        campaign = Campaign(spark, _shop(spark, sf_dir), AS_OF, RULES)
         rows = getattr(campaign, name)
         path = campaign.workspace.path(f"referrals_{name}")
         write_parquet(rows, path)
@@ -188,10 +194,9 @@ def _csv(which: int) -> Query:
     """Export interactions and users as CSV, read one of them back."""
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables = _shop(spark, sf_dir)
         workspace = Workspace(spark)
-        rows = workspace.keep(
-            redemptions.redemptions(shop_from_test_tables(spark, sf_dir), RULES), "redemptions"
-        )
+        rows = workspace.keep(redemptions.redemptions(tables, RULES), "redemptions")
         tables = edges.interactions(rows), edges.users(rows)
         paths = export_csv(*tables, workspace.path("csv"))
         return comparable(_without_similarity(read_csv(spark, paths[which], tables[which].schema)))

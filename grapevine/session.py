@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +28,7 @@ def build_session(
     """
     builder = SparkSession.builder.appName("grapevine")
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", memory)
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", memory)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
@@ -34,18 +36,29 @@ def build_session(
     return builder.getOrCreate()
 
 
+_trial: list[str] = []
+
+
+def use_trial_folder(spark: SparkSession) -> None:
+    """For tests and trials on one machine: a temporary folder, removed at exit, where no shared one is set."""
+    if spark.conf.get("spark.checkpoint.dir", None) or _trial:
+        return
+    if not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
+    _trial.append(tempfile.mkdtemp(prefix="grapevine-"))
+    atexit.register(shutil.rmtree, _trial[0], ignore_errors=True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a temporary folder; a cluster
-    without it is an error, because a machine's own disk is lost with the machine.
+    It is required, because a machine's own disk is lost with the machine; only
+    ``use_trial_folder`` stands in for it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return tempfile.mkdtemp(prefix="grapevine-")
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or next(iter(_trial), None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder.rstrip("/")
 
 
 class Workspace:
@@ -65,5 +78,5 @@ class Workspace:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(f"{name}-{uuid.uuid4().hex[:8]}")
-        df.write.mode("errorifexists").parquet(path)
+        df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

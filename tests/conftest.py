@@ -3,13 +3,14 @@ from __future__ import annotations
 import pytest
 
 from grapevine.operators import distinct, skew
-from grapevine.session import build_session
+from grapevine.session import build_session, use_trial_folder
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("local[8]", shuffle_partitions=8)
     session.sparkContext.setLogLevel("ERROR")
+    use_trial_folder(session)
     yield session
     session.stop()
 
