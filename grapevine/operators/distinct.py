@@ -24,18 +24,15 @@ def distinct_counts(
     column and shuffle all of them twice. Most groups are small: these count the size of a
     set, which combines before the one shuffle. Heavy groups, where a set could grow large,
     are looked for in a part of the rows, and take the ordinary way, which deals a group's
-    values over all tasks. If there are too many of them to list, all groups do. Large frames
-    are read more than once: pass a written table.
+    values over all tasks. Large frames are read more than once: pass a written table.
     """
-    hot = skew.Probe(df, list(distinct.values()), keys, hot_rows=SET_ROWS).hot(keys)
+    hot = skew.Probe(df, keys, hot_rows=SET_ROWS).hot(keys)
     kept = {name: column.alias(name) for name, column in (others or {}).items()}
     sizes = [F.size(F.collect_set(c)).cast("bigint").alias(name) for name, c in distinct.items()]
     if not hot:
         return df.groupBy(*keys).agg(*kept.values(), *sizes)
     counts = [F.count_distinct(c).alias(name) for name, c in distinct.items()]
-    if len(hot) == skew.HOT_KEYS:
-        return df.groupBy(*keys).agg(*kept.values(), *counts)
-    heavy = skew.is_one_of(keys, hot)
+    heavy = skew.is_one_of(keys, list(hot))
     return (
         df.where(~heavy)
         .groupBy(*keys)

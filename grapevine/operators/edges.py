@@ -35,7 +35,12 @@ def latest_interactions(redemptions: DataFrame) -> DataFrame:
 
 
 def interactions(redemptions: DataFrame) -> DataFrame:
-    """The edge table: latest interaction per pair with counts, labels and name similarity.
+    """The edge table: latest interaction per pair with counts, labels and name similarity."""
+    return with_similarity(lean_interactions(redemptions))
+
+
+def lean_interactions(redemptions: DataFrame) -> DataFrame:
+    """The edge table without name similarity, which no later step reads.
 
     Customers of a repeated pair are old by definition. ``store_key`` is the store label;
     the raw store id keeps its own column.
@@ -56,13 +61,24 @@ def interactions(redemptions: DataFrame) -> DataFrame:
         "StoreName",
         "StoreId",
         "ZipCode",
-        name_similarity("Referrer_Name", "Referral_Name").alias("name_similarity"),
         "n_interactions",
         zip_label(F.col("ZipCode")).alias("zip_code"),
         store_label(F.col("StoreId")).alias("store_key"),
     )
 
 
+def with_similarity(edges: DataFrame) -> DataFrame:
+    """Edges with ``name_similarity`` after the postal code: one Python step over the distinct pairs of names.
+
+    Names are missing together with their pair, so the join need not match nulls.
+    """
+    names = ["Referrer_Name", "Referral_Name"]
+    pairs = edges.select(*names).where(" AND ".join(f"{n} IS NOT NULL" for n in names)).distinct()
+    known = pairs.withColumn("name_similarity", name_similarity(*names))
+    at = edges.columns.index("ZipCode") + 1
+    return edges.join(known, names, "left").select(*edges.columns[:at], "name_similarity", *edges.columns[at:])
+
+
 def pair_counts(redemptions: DataFrame) -> DataFrame:
     """Redemptions per pair of numbers."""
     return (

@@ -33,7 +33,7 @@ def child_sharing(edges: DataFrame, client_edges: DataFrame) -> DataFrame:
         F.max(_to_self().cast("int")).alias("is_self")
     )
     uses = client_edges.select("ClientId", _phone("to").alias("phone"))
-    probe = Probe(uses, ["ClientId"], ["phone"])
+    probe = Probe(uses, ["phone"])
     second_hop = balanced_join(invited, sharing, ["phone"], ["ClientId"], probe, "left")
     counts = second_hop.groupBy("ClientId").agg(
         (F.count(F.lit(1)) - F.max("is_self")).alias("n_children"),
@@ -55,7 +55,7 @@ def children(client_edges: DataFrame) -> DataFrame:
     uses = client_edges.select(F.col("ClientId").alias("parent_Id"), F.col("childId").alias("cliente"))
     own = F.col("cliente") == F.col("parent_Id")
     return (
-        balanced_join(uses.distinct(), has_self, ["parent_Id"], ["cliente"], Probe(uses, ["cliente"], ["parent_Id"]))
+        balanced_join(uses.distinct(), has_self, ["parent_Id"], ["cliente"], Probe(uses, ["parent_Id"]))
         .where(~(own & (F.col("has_self") == 1)))
         .select("parent_Id", "cliente")
     )
@@ -86,7 +86,7 @@ def child_behaviour(client_edges: DataFrame, means: DataFrame) -> DataFrame:
     """
     per_child = means.withColumnRenamed("ClientId", "cliente")
     uses = client_edges.select(F.col("childId").alias("cliente"), F.col("ClientId").alias("parent_Id"))
-    probe = Probe(uses, ["parent_Id"], ["cliente"])
+    probe = Probe(uses, ["cliente"])
     return balanced_join(children(client_edges), per_child, ["cliente"], ["parent_Id"], probe).select(
         "parent_Id", "cliente", "active", "mean_freq", "mean_gmv", "mean_AOV"
     )

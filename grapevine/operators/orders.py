@@ -40,7 +40,7 @@ def order_lines(tables: ShopTables, rules: Rules) -> DataFrame:
         F.col("Latitud").alias("Latitude"),
         F.col("Longitud").alias("Longitude"),
     )
-    parties = Probe(heads, ["OrderId"], ["cliente"], ["BillingAddressId"], ["storeid"])
+    parties = Probe(heads, ["cliente"], ["BillingAddressId"], ["storeid"])
     heads = balanced_join(heads, customers, ["cliente"], ["OrderId"], parties)
     heads = balanced_join(heads, addresses, ["BillingAddressId"], ["OrderId"], parties)
     heads = balanced_join(heads, stores, ["storeid"], ["OrderId"], parties)
@@ -48,7 +48,7 @@ def order_lines(tables: ShopTables, rules: Rules) -> DataFrame:
     # Few categories share all products, so their names are joined with the same care.
     categories = tables.category.select(F.col("Id").alias("catid"), F.col("Name").alias("categoria"))
     filed = tables.product_category.select("ProductId", F.col("CategoryId").alias("catid"))
-    named = balanced_join(filed, categories, ["catid"], ["ProductId"], Probe(filed, ["ProductId"], ["catid"]))
+    named = balanced_join(filed, categories, ["catid"], ["ProductId"], Probe(filed, ["catid"]))
     goods = named.join(tables.product.select(F.col("Id").alias("ProductId"), "Sku"), "ProductId")
     items = tables.order_item.select(
         "OrderId",
@@ -56,7 +56,7 @@ def order_lines(tables: ShopTables, rules: Rules) -> DataFrame:
         "PriceExclTax",
         (F.col("Quantity") * F.col("OriginalProductCost")).alias("costo"),
     )
-    item_keys = Probe(tables.order_item, ["OrderId", "ProductId"], ["ProductId"], ["OrderId"])
+    item_keys = Probe(tables.order_item, ["ProductId"], ["OrderId"])
     sold = balanced_join(items, goods, ["ProductId"], ["OrderId"], item_keys)
     return balanced_join(sold, heads, ["OrderId"], ["ProductId"], item_keys).select(
         "storeid",
@@ -176,7 +176,7 @@ def behaviour(lines: DataFrame, as_of: datetime.date | str, rules: Rules) -> Dat
     stores = store_week_customers(lines).drop("ZipCode_tienda")
     with_frequency = one_store.join(weekly_frequency(lines), ["semana", "cliente"])
     with_totals = with_frequency.join(_customer_totals(lines), "cliente")
-    visits = Probe(lines.withColumnRenamed("storeid", "tienda"), ["cliente"], ["tienda", "semana"])
+    visits = Probe(lines.withColumnRenamed("storeid", "tienda"), ["tienda", "semana"])
     joined = balanced_join(with_totals, stores, ["tienda", "semana"], ["cliente"], visits)
     return joined.select(
         "semana",

@@ -8,9 +8,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SALTS = 64  # tasks that share one hot key
-HOT_ROWS = 1_000_000  # a key with fewer rows overloads no task
-HOT_KEYS = 1000  # at most this many keys are salted, the heaviest ones
+HOT_ROWS = 1_000_000  # a key with fewer rows overloads no task; of a hot key, about as many go to one
+HOT_KEYS = 1000  # a key with less than this part of the rows is not hot, so at most as many keys are
 PROBE_EVERY = 64  # one in this many rows is counted to find them
 
 
@@ -38,16 +37,13 @@ def fits_broadcast(df: DataFrame) -> bool:
 class Probe:
     """Looks for hot keys in a cheap frame, once for all joins on it.
 
-    ``rows`` holds the key columns of each join in ``key_sets``, and the columns ``by``, whose
-    content hash decides which rows are counted. A key is hot from ``hot_rows`` rows on,
-    HOT_ROWS by default. Nothing is counted for frames that are smaller than what the session
-    calls a skewed partition.
+    ``rows`` holds the key columns of each join in ``key_sets``. A key is hot from ``hot_rows`` rows
+    on, HOT_ROWS by default. Nothing is counted for frames that are smaller than what the session
+    calls a skewed partition. The first call of ``hot`` runs a Spark job.
     """
 
-    def __init__(
-        self, rows: DataFrame, by: Sequence[str], *key_sets: Sequence[str], hot_rows: int | None = None
-    ):
-        self.rows, self.by = rows, list(by)
+    def __init__(self, rows: DataFrame, *key_sets: Sequence[str], hot_rows: int | None = None):
+        self.rows = rows
         self.hot_rows = HOT_ROWS if hot_rows is None else hot_rows
         self.key_sets = [list(keys) for keys in key_sets]
 
@@ -59,32 +55,37 @@ class Probe:
         return _estimated_bytes(self.rows) > limit
 
     @cached_property
-    def _found(self) -> list[tuple[int, int]]:
-        """Pairs of key set and key hash, at most HOT_KEYS per key set: small numbers to collect."""
+    def _found(self) -> list[tuple[int, int, int]]:
+        """Key set, key hash and rows, at most HOT_KEYS per key set: small numbers to collect.
+
+        Rows are drawn each by itself, not by content: rows that are alike must not be all in or
+        all out. The draw decides where rows go, not what comes out.
+        """
         marked = [
             F.struct(F.lit(i).alias("key_set"), _same_on_every_run(keys).alias("key"))
             for i, keys in enumerate(self.key_sets)
         ]
+        drawn = self.rows.sample(1 / PROBE_EVERY, 17) if PROBE_EVERY > 1 else self.rows
+        seen = drawn.agg(F.count(F.lit(1)).alias("n")).scalar()
         counted = (
-            self.rows.where(F.pmod(_same_on_every_run(self.by), F.lit(PROBE_EVERY)) == 0)
-            .select(F.explode(F.array(*marked)).alias("mark"))
+            drawn.select(F.explode(F.array(*marked)).alias("mark"))
             .groupBy("mark.key_set", "mark.key")
             .count()
             .where(F.col("count") * PROBE_EVERY >= self.hot_rows)
+            .where(F.col("count") * HOT_KEYS >= seen)
         )
-        heaviest = counted.orderBy(F.desc("count"), "key_set", "key").limit(HOT_KEYS * len(self.key_sets))
-        return [(row.key_set, row.key) for row in heaviest.collect()]
+        return [(row["key_set"], row["key"], row["count"] * PROBE_EVERY) for row in counted.collect()]
 
-    def hot(self, keys: Sequence[str]) -> list[int]:
-        """Hashes of the hot keys of one key set.
+    def hot(self, keys: Sequence[str]) -> dict[int, int]:
+        """About how many rows the hot keys of one key set have, by hash of the key.
 
-        Only the placement of rows depends on this list, never the result: a key missing here
-        is treated as the others, and as a lighter one holds at most one row in HOT_KEYS.
+        Only the placement of rows depends on this, never the result: a key missing here
+        is treated as the others, and holds less than one row in HOT_KEYS.
         """
         wanted = self.key_sets.index(list(keys))
         if not self.large:
-            return []
-        return [key for key_set, key in self._found if key_set == wanted]
+            return {}
+        return {key: n for key_set, key, n in self._found if key_set == wanted}
 
 
 def is_one_of(keys: Sequence[str], hashes: Sequence[int]) -> Column:
@@ -92,31 +93,42 @@ def is_one_of(keys: Sequence[str], hashes: Sequence[int]) -> Column:
     return _same_on_every_run(keys).isin(list(hashes))
 
 
+def _salts(keys: Sequence[str], hot: dict[int, int]) -> Column:
+    """Number of tasks that share a row's key: a power of two, by the key's weight; 1 where it is not hot."""
+    by_salts: dict[int, list[int]] = {}
+    for key, n in hot.items():
+        by_salts.setdefault(max(2, 1 << (n // max(1, HOT_ROWS)).bit_length()), []).append(key)
+    salts = F.lit(1)
+    for count, own in by_salts.items():
+        salts = F.when(is_one_of(keys, own), F.lit(count)).otherwise(salts)
+    return salts
+
+
 def balanced_join(
     big: DataFrame,
     small: DataFrame,
     keys: Sequence[str],
-    spread: Sequence[str],
+    spread: Sequence[str] | None,
     probe: Probe,
     how: str = "inner",
 ) -> DataFrame:
     """``big.join(small, keys, how)`` (inner, left or left_semi) with hot keys spread out.
 
     Where the small side can be broadcast, or the probe finds no hot key, this is the plain
-    join. Otherwise the rows of a hot key in ``big`` are dealt over SALTS tasks by a hash of
-    the ``spread`` columns, and the matching rows of ``small`` are repeated once per task; all
-    other keys join as they are. The list of hot keys is a constant of the plan, the same for
-    both sides, whatever is recomputed later.
+    join. Otherwise the rows of a hot key in ``big`` are dealt over tasks, the more the heavier
+    the key, by a hash of the ``spread`` columns, and the matching rows of ``small`` are repeated
+    once per task; all other keys join as they are. Without ``spread`` rows are dealt by their
+    place in a source that ``big`` is read from, which a repeated task finds the same; this parts
+    rows that are alike. The list of hot keys is a constant of the plan, the same for both sides.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"cannot balance a {how!r} join")
     keys = list(keys)
-    hot = probe.hot(keys) if not fits_broadcast(small) else []
+    hot = probe.hot(keys) if not fits_broadcast(small) else {}
     if not hot:
         return big.join(small, keys, how)
-    is_hot = is_one_of(keys, hot)
-    share = F.pmod(_same_on_every_run(spread), F.lit(SALTS)).cast("int")
-    dealt = big.withColumn("_salt", F.when(is_hot, share).otherwise(0))
-    every_share = F.array(*[F.lit(i) for i in range(SALTS)])
-    repeated = small.withColumn("_salt", F.explode(F.when(is_hot, every_share).otherwise(F.array(F.lit(0)))))
+    salts = _salts(keys, hot)
+    own = F.xxhash64(F.monotonically_increasing_id()) if spread is None else _same_on_every_run(spread)
+    dealt = big.withColumn("_salt", F.pmod(own, salts).cast("int"))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")

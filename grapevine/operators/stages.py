@@ -34,7 +34,7 @@ def intermediates(user_rows: DataFrame) -> DataFrame:
 def edges_of(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Interactions whose referrer is one of the given users, by client id."""
     ids = members.select("ClientId").distinct()
-    uses = Probe(edges, ["OrderId"], ["ClientId"])
+    uses = Probe(edges, ["ClientId"])
     return balanced_join(edges, ids, ["ClientId"], ["OrderId"], uses, "left_semi").select(*edges.columns)
 
 
@@ -44,7 +44,7 @@ def typed_edges(edges: DataFrame, staged_sharers: DataFrame) -> DataFrame:
     One join for both stages of sharers; users who do not share have no interactions.
     """
     stages = staged_sharers.select("ClientId", F.col("stage").alias("referrer_type")).distinct()
-    uses = Probe(edges, ["OrderId"], ["ClientId"])
+    uses = Probe(edges, ["ClientId"])
     return balanced_join(edges, stages, ["ClientId"], ["OrderId"], uses).select(*edges.columns, "referrer_type")
 
 
