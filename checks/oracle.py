@@ -72,10 +72,14 @@ VIEWS: dict[str, str] = {
         SELECT u.order_id, u.used_at, p.code, h.id AS client, h.username AS giver, ha.firstname AS giver_name,
                t.firstname AS taker_name, t.phone AS taker, o.customer_id AS child, o.total, n.week, n.novelty,
                s.name AS store, s.id AS store_id, s.zip
-        FROM v_shop_usage u, v_personal_code p, v_shop_customer h, v_shop_address ha, v_shop_order o, v_shop_address t,
-             v_order_novelty n, v_shop_store s
-        WHERE u.discount_id = p.id AND upper(p.code) = upper(h.own_code) AND ha.id = h.id
-          AND o.id = u.order_id AND t.id = o.customer_id AND n.order_id = o.id AND s.id = o.store_id""",
+        FROM v_personal_code p
+        JOIN v_shop_customer h ON upper(p.code) = upper(h.own_code)
+        JOIN v_shop_address ha ON ha.id = h.id
+        JOIN v_shop_usage u ON u.discount_id = p.id
+        JOIN v_shop_order o ON o.id = u.order_id
+        JOIN v_shop_address t ON t.id = o.customer_id
+        JOIN v_order_novelty n ON n.order_id = o.id
+        JOIN v_shop_store s ON s.id = o.store_id""",
     # --- interactions and users ---------------------------------------------------------------
     "v_pair_row": """
         SELECT *, count(*) OVER (PARTITION BY giver, taker) AS n,
@@ -243,7 +247,7 @@ VIEWS: dict[str, str] = {
         SELECT v_edge.*, stage FROM v_edge JOIN v_person USING (client) WHERE stage <> 'passive'""",
     # --- forecasts ----------------------------------------------------------------------------
     "v_forecast": """
-        SELECT event_type, CASE WHEN event_id % 20 = 0 THEN 0 ELSE floor(value) END AS t, value + event_id % 3 AS p
+        SELECT event_id, event_type, CASE WHEN event_id % 20 = 0 THEN 0 ELSE floor(value) END AS t, value + event_id % 3 AS p
         FROM events""",
 }
 
@@ -451,6 +455,8 @@ SELECTS: dict[str, str] = {
     "mape_shifted": """SELECT event_type,
         round(100 * avg(CASE WHEN t = 0 THEN abs(1 - (p + 1)) ELSE abs((t - p) / t) END) + 1e-9, 6) AS mape
         FROM v_forecast GROUP BY event_type""",
+    "mape_one_row": """SELECT event_id, round(CASE WHEN t <> 0 THEN abs(t - p) / t END + 1e-9, 6) AS mape
+        FROM v_forecast""",
 }
 
 ORACLE: dict[str, str] = {name: _with(select) for name, select in SELECTS.items()}

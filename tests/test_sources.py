@@ -31,7 +31,6 @@ def test_shop_tables_from_parquet_and_catalog(spark, tmp_path):
     assert isinstance(read, ShopTables)
     assert rows_of(read.store) == rows_of(tables.store)
     assert read.order.schema == tables.order.schema
-    assert io.read_shop_parquet(spark, str(tmp_path), limit=1).store.count() == 1
 
 
 def test_tables_are_replaced_appended_or_kept(spark, tmp_path):
