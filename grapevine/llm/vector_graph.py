@@ -84,7 +84,7 @@ def _split(members: DataFrame, sizes: DataFrame, margin: float, level: int) -> D
         k = min(FAN, max(2, -(-2 * table.column("n")[0].as_py() // SHARD)), len(x))
         centres = centres_of(x, k)
         out = {c: table.column(c).slice(0, 1) for c in ("label", "path", "salts")}
-        return pa.table(out | {"k": [k], "centres": [centres.ravel().tolist()]})
+        return pa.table(out | {"k": pa.array([k], pa.int32()), "centres": [centres.ravel().tolist()]})
 
     fits = sample.groupBy("label", "path").applyInArrow(
         fitted, f"label {kind}, path string, salts int, k int, centres array<double>"
