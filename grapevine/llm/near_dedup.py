@@ -6,8 +6,10 @@ the partners outside its component that look most alike: few at first, more late
 of them, so no pair that shares a bucket and looks alike stays unchecked, though the members of a
 large group need not all be paired. Proposed pairs are confirmed on the full shingle sets.
 
-At a Jaccard index of 0.75 a pair shares no bucket of 32 bands of 4 with a chance of 6 in a million,
-and its sketches agree in fewer than 74 of 128 places with a chance of about one in a million.
+At a Jaccard index of 0.75 a pair shares no bucket of 32 bands of 4 with a chance of 6 in a million.
+Nodes that share a bucket get a longer sketch, of 512 numbers; at 0.75 its agreement is below the
+limits here, four and a half standard deviations off, with a chance of about 4 in a million. A pair
+is compared in the first band it agrees in alone.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ from pyspark.sql import functions as F
 
 from grapevine.llm import words as W
 from grapevine.llm.components import components
-from grapevine.llm.rows import numbered
+from grapevine.llm.rows import numbered, with_columns
 from grapevine.llm.sketches import COORDINATES, band_keys, set_digests, shingles, sketch
 from grapevine.session import Workspace
 
 PERCENT = 75  # of the union that the intersection must have
 BAND = 4
-ALIKE = 74  # equal coordinates from which a pair is checked
+ALIKE = 74  # equal numbers of the short sketch, of COORDINATES, from which a pair is looked at
+FINE, FINE_ALIKE = 512, 340  # numbers of the long sketch, and equal ones from which a pair is checked
 PROPOSALS = (2, 16, None)  # partners that a node proposes in each round; None: all
 BLOCK_ROWS = 4096  # members of a bucket that are compared in one task
 _SET = ["digest_a", "digest_b", "n_shingles"]
@@ -65,42 +68,65 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """``key``, ``node`` and ``blocks`` of the buckets with two nodes or more, one of those with the same members."""
-    rows = nodes.select(F.col("row_id").alias("node"), F.explode("bands").alias("key"))
+    """``key``, ``band``, ``node`` and ``blocks`` of the buckets with two nodes or more; of buckets with
+    the same members, the one of the first band."""
+    rows = nodes.select(F.col("row_id").alias("node"), F.posexplode("bands").alias("band", "key"))
     members = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"m{k}") for k in (1, 2)]
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), *members).where("n > 1")
-    once = sizes.groupBy("n", "m1", "m2").agg(F.min("key").alias("key"))
+    sizes = rows.groupBy("key", "band").agg(F.count("*").alias("n"), *members).where("n > 1")
+    once = sizes.groupBy("n", "m1", "m2").agg(F.min(F.struct("band", "key")).alias("first"))
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    return rows.join(once.select("key", blocks.alias("blocks")), "key")
+    return rows.join(once.select("first.*", blocks.alias("blocks")), ["key", "band"])
+
+
+def _rows_of(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    """Sketches of equal size as rows."""
+    raw = column.combine_chunks().cast(pa.large_binary())
+    raw = raw.combine_chunks() if isinstance(raw, pa.ChunkedArray) else raw
+    if not len(raw):
+        return np.zeros((0, size), np.uint16)
+    begin = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset]
+    return np.frombuffer(raw.buffers()[2], "<u2", len(raw) * size, begin).reshape(-1, size)
+
+
+def alike(short: np.ndarray, fine: np.ndarray, band: int, can: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows that look alike, and in how many numbers of the long sketch they agree.
+
+    ``can`` (rows by rows) says which pairs are wanted. A pair counts in the first band it agrees in.
+    """
+    m, found = len(short), []
+    step = max(1, (1 << 24) // (m * COORDINATES))
+    for lo in range(0, m, step):
+        equal = (short[lo : lo + step, None, :] == short[None, :, :]).sum(2, dtype=np.int16)
+        a, b = np.nonzero((equal >= ALIKE) & can[lo : lo + step])
+        for at in range(0, len(a), 1 << 15):
+            i, j = a[at : at + (1 << 15)] + lo, b[at : at + (1 << 15)]
+            bands = (short[i] == short[j]).reshape(len(i), -1, BAND).all(2)
+            here = bands.argmax(1) == band
+            i, j = i[here], j[here]
+            agree = (fine[i] == fine[j]).sum(1)
+            good = agree >= FINE_ALIKE
+            found.append((i[good], j[good], agree[good]))
+    if not found:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
 
 def _proposals(most: int | None):
     """From rows of buckets, sorted by bucket and pair of blocks, to the pairs that their members propose."""
 
-    def of_group(node, comp, size, rows, block, cross) -> tuple[np.ndarray, np.ndarray]:
-        found_a, found_b = [], []
-        m = len(node)
-        step = max(1, (1 << 24) // (m * COORDINATES))
-        for lo in range(0, m, step):
-            part = slice(lo, lo + step)
-            equal = (rows[part, None, :] == rows[None, :, :]).sum(2, dtype=np.int16)
-            can = (equal >= ALIKE) & (comp[part, None] != comp[None, :])
-            can &= 100 * np.minimum(size[part, None], size) >= PERCENT * np.maximum(size[part, None], size)
-            if cross:
-                can &= block[part, None] != block[None, :]
-            if most is not None and m > most:
-                equal = np.where(can, equal, -1)
-                best = np.argpartition(-equal, most - 1, axis=1)[:, :most]
-                here = np.repeat(np.arange(len(equal)), most)
-                there = best.ravel()
-                good = can[here, there]
-                here, there = here[good], there[good]
-            else:
-                here, there = np.nonzero(can)
-            found_a.append(node[here + lo])
-            found_b.append(node[there])
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        return np.minimum(a, b), np.maximum(a, b)
+    def of_group(node, comp, size, short, fine, block, band, cross) -> tuple[np.ndarray, np.ndarray]:
+        can = np.triu(comp[:, None] != comp[None, :], 1)
+        can &= 100 * np.minimum(size[:, None], size) >= PERCENT * np.maximum(size[:, None], size)
+        if cross:
+            can &= block[:, None] != block[None, :]
+        i, j, agree = alike(short, fine, band, can)
+        if most is not None:  # the best of either end
+            ends, other, agree = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([agree, agree])
+            order = np.lexsort((node[other], -agree, ends))
+            ends, other = ends[order], other[order]
+            rank = np.arange(len(ends)) - np.searchsorted(ends, ends)
+            i, j = ends[rank < most], other[rank < most]
+        return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -112,16 +138,15 @@ def _proposals(most: int | None):
             done = len(cuts) - 1 if last else len(cuts) - 2
             rest = None if last else table.slice(cuts[done])
             table = table.slice(0, cuts[done])
-            node, comp, size, block = (table.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "block"))
-            raw = table.column("sketch").combine_chunks().cast(pa.large_binary())
-            at = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset] if len(raw) else 0
-            data = np.frombuffer(raw.buffers()[2], "<u2", len(raw) * COORDINATES, at) if len(raw) else np.zeros(0)
-            rows = data.reshape(-1, COORDINATES)
+            node, comp, size, block, band = (
+                table.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "block", "band")
+            )
+            short, fine = _rows_of(table.column("sketch"), COORDINATES), _rows_of(table.column("fine"), FINE)
             out = []
             for a, b in zip(cuts[:done], cuts[1 : done + 1], strict=True):
-                part = slice(a, b)
-                cross = keys[1][a] != keys[2][a]
-                out.append(of_group(node[part], comp[part], size[part], rows[part], block[part], cross))
+                part, cross = slice(a, b), keys[1][a] != keys[2][a]
+                rows = (x[part] for x in (node, comp, size, short, fine, block))
+                out.append(of_group(*rows, band[a], cross))
             return out, rest
 
         def pairs(out: list) -> pa.RecordBatch:
@@ -162,7 +187,7 @@ def proposed(members: DataFrame, found: DataFrame, sketches: DataFrame, most: in
     dealt = (
         rows.withColumn("block", block)
         .withColumn("pair", F.explode(others))
-        .select("key", "pair.first", "pair.second", "block", "node", "comp", "n_shingles", "sketch")
+        .select("key", "band", "pair.first", "pair.second", "block", "node", "comp", "n_shingles", "sketch", "fine")
         .repartition("key", "first", "second")
         .sortWithinPartitions("key", "first", "second", "node")
     )
@@ -196,6 +221,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+def _fine_sketches(texts: pa.Array) -> dict[str, pa.Array]:
+    rows = W.mixed(sketch(*shingles(W.text_of(texts, lower=True)), FINE)) >> np.uint64(48)
+    return {"fine": pa.array([r.tobytes() for r in rows.astype("<u2")], pa.binary())}
+
+
 def linked(rows: DataFrame, workspace: Workspace) -> DataFrame:
     """``row_id``, ``doc_id``, ``n_shingles`` and ``root`` of every document, the root being a row number
     that all documents of a component share. ``rows`` comes from ``sketched`` and is written."""
@@ -204,14 +234,13 @@ def linked(rows: DataFrame, workspace: Workspace) -> DataFrame:
     nodes = rows.join(sets.select(F.col("node").alias("row_id")), "row_id", "left_semi")
     members = workspace.keep(buckets(nodes.select("row_id", "bands")), "buckets")
     known = members.select("node").distinct()
-    texts = workspace.keep(
-        rows.select(F.col("row_id").alias("node"), "n_shingles", "sketch", "text").join(known, "node"), "members"
-    )
+    whole = rows.select(F.col("row_id").alias("node"), "n_shingles", "sketch", "text").join(known, "node")
+    texts = workspace.keep(with_columns(whole, "text", "fine binary", _fine_sketches, 4 << 20), "members")
     spark = rows.sparkSession
     found = spark.createDataFrame([], "node long, component long")
     links = tried = spark.createDataFrame([], "u long, v long")
     for most in PROPOSALS:
-        pairs = proposed(members, found, texts.select("node", "n_shingles", "sketch"), most)
+        pairs = proposed(members, found, texts.select("node", "n_shingles", "sketch", "fine"), most)
         pairs = workspace.keep(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         tried = tried.union(pairs)
         links = links.union(workspace.keep(confirmed(pairs, texts.select("node", "text")), "confirmed"))
