@@ -27,17 +27,17 @@ WINDOW = 4096
 END_ID = 2
 SHARD_TOKENS = 1 << 21
 K1, B = 1.2, 0.75
-BLOCK = 8 << 20
+BLOCK = 32 << 20
 _MARK = "`"
 
 
 class Tokens:
     """Ids of whole texts by a tokenizer that never joins what ASCII space parts.
 
-    Words of earlier blocks are remembered, up to ``remembered`` of them.
+    Words that an earlier block has twice or more are remembered, up to ``remembered`` of them.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,9 +73,11 @@ class Tokens:
         words = W.strings_of(vocabulary.entries)
         made = self._encode([w for w in words if w not in self.known])
         raw = [made[w] if w in made else self.known[w] for w in words]
-        if len(self.known) + len(made) > self.remembered:
+        times = np.bincount(vocabulary.codes, minlength=len(words))
+        again = [words[i] for i in np.flatnonzero(times > 1).tolist() if words[i] in made]
+        if len(self.known) + len(again) > self.remembered:
             self.known.clear()
-        self.known |= dict(list(made.items())[: self.remembered])
+        self.known |= {w: made[w] for w in again[: self.remembered]}
         sizes = np.array([len(r) for r in raw], np.int64) // self.kind.itemsize
         flat, starts = np.frombuffer(b"".join(raw), self.kind), np.cumsum(sizes) - sizes
         per_word = sizes[vocabulary.codes]
@@ -128,13 +130,15 @@ def document_frequencies(tokens: DataFrame, kind: np.dtype, size: int) -> np.nda
     """In how many documents each id occurs: each task counts, and a row per id comes together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pandas as pd
+
         found = np.zeros(size, np.int64)
         for batch in batches:
             ids, bounds = _flat(batch, kind)
             rows = np.repeat(np.arange(len(batch)), np.diff(bounds))
             for lo, hi in W.ranges(np.diff(bounds), 1 << 20):
                 part = slice(bounds[lo], bounds[hi])
-                found += np.bincount(np.unique(rows[part] * size + ids[part]) % size, minlength=size)
+                found += np.bincount(pd.unique(rows[part] * size + ids[part]) % size, minlength=size)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["id", "n"])
 
@@ -148,9 +152,13 @@ class Index:
     """Inverted BM25 index of one shard's pieces."""
 
     def __init__(self, ids: np.ndarray, bounds: np.ndarray, idf: np.ndarray, mean_size: float):
+        import pandas as pd
+
         n, size = len(bounds) - 1, len(idf)
         rows = np.repeat(np.arange(n), np.diff(bounds))
-        keys, times = np.unique(ids.astype(np.int64) * n + rows, return_counts=True)
+        codes, keys = pd.factorize(ids.astype(np.int64) * n + rows)  # hashed: sorting the distinct ones is less work
+        order = np.argsort(keys)
+        keys, times = keys[order], np.bincount(codes)[order]
         term, self.piece = keys // n, keys % n
         norm = K1 * (1 - B + B * np.diff(bounds) / max(mean_size, 1.0))
         self.weight = idf[term] * times * (K1 + 1) / (times + norm[self.piece])
