@@ -2,9 +2,9 @@
 
 Texts with the same set of shingles are one node. Sketches are cut into bands; nodes that agree in
 a band share a bucket. Within a bucket, sketches are compared as arrays, and every node proposes
-the partners outside its component that look most alike: few at first, more later, and at last all
-of them, so no pair that shares a bucket and looks alike stays unchecked, though the members of a
-large group need not all be paired. Proposed pairs are confirmed on the full shingle sets.
+the partners outside its component that look most alike: a few at first, and then all of them, so
+no pair that shares a bucket and looks alike stays unchecked, though the members of a large group
+need not all be paired. Proposed pairs are confirmed on the full shingle sets.
 
 At a Jaccard index of 0.75 a pair shares no bucket of 32 bands of 4 with a chance of 6 in a million.
 Nodes that share a bucket get a longer sketch, of 512 numbers; at 0.75 its agreement is below the
@@ -31,7 +31,8 @@ PERCENT = 75  # of the union that the intersection must have
 BAND = 4
 ALIKE = 74  # equal numbers of the short sketch, of COORDINATES, from which a pair is looked at
 FINE, FINE_ALIKE = 512, 340  # numbers of the long sketch, and equal ones from which a pair is checked
-PROPOSALS = (2, 16, None)  # partners that a node proposes in each round; None: all
+PROPOSALS = (3, None)  # partners that a node proposes in a bucket in each round; None: all
+BROADCAST_NODES = 2_000_000  # node numbers (16 MB) up to which texts need not move to meet them
 BLOCK_ROWS = 4096  # members of a bucket that are compared in one task
 _SET = ["digest_a", "digest_b", "n_shingles"]
 
@@ -233,7 +234,8 @@ def linked(rows: DataFrame, workspace: Workspace) -> DataFrame:
     sets = workspace.keep(slim.where("n_shingles > 0").groupBy(*_SET).agg(F.min("row_id").alias("node")), "sets")
     nodes = rows.join(sets.select(F.col("node").alias("row_id")), "row_id", "left_semi")
     members = workspace.keep(buckets(nodes.select("row_id", "bands")), "buckets")
-    known = members.select("node").distinct()
+    known = workspace.keep(members.select("node").distinct(), "known")
+    known = F.broadcast(known) if known.count() <= BROADCAST_NODES else known
     whole = rows.select(F.col("row_id").alias("node"), "n_shingles", "sketch", "text").join(known, "node")
     texts = workspace.keep(with_columns(whole, "text", "fine binary", _fine_sketches, 4 << 20), "members")
     spark = rows.sparkSession
