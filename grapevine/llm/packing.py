@@ -11,6 +11,7 @@ in the next one; the last of a task is cut into sequences of a power of two, whi
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -29,12 +30,79 @@ SHARD_TOKENS = 1 << 21
 K1, B = 1.2, 0.75
 BLOCK = 32 << 20
 _MARK = "`"
+# The pattern by which the tokenizer that lower-cases and marks word ends splits texts.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_END = "</w>"
+
+_SPACE, _LETTER, _DIGIT, _SYMBOL, _APOSTROPHE, _OTHER = range(6)
+
+
+def _class_of(byte: int) -> int:
+    if byte in W.SPACES:
+        return _SPACE
+    if byte >= 128:
+        return _OTHER
+    sign = chr(byte)
+    return _LETTER if sign.isalpha() else _DIGIT if sign.isdigit() else _APOSTROPHE if sign == "'" else _SYMBOL
+
+
+_CLASSES = np.array([_class_of(b) for b in range(256)], np.uint8)
+#: By class of a byte and of the next one: whether the pattern surely parts them. Signs and apostrophes may match
+#: as one, as may an apostrophe and the letters after it, and other characters (marks, say) with anything.
+_PARTS = ~np.eye(6, dtype=bool)
+_PARTS[_OTHER, 1:] = _PARTS[1:, _OTHER] = False
+_PARTS[_SYMBOL, _APOSTROPHE] = _PARTS[_APOSTROPHE, _SYMBOL] = _PARTS[_APOSTROPHE, _LETTER] = False
+
+
+def _byte_classes(data: np.ndarray) -> np.ndarray:
+    """Class of each byte; the letters from U+00C0 to U+00FF are letters with both their bytes."""
+    classes = _CLASSES[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # the signs of times and division
+    classes[lead] = classes[lead + 1] = _LETTER
+    return classes
+
+
+def pieces_of(text: W.Text) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the pieces of words that ``_PATTERN`` surely parts. No piece passes a text's end."""
+    if not len(text.data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    classes = _byte_classes(text.data)
+    edge = np.ones(len(classes) + 1, bool)
+    edge[1:-1] = _PARTS.ravel()[classes[:-1] * np.uint8(6) + classes[1:]]
+    edge[text.offsets] = True
+    at = np.flatnonzero(edge)
+    begin, end = at[:-1], at[1:]
+    real = classes[begin] != _SPACE
+    return begin[real], end[real]
+
+
+def lowered(text: W.Text) -> W.Text:
+    """A-Z in lower case, unless a character follows that might combine with the capital."""
+    data = W.LOWER[text.data]
+    capital = np.flatnonzero(data[:-1] != text.data[:-1])
+    kept = capital[_byte_classes(text.data)[capital + 1] == _OTHER]
+    data[kept] = text.data[kept]
+    return W.Text(data, text.offsets)
+
+
+def _parts_words(tokenizer) -> bool:
+    """Whether the tokenizer lower-cases, splits by ``_PATTERN`` and marks the ends of words."""
+    steps = json.loads(tokenizer.to_str())
+    normal, split = steps["normalizer"] or {}, steps["pre_tokenizer"] or {}
+    return (
+        {"type": "Lowercase"} in normal.get("normalizers", [])
+        and any(p.get("pattern") == {"Regex": _PATTERN} for p in split.get("pretokenizers", []))
+        and steps["model"].get("end_of_word_suffix") == _WORD_END
+    )
 
 
 class Tokens:
     """Ids of whole texts by a tokenizer that never joins what ASCII space parts.
 
-    Words that an earlier block has twice or more are remembered, up to ``remembered`` of them.
+    A word is encoded once per block. With a tokenizer that lower-cases and splits by ``_PATTERN``, words are
+    parted further, so that one with a comma is the same as one without. Words that an earlier block
+    has twice or more are remembered, up to ``remembered`` of them.
     """
 
     def __init__(self, path: str, remembered: int = 600_000):
@@ -43,33 +111,50 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
+        self.parted = _parts_words(self.tokenizer)
+        self.ends = np.zeros(size, bool)
+        if self.parted:
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(_WORD_END)]] = True
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
-        """Many words at a time, with a mark between them; words that hold the mark go alone."""
-        width = self.kind.itemsize
-        out = {}
+        """Many words at a time, with a mark between them; words that hold the mark go alone, and plain
+        letters, whose last id says that the word ends, need none."""
+        out, plain, marked = {}, [], []
         for w in words:
-            if _MARK in w:
+            if self.parted and w.isalpha() and max(w) <= "\u00ff":
+                plain.append(w)
+            elif _MARK in w:
                 out[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
-        plain = [w for w in words if _MARK not in w]
-        groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        texts = [f" {_MARK} ".join(g) for g in groups]
+            else:
+                marked.append(w)
+        return out | self._together(plain, " ", False) | self._together(marked, f" {_MARK} ", True)
+
+    def _together(self, words: list[str], between: str, marks: bool) -> dict[str, bytes]:
+        width, out = self.kind.itemsize, {}
+        groups = [words[i : i + 512] for i in range(0, len(words), 512)]
+        texts = [between.join(g) for g in groups]
         for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(found.ids, self.kind)
-            cuts = np.flatnonzero(ids == self.mark)
             raw = ids.tobytes()
-            begins = (np.append(0, cuts + 1) * width).tolist()
-            ends = (np.append(cuts, len(ids)) * width).tolist()
-            out |= {w: raw[a:b] for w, a, b in zip(group, begins, ends, strict=True)}
+            if marks:
+                cuts = np.flatnonzero(ids == self.mark)
+                begins, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
+            else:
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                begins = np.append(0, ends[:-1])
+            spans = zip(group, (begins * width).tolist(), (ends * width).tolist(), strict=True)
+            out |= {w: raw[a:b] for w, a, b in spans}
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, END_ID after each, and where each text's ids begin."""
-        vocabulary = W.vocabulary_of(W.text_of(texts))
+        text = W.text_of(texts)
+        vocabulary = W.vocabulary_of(lowered(text), pieces_of) if self.parted else W.vocabulary_of(text)
         words = W.strings_of(vocabulary.entries)
         made = self._encode([w for w in words if w not in self.known])
         raw = [made[w] if w in made else self.known[w] for w in words]
