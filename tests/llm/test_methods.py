@@ -102,6 +102,20 @@ def test_encoded_documents_decode_to_their_texts(spark, docs, texts):
     assert {r.doc_id: r.text for r in back.collect()} == texts
 
 
+def test_parted_words_have_the_ids_of_the_library():
+    # Capitals that combine, signs beside apostrophes, letters and marks outside ASCII.
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    signs = [*"aAhHsStTrReE''''`,.!-123$< \t\n\x1c", *"\u00e9\u00c9\u00df\u00d7\u00f7\u00aa\u00b5\u00b2\u0130\u03a3"]
+    signs += "\u0301 \u0307 \u0331 \u0338 \u2014 \u00a0 \u2003 \u212a \ufb01 \uac00 \u1100 \u1161 \U0001f600 \u0663".split(" ")
+    rng = np.random.default_rng(11)
+    made = ["".join(signs[i] for i in rng.integers(0, len(signs), rng.integers(0, 30))) for _ in range(5000)]
+    ids, bounds = packing.Tokens(path).encode(pa.array(made))
+    for text, a, b in zip(made, bounds, bounds[1:], strict=False):
+        assert ids[a:b].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_pieces_hold_every_id_once(spark, docs, texts):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
