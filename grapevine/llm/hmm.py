@@ -32,6 +32,7 @@ END = 0  # class of the end of a text; no word has it
 STRETCH = 512  # words of a training sequence; longer texts train in several
 ROUNDS = 3
 WARM_STRETCHES = 400  # stretches that the rounds before are made on, to find the states
+WARM_BLOCKS = 1600  # blocks they are drawn from, about
 WARM_ROUNDS = 15
 BLOCK = 16 << 20
 
@@ -215,7 +216,14 @@ def _training_sequences(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np
 
 
 def warm_stretches(read: DataFrame) -> list[np.ndarray]:
-    """At most WARM_STRETCHES full stretches, drawn by a hash of their classes."""
+    """At most WARM_STRETCHES full stretches, drawn by a hash of their classes.
+
+    They come from about WARM_BLOCKS blocks at most, drawn by a hash of their number, and a block offers its
+    share of four times as many: what reaches the driver does not grow with the input.
+    """
+    n = read.count()
+    share = min(1.0, WARM_BLOCKS / max(1, n))
+    offered = min(WARM_STRETCHES, -(-4 * WARM_STRETCHES // max(1, min(n, WARM_BLOCKS))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,13 +232,14 @@ def warm_stretches(read: DataFrame) -> list[np.ndarray]:
                 least = min(STRETCH, int(np.diff(bounds).max(initial=0)))
                 full = np.flatnonzero(np.diff(bounds) >= max(1, least // 2))
                 turns = W.mixed(classes[bounds[full]].astype(np.uint64) + full.astype(np.uint64) * np.uint64(2654435761))
-                drawn = np.argsort(turns, kind="stable")[:WARM_STRETCHES]
+                drawn = np.argsort(turns, kind="stable")[:offered]
                 texts = [classes[bounds[i] : bounds[i + 1]].astype(np.uint16).tobytes() for i in full[drawn].tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(turns[drawn].view(np.int64)), pa.array(texts, pa.binary())], names=["turn", "classes"]
                 )
 
-    drawn = read.select("sizes", "held_out", "numbers", "class").mapInArrow(run, "turn long, classes binary")
+    some = read.where(F.pmod(F.xxhash64("block"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    drawn = some.select("sizes", "held_out", "numbers", "class").mapInArrow(run, "turn long, classes binary")
     found = drawn.orderBy("turn", "classes").limit(WARM_STRETCHES).collect()
     return [np.frombuffer(r.classes, np.uint16).astype(np.int64) for r in found]
 
