@@ -2,7 +2,8 @@
 
 Vectors of a label are split into overlapping clusters (spherical k-means on a bounded sample,
 level by level, until a cluster has at most ``SHARD`` vectors); a vector also joins clusters whose
-centres are nearly as close. Each cluster builds a graph of its own: from a vector's nearest
+centres are nearly as close. A cluster that splitting does not make smaller is compared whole, block
+against block. Each other cluster builds a graph of its own: from a vector's nearest
 candidates the closest is kept, and those that it brings much nearer are dropped. The adjacency
 lists of all clusters are united. A vector is then searched for from its clusters' medoids: a
 greedy beam finds its neighbourhood, and the range grows from every hit until no neighbour of a
@@ -13,6 +14,7 @@ against all others.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ SAMPLE = 4096  # vectors that the centres of a split are fitted on
 SPLIT_ROWS = 8192  # vectors that are dealt to clusters in one task
 CLUSTERS = 3  # that a vector joins at most in one split
 LEVELS = 24
+SHRINK = 0.75  # of the pairs of a cluster that those of its parts may come to; else it is compared whole
+BLOCK_ROWS = 2048  # vectors of a cluster that are compared with as many others in one task
 CANDIDATES, DEGREE, ALPHA = 64, 24, 1.2
 AUDITED = 400  # vectors that recall is measured with
 RECALL = 0.95
@@ -70,39 +74,51 @@ def centres_of(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def _split(members: DataFrame, sizes: DataFrame, margin: float, level: int) -> DataFrame:
-    """Members of clusters that are too large, in the clusters these are split into."""
+def _parts(near: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, and the clusters that each of them joins, by the rows' cosines with the centres."""
+    best = np.argsort(-near, axis=1, kind="stable")[:, :CLUSTERS]
+    values = np.take_along_axis(near, best, 1)
+    row, which = np.nonzero(values >= values[:, :1] - margin)
+    return row, best[row, which]
+
+
+def _centres(members: DataFrame, large: DataFrame, margin: float, level: int) -> DataFrame:
+    """Centres that the large clusters are split by, and the share of a cluster's pairs that lie within its
+    parts (``work``; pairs in several count as often), both found on a sample."""
     kind = members.schema["label"].dataType.simpleString()
-    vector = members.schema["embedding"].dataType.simpleString()
-    large = sizes.where(F.col("n") > SHARD).withColumn("salts", F.ceil(F.col("n") / SPLIT_ROWS).cast("int"))
-    rows = members.join(large, ["label", "path"])
     drawn = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30))
-    sample = rows.where(drawn < F.lit(SAMPLE * (1 << 30)) / F.col("n"))
+    sample = members.join(large, ["label", "path"]).where(drawn < F.lit(SAMPLE * (1 << 30)) / F.col("n"))
 
     def fitted(table: pa.Table) -> pa.Table:
         x = _unit(_matrix(table))
         k = min(FAN, max(2, -(-2 * table.column("n")[0].as_py() // SHARD)), len(x))
         centres = centres_of(x, k)
-        out = {c: table.column(c).slice(0, 1) for c in ("label", "path", "salts")}
-        return pa.table(out | {"k": pa.array([k], pa.int32()), "centres": [centres.ravel().tolist()]})
+        shares = np.bincount(_parts(x @ centres.T, margin)[1], minlength=k) / len(x)
+        out = {c: table.column(c).slice(0, 1) for c in ("label", "path")}
+        made = {"k": pa.array([k], pa.int32()), "centres": [centres.ravel().tolist()], "work": [float(shares @ shares)]}
+        return pa.table(out | made)
 
-    fits = sample.groupBy("label", "path").applyInArrow(
-        fitted, f"label {kind}, path string, salts int, k int, centres array<double>"
+    return sample.groupBy("label", "path").applyInArrow(
+        fitted, f"label {kind}, path string, k int, centres array<double>, work double"
     )
+
+
+def _split(members: DataFrame, fits: DataFrame, margin: float) -> DataFrame:
+    """Members of the clusters that have centres, in the clusters these are split into."""
+    kind = members.schema["label"].dataType.simpleString()
+    vector = members.schema["embedding"].dataType.simpleString()
+    # New names: both sides of a cogroup must not come from the same columns.
+    rows = members.join(fits.select("label", "path", F.col("salts").alias("deals")), ["label", "path"])
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(-1)), F.col("deals")).cast("int"))
     fits = fits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(-1)), F.col("salts")).cast("int"))
 
     def assigned(left: pa.Table, right: pa.Table) -> pa.Table:
         x = _unit(_matrix(left)) if len(left) else np.zeros((0, 1))
-        if len(right):
-            near = x @ np.array(right.column("centres")[0].as_py()).reshape(right.column("k")[0].as_py(), -1).T
-        else:  # no vector of a cluster fell into the sample
-            near = np.zeros((len(x), 1))
-        best = np.argsort(-near, axis=1, kind="stable")[:, :CLUSTERS]
-        values = np.take_along_axis(near, best, 1)
-        row, which = np.nonzero(values >= values[:, :1] - margin)
+        k = right.column("k")[0].as_py()
+        centres = np.array(right.column("centres")[0].as_py()).reshape(k, -1)
+        row, part = _parts(x @ centres.T if len(x) else np.zeros((0, k)), margin)
         taken = left.take(pa.array(row))
-        ends = [f"{p}/{b}" for p, b in zip(taken.column("path").to_pylist(), best[row, which].tolist(), strict=True)]
+        ends = [f"{p}/{b}" for p, b in zip(taken.column("path").to_pylist(), part.tolist(), strict=True)]
         return pa.table(
             {"label": taken.column("label"), "path": pa.array(ends, pa.string())}
             | {c: taken.column(c) for c in ("node", "embedding")}
@@ -115,27 +131,69 @@ def _split(members: DataFrame, sizes: DataFrame, margin: float, level: int) -> D
     )
 
 
-def shards(nodes: DataFrame, margin: float, workspace: Workspace) -> DataFrame:
-    """``label``, ``path``, ``node``, ``embedding``: members of the overlapping clusters.
+def shards(nodes: DataFrame, margin: float, workspace: Workspace) -> tuple[DataFrame, DataFrame | None]:
+    """``label``, ``path``, ``node``, ``embedding``: members of the overlapping clusters; and, with their
+    number ``n``, of the dense ones, if any.
 
-    A cluster that does not get smaller (its vectors nearly coincide) is halved along a line at
-    random until it does; the halves overlap by their nearest vectors as clusters do.
+    A cluster is dense if its parts would have more than SHRINK of its pairs (its vectors nearly coincide,
+    so most of them join several parts). It is not split, nor is one that LEVELS splits leave too large.
     """
-    members, done = nodes.select("label", F.lit("").alias("path"), "node", "embedding"), []
-    for level in range(LEVELS):
+    members, done, dense = nodes.select("label", F.lit("").alias("path"), "node", "embedding"), [], []
+    for level in range(LEVELS + 1):
         sizes = workspace.keep(members.groupBy("label", "path").agg(F.count("*").alias("n")), "shard-sizes")
-        small = sizes.where(F.col("n") <= SHARD).select("label", "path")
-        done.append(members.join(small, ["label", "path"], "left_semi"))
-        if sizes.where(F.col("n") > SHARD).isEmpty():
+        large = sizes.where(F.col("n") > SHARD)
+        done.append(members.join(sizes.where(F.col("n") <= SHARD).select("label", "path"), ["label", "path"], "left_semi"))
+        if large.isEmpty():
+            break
+        if level == LEVELS:
+            dense.append(members.join(large, ["label", "path"]))
             break
         # Overlap shrinks from level to level, so that clusters that nearly coincide come apart.
-        members = workspace.keep(_split(members, sizes, margin * 0.8**level, level), "shard-members")
-    else:
-        raise ValueError(f"clusters do not come apart in {LEVELS} levels")
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return workspace.keep(out, "shards")
+        overlap = margin * 0.8**level
+        found = _centres(members, large, overlap, level)
+        salts = F.ceil(F.col("n") / SPLIT_ROWS).cast("int").alias("salts")
+        # A cluster of which nothing was drawn has no centres.
+        fits = workspace.keep(large.join(found, ["label", "path"], "left").select("*", salts), "centres")
+        apart = F.coalesce(F.col("work") <= SHRINK, F.lit(False))
+        whole = fits.where(~apart).select("label", "path", "n")
+        if not whole.isEmpty():
+            dense.append(members.join(whole, ["label", "path"]))
+        members = workspace.keep(_split(members, fits.where(apart), overlap), "shard-members")
+    out, whole = (reduce(DataFrame.union, frames) if frames else None for frames in (done, dense))
+    return workspace.keep(out, "shards"), workspace.keep(whole, "dense") if dense else None
+
+
+def _pairs_of(table: pa.Table) -> pa.Table:
+    """Links of one block of a dense cluster, or from one block to another."""
+    x, node, block = _unit(_matrix(table)), table.column("node").to_numpy(), table.column("block").to_numpy()
+    inside = table.column("first")[0].as_py() == table.column("second")[0].as_py()
+    left = np.flatnonzero(block == table.column("first")[0].as_py())
+    right = left if inside else np.flatnonzero(block != table.column("first")[0].as_py())
+    found = []
+    for lo in range(0, len(left), 256):
+        own = left[lo : lo + 256]
+        near = x[own] @ x[right].T
+        i, j = np.nonzero(near >= COSINE - 1e-9)
+        a, b, near = own[i], right[j], near[i, j]
+        unsure = np.flatnonzero(near < COSINE + 1e-9)
+        near[unsure] = np.einsum("ij,ij->i", x[a[unsure]], x[b[unsure]])
+        real = (near >= COSINE) & ((a < b) if inside else True)
+        found.append(np.stack([node[a[real]], node[b[real]]]))
+    u, v = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+    return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+
+def compared(members: DataFrame) -> DataFrame:
+    """Links within clusters of ``n`` members, all compared: block by block, a task for every pair of blocks."""
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    rows = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(-2)), blocks).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(
+        F.least(k, F.col("block")).alias("first"), F.greatest(k, F.col("block")).alias("second")
+    ))
+    dealt = rows.withColumn("pair", F.explode(others)).select(
+        "label", "path", "pair.first", "pair.second", "block", "node", "embedding"
+    )
+    return dealt.groupBy("label", "path", "first", "second").applyInArrow(_pairs_of, "u long, v long")
 
 
 def pruned_neighbours(near: np.ndarray, candidates: np.ndarray, node: int) -> list[int]:
@@ -225,13 +283,15 @@ def _searched(beam: int):
 
 def links(nodes: DataFrame, margin: float, beam: int, workspace: Workspace) -> DataFrame:
     """Verified pairs ``u < v`` of nodes of a label."""
-    members = shards(nodes, margin, workspace)
+    members, dense = shards(nodes, margin, workspace)
     edges = workspace.keep(members.groupBy("label", "path").applyInArrow(built, "node long, neighbour long"), "edges")
     # A node has at most some dozen neighbours in each of its clusters, plus those it is a neighbour of.
     united = edges.groupBy("node").agg(F.collect_set("neighbour").alias("neighbours"))
     empty = F.array().cast("array<long>")
     rows = members.join(united, "node", "left").withColumn("neighbours", F.coalesce("neighbours", empty))
     found = rows.groupBy("label", "path").applyInArrow(_searched(beam), "u long, v long")
+    if dense is not None:
+        found = found.union(compared(dense))
     return workspace.keep(found.distinct(), "vector-links")
 
 

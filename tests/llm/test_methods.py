@@ -317,6 +317,23 @@ def test_vector_links_are_those_of_all_pairs(spark, monkeypatch):
     assert found[0].recall >= 0.9
 
 
+def test_a_dense_group_of_vectors_is_compared_whole(spark, monkeypatch):
+    """Splitting does not make it smaller: its rows do not multiply, and every link is found."""
+    monkeypatch.setattr(vector_graph, "SHARD", 100)
+    monkeypatch.setattr(vector_graph, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(4)
+    near = rng.normal(size=16) + rng.normal(scale=0.13, size=(150, 16))
+    x = near.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [("a", i, v.tolist()) for i, v in enumerate(near)]
+    nodes = spark.createDataFrame(rows, "label string, node long, embedding array<float>")
+    members, dense = vector_graph.shards(nodes, 0.1, Workspace(spark))
+    assert (members.count(), dense.count()) == (0, 150)
+    found = {(r.u, r.v) for r in vector_graph.links(nodes, 0.1, 24, Workspace(spark)).collect()}
+    assert found == {(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.98, 1)), strict=True)}
+    assert 0 < len(found) < 150 * 149 // 2
+
+
 def test_pruning_keeps_the_nearest_and_drops_what_it_covers():
     x = np.array([[1, 0], [0.99, 0.1], [0.98, 0.12], [0, 1.0]])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
