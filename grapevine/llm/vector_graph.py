@@ -2,13 +2,13 @@
 
 Vectors of a label are split into overlapping clusters (spherical k-means on a bounded sample,
 level by level, until a cluster has at most ``SHARD`` vectors); a vector also joins clusters whose
-centres are nearly as close. A cluster that splitting does not make smaller is compared whole, block
+centres are nearly as close, however many. A cluster that splitting does not make smaller is compared whole, block
 against block. Each other cluster builds a graph of its own: from a vector's nearest
 candidates the closest is kept, and those that it brings much nearer are dropped. The adjacency
 lists of all clusters are united. A vector is then searched for from its clusters' medoids: a
 greedy beam finds its neighbourhood, and the range grows from every hit until no neighbour of a
 hit is one. Found pairs are verified in double precision, and recall is audited on some vectors
-against all others.
+against all others; where it stays too low, clusters with all pairs in them are compared whole.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ from grapevine.llm.rows import numbered
 from grapevine.session import Workspace
 
 COSINE = 0.98
+#: The most by which the cosines of a linked vector with its partner's centre and with its own can differ: the
+#: partner is on the other side of the plane between both centres, at most sqrt(1 - COSINE ** 2) away from it.
+BORDER = 2 * (1 - COSINE**2) ** 0.5 + 1e-6
 SHARD = 1500
 FAN = 16  # clusters that one is split into at most
 SAMPLE = 4096  # vectors that the centres of a split are fitted on
 SPLIT_ROWS = 8192  # vectors that are dealt to clusters in one task
-CLUSTERS = 3  # that a vector joins at most in one split
 LEVELS = 24
 SHRINK = 0.75  # of the pairs of a cluster that those of its parts may come to; else it is compared whole
 BLOCK_ROWS = 2048  # vectors of a cluster that are compared with as many others in one task
@@ -76,10 +78,7 @@ def centres_of(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 def _parts(near: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows, and the clusters that each of them joins, by the rows' cosines with the centres."""
-    best = np.argsort(-near, axis=1, kind="stable")[:, :CLUSTERS]
-    values = np.take_along_axis(near, best, 1)
-    row, which = np.nonzero(values >= values[:, :1] - margin)
-    return row, best[row, which]
+    return np.nonzero(near >= near.max(1, keepdims=True, initial=-1) - margin)
 
 
 def _centres(members: DataFrame, large: DataFrame, margin: float, level: int) -> DataFrame:
@@ -148,9 +147,7 @@ def shards(nodes: DataFrame, margin: float, workspace: Workspace) -> tuple[DataF
         if level == LEVELS:
             dense.append(members.join(large, ["label", "path"]))
             break
-        # Overlap shrinks from level to level, so that clusters that nearly coincide come apart.
-        overlap = margin * 0.8**level
-        found = _centres(members, large, overlap, level)
+        found = _centres(members, large, margin, level)
         salts = F.ceil(F.col("n") / SPLIT_ROWS).cast("int").alias("salts")
         # A cluster of which nothing was drawn has no centres.
         fits = workspace.keep(large.join(found, ["label", "path"], "left").select("*", salts), "centres")
@@ -158,7 +155,7 @@ def shards(nodes: DataFrame, margin: float, workspace: Workspace) -> tuple[DataF
         whole = fits.where(~apart).select("label", "path", "n")
         if not whole.isEmpty():
             dense.append(members.join(whole, ["label", "path"]))
-        members = workspace.keep(_split(members, fits.where(apart), overlap), "shard-members")
+        members = workspace.keep(_split(members, fits.where(apart), margin), "shard-members")
     out, whole = (reduce(DataFrame.union, frames) if frames else None for frames in (done, dense))
     return workspace.keep(out, "shards"), workspace.keep(whole, "dense") if dense else None
 
@@ -295,6 +292,14 @@ def links(nodes: DataFrame, margin: float, beam: int, workspace: Workspace) -> D
     return workspace.keep(found.distinct(), "vector-links")
 
 
+def exact_links(nodes: DataFrame, workspace: Workspace) -> DataFrame:
+    """All pairs ``u < v`` of linked nodes: those clusters are compared whole that overlap so far that every pair is in one."""
+    members, dense = shards(nodes, BORDER, workspace)
+    members = members.withColumn("n", F.lit(SHARD))
+    found = compared(members if dense is None else members.unionByName(dense))
+    return workspace.keep(found.distinct(), "vector-links")
+
+
 def audit(nodes: DataFrame, found: DataFrame) -> tuple[int, int]:
     """Of the true links of at most about AUDITED nodes, drawn by hash and compared with all others, those found."""
     share = min(1.0, AUDITED / max(1, nodes.count()))
@@ -350,6 +355,9 @@ def near_vectors(vectors: DataFrame, workspace: Workspace) -> DataFrame:
         hits, true = audit(labels, found)
         if hits >= RECALL * true:
             break
+    else:
+        found = exact_links(labels, workspace)
+        hits, true = audit(labels, found)
     copies = nodes.select("node", "copies")
     both = found.union(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
     partners = both.join(copies.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node"))

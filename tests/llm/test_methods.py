@@ -17,6 +17,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from checks.compare import SQL_TYPES, duckdb_on
@@ -334,6 +335,26 @@ def test_a_dense_group_of_vectors_is_compared_whole(spark, monkeypatch):
     assert 0 < len(found) < 150 * 149 // 2
 
 
+def test_links_across_clusters_are_found_if_the_search_misses_them(spark, monkeypatch):
+    """A vector joins all clusters that are as near, and a run below the recall goes the exact way."""
+    assert vector_graph._parts(np.full((2, 6), 0.9), 0.1)[1].tolist() == [0, 1, 2, 3, 4, 5] * 2
+    monkeypatch.setattr(vector_graph, "SHARD", 60)
+    monkeypatch.setattr(vector_graph, "ATTEMPTS", ((0.0, 1),))
+    rng = np.random.default_rng(5)
+    turns = np.sort(rng.uniform(0, 2 * np.pi, 500))  # links along a circle, so that every border cuts some
+    near = np.stack([np.cos(turns), np.sin(turns), np.zeros(500)], 1).astype(np.float32)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(near)]
+    x = near.astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.98).sum(1) - 1
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    labels = vectors.select("label", F.col("vec_id").alias("node"), "embedding")
+    assert vector_graph.links(labels, 0.0, 1, Workspace(spark)).count() < 0.95 * links.sum() / 2
+    found = vector_graph.near_vectors(vectors, Workspace(spark)).collect()
+    assert {r.vec_id: r.n_links for r in found} == dict(enumerate(links.tolist()))
+    assert found[0].recall == 1
+
+
 def test_pruning_keeps_the_nearest_and_drops_what_it_covers():
     x = np.array([[1, 0], [0.99, 0.1], [0.98, 0.12], [0, 1.0]])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
