@@ -1,8 +1,8 @@
 """Packing by lexical retrieval: sequences of a fixed length whose documents resemble each other.
 
-Documents are tokenised once and dealt into shards of some million tokens, in the order of a
-min-hash of their tokens, so that documents with many tokens in common meet. A shard has an
-inverted BM25 index with the document frequencies of the whole corpus. The largest unused
+Documents are tokenised once and dealt into shards of some million tokens, in the order of several
+min-hashes of their tokens, in which a token counts by its rarity, so that documents with rare tokens
+in common meet. Neighbours are looked up inside a shard. It has an inverted BM25 index with the document frequencies of the whole corpus. The largest unused
 document is a seed; the index returns its unused neighbours, best first, and those that fit fill
 the window; the best that does not fit is cut to fill the rest, and its other part stays unused.
 What a document holds in whole windows stands alone. A window that a shard cannot fill goes on
@@ -27,6 +27,7 @@ from grapevine.session import Workspace
 WINDOW = 4096
 END_ID = 2
 SHARD_TOKENS = 1 << 21
+ROUTES, ROUTE_BITS = 3, 21  # min-hashes that shards are made by, and bits of each
 K1, B = 1.2, 0.75
 BLOCK = 32 << 20
 _MARK = "`"
@@ -178,29 +179,27 @@ class Tokens:
 
 
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """``row_id``, ``doc_id``, ``ids`` (little-endian, 2 bytes each, or 4 for a large vocabulary),
-    ``doc_tokens`` and ``route``, the least hash of the ids. Write it before use."""
+    """``row_id``, ``doc_id``, ``ids`` (little-endian, 2 bytes each, or 4 for a large vocabulary) and
+    ``doc_tokens``. Write it before use."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(tokenizer)
         for block in W.blocks(batches, "text", BLOCK):
             ids, bounds = tokens.encode(block.column("text"))
-            hashes = W.mixed(ids.astype(np.uint64) + np.uint64(1)) >> np.uint64(1)
-            route = np.minimum.reduceat(hashes, bounds[:-1]).view(np.int64)
             raw = pa.Array.from_buffers(
                 pa.large_binary(),
                 len(block),
                 [None, pa.py_buffer(bounds.astype(np.int64) * tokens.kind.itemsize), pa.py_buffer(ids.tobytes())],
             ).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [block.column("row_id"), block.column("doc_id"), raw, pa.array(np.diff(bounds)), pa.array(route)],
-                names=["row_id", "doc_id", "ids", "doc_tokens", "route"],
+                [block.column("row_id"), block.column("doc_id"), raw, pa.array(np.diff(bounds))],
+                names=["row_id", "doc_id", "ids", "doc_tokens"],
             )
 
     rows = numbered(docs.select("doc_id", "text"))
     return rows.select("row_id", "doc_id", "text").mapInArrow(
-        run, f"row_id long, doc_id {kind}, ids binary, doc_tokens long, route long"
+        run, f"row_id long, doc_id {kind}, ids binary, doc_tokens long"
     )
 
 
@@ -233,6 +232,28 @@ def document_frequencies(tokens: DataFrame, kind: np.dtype, size: int) -> np.nda
     return out
 
 
+def turns(idf: np.ndarray) -> np.ndarray:
+    """For each of ROUTES min-hashes the place of every id: a draw in which an id's chance to be first grows with its
+    rarity. The end comes last, as all documents have it."""
+    out = []
+    for k in range(ROUTES):
+        drawn = W.mixed(np.arange(1, len(idf) + 1, dtype=np.uint64) + np.uint64(k << 32)) >> np.uint64(11)
+        time = -np.log((drawn + 0.5) / (1 << 53)) / np.maximum(idf, 1e-9)
+        time[END_ID] = np.inf
+        place = np.empty(len(idf), np.int64)
+        place[np.argsort(time, kind="stable")] = np.arange(len(idf))
+        out.append(np.minimum(place, (1 << ROUTE_BITS) - 1))
+    return np.stack(out)
+
+
+def routes(ids: np.ndarray, bounds: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The min-hashes of each document as one number to sort by; each parts the documents that agree in those before."""
+    out = np.zeros(len(bounds) - 1, np.int64)
+    for place in places:
+        out = out << ROUTE_BITS | np.minimum.reduceat(place[ids], bounds[:-1])
+    return out
+
+
 class Index:
     """Inverted BM25 index of one shard's pieces."""
 
@@ -363,6 +384,13 @@ def packed(docs: DataFrame, tokenizer: str, workspace: Workspace) -> DataFrame:
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
     mean_size = min(WINDOW, total / max(1, n))
     doc_kind = docs.schema["doc_id"].dataType
+    places = turns(idf)
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                route = routes(*_flat(batch, kind), places)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(route)], names=[*batch.schema.names, "route"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -411,5 +439,8 @@ def packed(docs: DataFrame, tokenizer: str, workspace: Workspace) -> DataFrame:
         "sequence_id long, offset long"
     )
     # By range of (route, row): equal routes, however many, spread over tasks.
-    dealt = tokens.repartitionByRange("route", "row_id").sortWithinPartitions("route", "row_id")
+    routable = tokens.select("row_id", "doc_id", "ids").mapInArrow(
+        routed, f"row_id long, doc_id {doc_kind.simpleString()}, ids binary, route long"
+    )
+    dealt = routable.repartitionByRange("route", "row_id").sortWithinPartitions("route", "row_id")
     return dealt.select("doc_id", "ids").mapInArrow(run, schema)

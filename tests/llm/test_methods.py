@@ -156,6 +156,21 @@ def test_index_scores_are_bm25():
     assert np.allclose(index.scores(query), plain)
 
 
+def test_near_copies_meet_in_small_shards(spark, monkeypatch):
+    """Copies far apart in the file share a sequence, though all texts have the common words."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 6000)
+    rng = random.Random(6)
+    rare = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(4000)]
+    texts = [" ".join([*rng.sample(rare, 25), *("the of and to in is it that was for end" * 2).split()]) for _ in range(400)]
+    rows = [(i, t) for i, t in enumerate([*texts, *[t.rsplit(" ", 3)[0] for t in texts]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), Workspace(spark)).collect()
+    at = collections.defaultdict(set)
+    for r in packed:
+        at[r.doc_id].add(r.sequence_id)
+    assert sum(bool(at[i] & at[i + 400]) for i in range(400)) >= 300
+
+
 def test_forward_probability_sums_over_all_paths():
     rng = np.random.default_rng(5)
     k = 3
