@@ -7,8 +7,8 @@ classes, and a class emits its words by their training counts, with one more for
 
 Documents are read once into blocks (a row of some megabytes: the words' numbers in the block's
 own vocabulary). Counts of a word meet by its hash, one row for each block that has it, and go
-back to the blocks. Baum-Welch counts are summed over all training text in every round; what a
-round brings together is a row per class and task. The scaled forward recursion then scores
+back to the blocks. Baum-Welch counts are summed over all training text in every round, until its
+log-likelihood hardly rises; what a round brings together is a row per class and task. The scaled forward recursion then scores
 every text whole.
 """
 
@@ -30,7 +30,7 @@ CLASSES = 1 << 14
 ENDING = 4
 END = 0  # class of the end of a text; no word has it
 STRETCH = 512  # words of a training sequence; longer texts train in several
-ROUNDS = 3
+GAIN = 1e-3  # rounds over all text end with the first that raises its log-likelihood by a smaller share
 WARM_STRETCHES = 400  # stretches that the rounds before are made on, to find the states
 WARM_BLOCKS = 1600  # blocks they are drawn from, about
 WARM_ROUNDS = 15
@@ -216,7 +216,7 @@ def _training_sequences(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np
 
 
 def warm_stretches(read: DataFrame) -> list[np.ndarray]:
-    """At most WARM_STRETCHES full stretches, drawn by a hash of their classes.
+    """At most WARM_STRETCHES stretches, short texts among them, drawn by a hash of their classes.
 
     They come from about WARM_BLOCKS blocks at most, drawn by a hash of their number, and a block offers its
     share of four times as many: what reaches the driver does not grow with the input.
@@ -229,11 +229,10 @@ def warm_stretches(read: DataFrame) -> list[np.ndarray]:
         for batch in batches:
             for row in range(len(batch)):
                 classes, bounds, _ = _training_sequences(batch, row)
-                least = min(STRETCH, int(np.diff(bounds).max(initial=0)))
-                full = np.flatnonzero(np.diff(bounds) >= max(1, least // 2))
-                turns = W.mixed(classes[bounds[full]].astype(np.uint64) + full.astype(np.uint64) * np.uint64(2654435761))
+                number = np.arange(len(bounds) - 1)
+                turns = W.mixed(classes[bounds[:-1]].astype(np.uint64) + number.astype(np.uint64) * np.uint64(2654435761))
                 drawn = np.argsort(turns, kind="stable")[:offered]
-                texts = [classes[bounds[i] : bounds[i + 1]].astype(np.uint16).tobytes() for i in full[drawn].tolist()]
+                texts = [classes[bounds[i] : bounds[i + 1]].astype(np.uint16).tobytes() for i in drawn.tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(turns[drawn].view(np.int64)), pa.array(texts, pa.binary())], names=["turn", "classes"]
                 )
@@ -255,20 +254,23 @@ def _warmed(model: Model, stretches: list[np.ndarray], share: np.ndarray) -> Mod
     return model
 
 
-def _one_round(read: DataFrame, model: Model, share: np.ndarray) -> Model:
-    """Baum-Welch counts of all training texts, summed by task and then by class."""
+def _one_round(read: DataFrame, model: Model, share: np.ndarray) -> tuple[Model, float]:
+    """A better model by the Baum-Welch counts of all training texts, summed by task and then by class, and
+    the log-likelihood of these texts by the given one."""
     k = STATES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, steps, emits = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k))
+        total = np.zeros((1, k))
         for batch in batches:
             for row in range(len(batch)):
                 classes, bounds, opens = _training_sequences(batch, row)
                 for lo, hi in W.ranges(np.diff(bounds), 1 << 18):
                     own = classes[bounds[lo] : bounds[hi]]
-                    a, b, c, _ = expected_counts(model, own, bounds[lo : hi + 1] - bounds[lo], opens[lo:hi])
+                    a, b, c, likely = expected_counts(model, own, bounds[lo : hi + 1] - bounds[lo], opens[lo:hi])
                     first, steps, emits = first + a, steps + b, emits + c
-        table = np.concatenate([emits, steps, first[None]])
+                    total[0, 0] += likely
+        table = np.concatenate([emits, steps, first[None], total])
         at = np.flatnonzero(table.any(1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(at, pa.int64()), *[pa.array(table[at, s]) for s in range(k)]],
@@ -278,9 +280,20 @@ def _one_round(read: DataFrame, model: Model, share: np.ndarray) -> Model:
     schema = "at long, " + ", ".join(f"s{s} double" for s in range(k))
     counted = read.select("sizes", "held_out", "numbers", "class").mapInArrow(run, schema)
     sums = counted.groupBy("at").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(k)]).toArrow()
-    table = np.zeros((CLASSES + k + 1, k))
+    table = np.zeros((CLASSES + k + 2, k))
     table[sums["at"].to_numpy()] = np.stack([sums[f"s{s}"].to_numpy() for s in range(k)], 1)
-    return improved(table[-1], table[CLASSES : CLASSES + k], table[:CLASSES], share)
+    model = improved(table[CLASSES + k], table[CLASSES : CLASSES + k], table[:CLASSES], share)
+    return model, float(table[-1, 0])
+
+
+def fitted(read: DataFrame, model: Model, share: np.ndarray) -> Model:
+    """The model after rounds over all training text, the last of which hardly raised its log-likelihood."""
+    before = -np.inf
+    while True:
+        model, total = _one_round(read, model, share)
+        if total - before < GAIN * abs(total):
+            return model
+        before = total
 
 
 def scored(docs: DataFrame, held_out: Column, workspace: Workspace) -> DataFrame:
@@ -318,8 +331,7 @@ def scored(docs: DataFrame, held_out: Column, workspace: Workspace) -> DataFrame
     share = (tokens + 1) / (n + CLASSES)
 
     model = _warmed(start(share), warm_stretches(read) if n else [], share)
-    for _ in range(ROUNDS if n else 0):
-        model = _one_round(read, model, share)
+    model = fitted(read, model, share) if n else model
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     given = counts.groupBy("block").agg(

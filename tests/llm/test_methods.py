@@ -156,6 +156,17 @@ def test_index_scores_are_bm25():
     assert np.allclose(index.scores(query), plain)
 
 
+def test_short_texts_shape_the_states_and_rounds_go_on_while_they_help(spark, monkeypatch):
+    texts = [" ".join(f"l{i}" for i in range(600)), *[f"short {i}" for i in range(50)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    read = Workspace(spark).keep(hmm.blocks(docs, F.lit(False)), "blocks")
+    sizes = sorted(len(s) for s in hmm.warm_stretches(read))
+    assert sizes == [3] * 50 + [89, 512]
+    totals = iter([-100.0, -90.0, -85.0, -84.0, -83.99, -80.0])
+    monkeypatch.setattr(hmm, "_one_round", lambda read, model, share: (model + 1, next(totals)))
+    assert hmm.fitted(None, 0, None) == 5
+
+
 def test_near_copies_meet_in_small_shards(spark, monkeypatch):
     """Copies far apart in the file share a sequence, though all texts have the common words."""
     monkeypatch.setattr(packing, "SHARD_TOKENS", 6000)
