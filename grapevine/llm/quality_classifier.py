@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader.
 
-The model is fitted on at most about ``SAMPLE`` labelled documents, drawn by a hash of their id,
-in one task; scoring is a sparse dot product per document and needs no shuffle.
+The model is fitted on about ``SAMPLE`` labelled documents at most, drawn by a hash of their id, in one
+task. Rows that repeat an id are one document, the one whose text is least; scoring is a sparse dot product per document and needs no shuffle.
 """
 
 from __future__ import annotations
@@ -104,7 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Leader | No
     """The model of the labelled documents for which ``learn`` (over ``doc_id``) holds.
 
     A document with labels that contradict each other teaches nothing; without any labelled
-    document every score is one half. Only the ids, labels and texts of the sample move.
+    document every score is one half. Only the ids, labels and texts of the sample move; of rows with
+    the same id, however many, the one whose text is least (in byte order; a null is empty) teaches.
     """
     settings = settings or Leader()
     known = (
@@ -116,7 +117,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Leader | No
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
     share = min(1.0, SAMPLE / max(1, known.count()))
     sample = known.where(drawn < int(share * (1 << 30))).select("doc_id", "quality", drawn.alias("turn"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # about SAMPLE short rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # about SAMPLE short rows
+    # Each task keeps a row of an id, so one with very many rows is as many rows as tasks.
+    texts = rows.groupBy("doc_id", "quality", "turn").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in W.blocks(batches, "text", 4 << 20):

@@ -264,6 +264,17 @@ def test_classifier_on_documents_it_did_not_learn_from(spark):
     assert right >= 0.9 * len(rows)
 
 
+def test_rows_that_repeat_an_id_teach_once(spark):
+    """A labelled id on very many rows brings one example to the task that learns."""
+    texts = [(i, f"good words here {i}" if i % 2 else f"bad signs there {i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once, often = (
+        quality_classifier.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, F.lit(True))
+        for rows in (texts, [*texts, *[(1, f"other bad signs there {i}") for i in range(500)]])
+    )
+    assert once.constant == often.constant and np.array_equal(once.weights, often.weights)
+
+
 def test_languages_of_documents_it_did_not_learn_from(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs, remainder("doc_id", 3) != 1)
