@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from grapevine.functions.scaling import virality_curve
 from grapevine.rules import Rules
 
-# Candidates for k: up to this value in this step. Long histories have their k close to 1.
+# Candidates for k: up to this value in this step. Long histories have their k close to 1: uses grow as k^x, so a k over 2
+# over 60 days would be 10^18 uses. A test compares fits of made-up histories, short and long, with a dense grid.
 SCAN = ((0.9, 0.05), (1.1, 0.01), (2.0, 0.05), (math.inf, 0.25))
 PRECISION = 1e-9
 GOLDEN = (math.sqrt(5) - 1) / 2

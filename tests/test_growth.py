@@ -60,6 +60,30 @@ def test_k_is_the_least_squares_minimum_on_uneven_data(spark):
     assert [r.k_factor for r in found] == pytest.approx(expected, abs=2e-4)
 
 
+def test_the_scan_brackets_the_minimum_of_long_histories(spark):
+    """Nowhere within the bounds does a dense grid have a smaller error than the k that is found."""
+    rng = np.random.default_rng(3)
+    grid = np.unique(np.concatenate([np.arange(0.01, 0.9, 0.002), np.arange(0.9, 1.1, 0.0005), np.arange(1.1, 10, 0.005)]))
+    grid = grid[np.abs(grid - 1) > 1e-9]
+    days, histories = [], []
+    for client in range(120):
+        span = int(rng.choice([10, 30, 200, 1000]))
+        x = np.append(0, np.sort(rng.choice(np.arange(1, span), min(span, 60) - 1, False))).astype(float)
+        growing = rng.uniform(0.5, 3) ** (x / x.max() * 4)
+        y = np.cumsum(np.maximum(1, rng.lognormal(0, rng.uniform(0.1, 2.5), len(x)) * growing).astype(int)).astype(float)
+        histories.append((x, y))
+        days += [(client, None, None, int(a), float(b), int(y[0])) for a, b in zip(x, y, strict=True)]
+
+    def errors(x, y, k):
+        with np.errstate(over="ignore"):
+            return ((y[0] * (k[:, None] ** x - 1) / (k[:, None] - 1) - y) ** 2).sum(1)
+
+    for r in growth.k_factor(spark.createDataFrame(days, POINTS), Rules()).collect():
+        x, y = histories[r.ClientId]
+        k = r.k_factor + (1e-7 if abs(r.k_factor - 1) < 1e-7 else 0)
+        assert errors(x, y, np.array([k]))[0] <= errors(x, y, grid).min() * (1 + 1e-6) + 1e-6
+
+
 def test_cumulative_uses_count_utc_days_from_the_first(spark):
     times = ["2021-01-03 23:59:59", "2021-01-01 00:00:00", "2021-01-01 08:00:00", None]
     uses = spark.createDataFrame([(1, moment(t)) for t in times], "c long, t timestamp_ntz")
