@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from grapevine.llm import (
     byte_bpe,
+    curation_sql,
     hmm,
     language_id,
+    merkle,
+    middles,
+    mixing,
     near_dedup,
     packing,
     quality_classifier,
@@ -108,6 +112,28 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    tables = workspace(spark)
+    made = merkle.manifest(_table(spark, sf_dir, "documents"), tables, seen={"text": tampered})
+    proof = F.sha2(F.lower(F.hex("proof")).cast("binary"), 256).alias("proof_sha256")
+    return merkle.climbed(made, tables).select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middles.transformed(_table(spark, sf_dir, "documents"))
+    texts = {"output_sha256": F.col("output"), "restored_sha256": middles.restored(F.col("output"), F.col("form"))}
+    digests = [F.sha2(text.cast("binary"), 256).alias(name) for name, text in texts.items()]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = mixing.mixture(_table(spark, sf_dir, "documents"), workspace(spark))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return mixing.planned(made).select("doc_id", "size", "source_size", "target", taken)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hidden_markov_scores": op1,
     "op2_retrieval_packing": op2,
@@ -119,6 +145,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_similarity_sketches": op8,
     "op9_segment_tree_bpe": op9,
     "op10_language_spans": op10,
+    "op11_merkle_climb": op11,
+    "op12_rank_index_middles": op12,
+    "op13_repeated_mixture": op13,
 }
 
 _COMPONENTS = """
@@ -182,4 +211,7 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM sets JOIN least ON doc_id = id
     """,
+    "op11_merkle_climb": curation_sql.MERKLE,
+    "op12_rank_index_middles": curation_sql.MIDDLES,
+    "op13_repeated_mixture": curation_sql.MIXTURE,
 }

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grapevine.session import Workspace
+
 
 def remainder(column: str, divisor: int) -> Column:
     """crc32 of an id written as text, modulo the divisor. Missing ids have remainder 0."""
@@ -20,6 +22,22 @@ def numbered(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def placed(df: DataFrame, order: list[str], workspace: Workspace) -> DataFrame:
+    """The frame with each row's ``place`` (0, 1, ...) in the order, nulls first, and the sorted ``part`` it is in.
+
+    The rows are sorted over range partitions and written, which fixes their places, and a row count
+    for each partition gives its offset. Rows that tie on all of ``order`` stand in one partition.
+    """
+    sorted_ = df.orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    written = sorted_.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()})
+    written = workspace.keep(written, "placed")
+    first = written.groupBy("part").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each partition
+    shift = (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")
+    moved = written.join(F.broadcast(first.select("part", shift)), "part")
+    return moved.select(*df.columns, "part", (F.col("place") + F.col("shift")).alias("place"))
+
+
 def table_of(batch: pa.RecordBatch, **added: pa.Array) -> pa.RecordBatch:
     """The batch with more columns."""
     names = [*batch.schema.names, *added]
