@@ -26,8 +26,9 @@ VIEWS: dict[str, str] = {
                DATE '1995-01-01' + (c_custkey * 37 % 2400)::INTEGER AS born
         FROM customer""",
     "v_shop_address": """
-        SELECT c_custkey AS id, '55' || lpad(c_custkey::VARCHAR, 8, '0') AS phone, p_name AS firstname
-        FROM customer JOIN part ON p_partkey = c_custkey % (SELECT count(*) FROM part)""",
+        SELECT id, '55' || lpad(id::VARCHAR, 8, '0') AS phone, p_name AS firstname
+        FROM (SELECT c_custkey AS id, c_custkey % (SELECT count(*) FROM part) AS part_key FROM customer)
+        JOIN part ON p_partkey = part_key""",
     "v_shop_order": """
         SELECT o_orderkey AS id, o_custkey AS customer_id,
                (o_orderkey * 7 + o_custkey) % (SELECT count(*) FROM supplier) AS store_id,
@@ -322,7 +323,7 @@ SELECTS: dict[str, str] = {
     "redemptions": f"""SELECT {REDEMPTION}, giver AS "Referrer_num", giver_name AS "Referrer_Name",
         taker_name AS "Referral_Name", taker AS "Referral_num", child AS "childId",
         round(total + 1e-9, 6) AS "GMV_after_discount", week, novelty AS "IsNewCustomer", store AS "StoreName",
-        store_id AS "StoreId", zip AS "ZipCode" FROM v_redeemed""",
+        store_id AS "StoreId", zip AS "ZipCode" FROM v_redeemed ORDER BY order_id, client""",
     "personal_coupons": """SELECT id AS "Id", code AS "CouponCode" FROM v_personal_code""",
     "referrer_of_coupon": """SELECT p.id AS "DiscountId", code AS "CouponCode", h.id AS "ClientId",
         username AS "Referrer_num", h.id AS "BillingAddress_Id"
@@ -342,16 +343,16 @@ SELECTS: dict[str, str] = {
         c_custkey AS "BillingAddress_Id", c_custkey AS "EntityId", (1000 + c_nationkey)::VARCHAR AS "ZipCode"
         FROM customer JOIN v_shop_address ON id = c_custkey""",
     "new_customer_flag": """SELECT order_id AS "OrderId", child AS "childId", novelty AS "IsNewCustomer"
-        FROM v_redeemed""",
+        FROM v_redeemed ORDER BY order_id, client""",
     "local_time": """SELECT id AS "Id", placed_local::VARCHAR AS local_time FROM v_shop_order""",
     "week_code": """SELECT id AS "Id", strftime(placed_local, '%y%V') AS week FROM v_shop_order""",
     "zip_label": """SELECT order_id AS "OrderId", client AS "ClientId", zip AS "ZipCode",
-        'zc-' || coalesce(zip, 'nan') AS zip_code FROM v_redeemed""",
+        'zc-' || coalesce(zip, 'nan') AS zip_code FROM v_redeemed ORDER BY order_id, client""",
     "store_label": """SELECT order_id AS "OrderId", client AS "ClientId", store_id AS "StoreId",
-        format('SId-{}', store_id) AS store_key FROM v_redeemed""",
+        format('SId-{}', store_id) AS store_key FROM v_redeemed ORDER BY order_id, client""",
     "week_label": """SELECT order_id AS "OrderId", client AS "ClientId", week,
         'w-' || (CASE WHEN week[1] <> '0' THEN week WHEN week[1:3] = '000' THEN week[4:] WHEN week[1:2] = '00' THEN week[3:]
-                      ELSE week[2:] END) AS week_tag FROM v_redeemed""",
+                      ELSE week[2:] END) AS week_tag FROM v_redeemed ORDER BY order_id, client""",
     "pair_counts": """SELECT giver AS "from", taker AS "to", count(*) AS n_interactions FROM v_redeemed GROUP BY ALL""",
     "repeat_pairs": """SELECT giver AS "from", taker AS "to", count(*) AS n_interactions FROM v_redeemed
         GROUP BY ALL HAVING count(*) > 1""",

@@ -40,8 +40,7 @@ def name_similarity(left: str, right: str) -> Column:
 
     The order of the names matters. Spark has no such function and the matching is not an
     edit distance, so this is the one Python column of the library. Each worker remembers
-    recent pairs: names repeat a lot, and this needs no shuffle, unlike a distinct list of
-    pairs joined back.
+    recent pairs; callers with many rows compare distinct pairs and join them back.
     """
 
     # Defined inside, so that it travels to the workers by value.

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from grapevine.operators import skew
 
-SET_ROWS = 100_000  # groups from this size on do not count by sets
+SKETCH = 22  # a sketch holds 2 ** SKETCH hashes, 64 MB, in a group that large; small groups take what they need
+SET_ROWS = 2 ** (SKETCH - 1)  # distinct values up to which a sketch surely holds the hash of each, and so counts exactly
 
 
 def distinct_counts(
@@ -20,22 +21,26 @@ def distinct_counts(
 ) -> DataFrame:
     """``df.groupBy(keys)`` with distinct counts (``{new name: column}``) and other aggregates.
 
-    Several ``count_distinct`` in one aggregate make Spark repeat every row once per counted
-    column and shuffle all of them twice. Most groups are small: these count the size of a
-    set, which combines before the one shuffle. Heavy groups, where a set could grow large,
-    are looked for in a part of the rows, and take the ordinary way, which deals a group's
-    values over all tasks. Large frames are read more than once: pass a written table.
+    Several ``count_distinct`` in one aggregate make Spark repeat every row once per counted column
+    and shuffle all of them twice. Here a group keeps the 64-bit hashes of its values in a sketch of
+    bounded size, which combines before the one shuffle. A group with so many values that its
+    sketch is full gives itself away by its count. Such groups, one for every SET_ROWS rows at most,
+    are counted by rows, which deals their values over all tasks; where there are none, as nearly
+    always, the rows are not read again. A frame with fewer rows can have none. Pass a written table.
     """
-    hot = skew.Probe(df, keys, hot_rows=SET_ROWS).hot(keys)
     kept = {name: column.alias(name) for name, column in (others or {}).items()}
-    sizes = [F.size(F.collect_set(c)).cast("bigint").alias(name) for name, c in distinct.items()]
-    if not hot:
-        return df.groupBy(*keys).agg(*kept.values(), *sizes)
+    hashes = {name: F.when(F.col(c).isNotNull(), F.xxhash64(c)) for name, c in distinct.items()}
+    sizes = [
+        F.coalesce(F.theta_sketch_estimate(F.theta_sketch_agg(h, SKETCH)), F.lit(0)).cast("bigint").alias(name)
+        for name, h in hashes.items()
+    ]
+    counted = df.groupBy(*keys).agg(*kept.values(), *sizes)
+    if skew.estimated_bytes(df) < SET_ROWS or df.count() < SET_ROWS:
+        return counted
+    full = F.greatest(*[F.col(name) for name in distinct], F.lit(0)) >= SET_ROWS
+    own = {c: f"_own_{c}" for c in keys}
+    heavy = counted.where(full).select(*[F.col(c).alias(own[c]) for c in keys])
     counts = [F.count_distinct(c).alias(name) for name, c in distinct.items()]
-    heavy = skew.is_one_of(keys, list(hot))
-    return (
-        df.where(~heavy)
-        .groupBy(*keys)
-        .agg(*kept.values(), *sizes)
-        .unionByName(df.where(heavy).groupBy(*keys).agg(*kept.values(), *counts))
-    )
+    same = [F.col(c).eqNullSafe(F.col(o)) for c, o in own.items()]
+    by_rows = df.join(F.broadcast(heavy), same, "left_semi").groupBy(*keys).agg(*kept.values(), *counts)
+    return counted.where(~full).unionByName(by_rows)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grapevine.functions.text import name_similarity, store_label, week_label, zip_label
+from grapevine.operators.skew import Probe, balanced_join
 
 ENDS = {"Referrer_num": "from", "Referral_num": "to"}
 
@@ -36,7 +37,7 @@ def latest_interactions(redemptions: DataFrame) -> DataFrame:
 
 def interactions(redemptions: DataFrame) -> DataFrame:
     """The edge table: latest interaction per pair with counts, labels and name similarity."""
-    return with_similarity(lean_interactions(redemptions))
+    return with_similarity(lean_interactions(redemptions), name_probe(redemptions))
 
 
 def lean_interactions(redemptions: DataFrame) -> DataFrame:
@@ -67,16 +68,37 @@ def lean_interactions(redemptions: DataFrame) -> DataFrame:
     )
 
 
-def with_similarity(edges: DataFrame) -> DataFrame:
+NAMES = ["Referrer_Name", "Referral_Name"]
+_BOTH_NAMED = " AND ".join(f"{name} IS NOT NULL" for name in NAMES)
+
+
+_MATCHED = ["_first", "_second"]
+
+
+def name_probe(rows: DataFrame) -> Probe:
+    """Finds very common pairs of names among redemptions or edges."""
+    return Probe(rows.where(_BOTH_NAMED).select(*NAMES).toDF(*_MATCHED), _MATCHED)
+
+
+def with_similarity(edges: DataFrame, probe: Probe | None = None) -> DataFrame:
     """Edges with ``name_similarity`` after the postal code: one Python step over the distinct pairs of names.
 
-    Names are missing together with their pair, so the join need not match nulls.
+    Edges without a name get none. They are dealt over all tasks by their numbers instead of
+    meeting under their missing name, and the edges of a very common pair of names, which
+    ``probe`` finds, by their order.
     """
-    names = ["Referrer_Name", "Referral_Name"]
-    pairs = edges.select(*names).where(" AND ".join(f"{n} IS NOT NULL" for n in names)).distinct()
-    known = pairs.withColumn("name_similarity", name_similarity(*names))
+    pairs = edges.select(*NAMES).where(_BOTH_NAMED).distinct()
+    known = pairs.withColumn("name_similarity", name_similarity(*NAMES)).withColumnsRenamed(dict(zip(NAMES, _MATCHED)))
+    named = F.expr(_BOTH_NAMED)
+    dealt = edges.withColumns(
+        {
+            "_first": F.when(named, F.col(NAMES[0])),  # a missing one matches nothing
+            "_second": F.when(named, F.col(NAMES[1])).otherwise(F.concat_ws(" ", "from", "to")),
+        }
+    )
+    joined = balanced_join(dealt, known, _MATCHED, ["OrderId", "from", "to"], probe or name_probe(edges), "left")
     at = edges.columns.index("ZipCode") + 1
-    return edges.join(known, names, "left").select(*edges.columns[:at], "name_similarity", *edges.columns[at:])
+    return joined.select(*edges.columns[:at], "name_similarity", *edges.columns[at:])
 
 
 def pair_counts(redemptions: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grapevine.functions.scaling import ratio
+from grapevine.functions.scaling import ratio, rounded_to_cents
 from grapevine.operators.reach import MISSING
 from grapevine.operators.skew import Probe, balanced_join
 
@@ -19,31 +19,36 @@ def _to_self():
     return _phone("from") == _phone("to")
 
 
-def child_sharing(edges: DataFrame, client_edges: DataFrame) -> DataFrame:
+def client_probe(client_edges: DataFrame) -> Probe:
+    """Finds numbers and clients that stand in very many interactions, once for all steps on the same edges."""
+    ends = client_edges.select("ClientId", "childId", _phone("to").alias("phone"))
+    return Probe(ends, ["phone"], ["ClientId"], ["childId"])
+
+
+def child_sharing(edges: DataFrame, client_edges: DataFrame, probe: Probe | None = None) -> DataFrame:
     """Per client: invited numbers, how many clients among them share, and the rate.
 
     ``edges`` are all interactions, ``client_edges`` those of the clients asked for. The
     second hop is reduced to one row per number before the join: a client has one number,
     so the clients behind different invited numbers are different and their counts add up.
-    The client itself is left out on both sides. The rate is a percentage rounded half-even
-    to two places, as a fraction; NULL for a client with no one else.
+    The client itself is left out on both sides. The rate is a percentage rounded to
+    two places (``rounded_to_cents``), as a fraction; NULL for a client with no one else.
     """
     sharing = edges.groupBy(_phone("from").alias("phone")).agg(F.count_distinct("ClientId").alias("n_sharing"))
     invited = client_edges.groupBy("ClientId", _phone("to").alias("phone")).agg(
         F.max(_to_self().cast("int")).alias("is_self")
     )
-    uses = client_edges.select("ClientId", _phone("to").alias("phone"))
-    probe = Probe(uses, ["phone"])
+    probe = probe or client_probe(client_edges)
     second_hop = balanced_join(invited, sharing, ["phone"], ["ClientId"], probe, "left")
     counts = second_hop.groupBy("ClientId").agg(
         (F.count(F.lit(1)) - F.max("is_self")).alias("n_children"),
         (F.sum(F.coalesce("n_sharing", F.lit(0))) - F.max("is_self")).alias("n_sharing_children"),
     )
     percent = ratio(F.col("n_sharing_children") * 100, F.col("n_children"))
-    return counts.withColumn("child_sharing_rate", F.bround(percent, 2) / 100)
+    return counts.withColumn("child_sharing_rate", rounded_to_cents(percent) / 100)
 
 
-def children(client_edges: DataFrame) -> DataFrame:
+def children(client_edges: DataFrame, probe: Probe | None = None) -> DataFrame:
     """Distinct client ids invited by each client.
 
     The client's own id is left out if its number is among the invited numbers; this is how
@@ -54,8 +59,9 @@ def children(client_edges: DataFrame) -> DataFrame:
     )
     uses = client_edges.select(F.col("ClientId").alias("parent_Id"), F.col("childId").alias("cliente"))
     own = F.col("cliente") == F.col("parent_Id")
+    parents = (probe or client_probe(client_edges)).called({"ClientId": "parent_Id"})
     return (
-        balanced_join(uses.distinct(), has_self, ["parent_Id"], ["cliente"], Probe(uses, ["parent_Id"]))
+        balanced_join(uses.distinct(), has_self, ["parent_Id"], ["cliente"], parents)
         .where(~(own & (F.col("has_self") == 1)))
         .select("parent_Id", "cliente")
     )
@@ -78,16 +84,16 @@ def self_mismatches(client_edges: DataFrame) -> DataFrame:
     )
 
 
-def child_behaviour(client_edges: DataFrame, means: DataFrame) -> DataFrame:
+def child_behaviour(client_edges: DataFrame, means: DataFrame, probe: Probe | None = None) -> DataFrame:
     """Mean behaviour of each invited customer, per inviting client.
 
     ``means`` has one row per customer, computed once however often the customer was
     invited. Customers without orders are left out.
     """
     per_child = means.withColumnRenamed("ClientId", "cliente")
-    uses = client_edges.select(F.col("childId").alias("cliente"), F.col("ClientId").alias("parent_Id"))
-    probe = Probe(uses, ["cliente"])
-    return balanced_join(children(client_edges), per_child, ["cliente"], ["parent_Id"], probe).select(
+    probe = probe or client_probe(client_edges)
+    invited = probe.called({"childId": "cliente"})
+    return balanced_join(children(client_edges, probe), per_child, ["cliente"], ["parent_Id"], invited).select(
         "parent_Id", "cliente", "active", "mean_freq", "mean_gmv", "mean_AOV"
     )
 
@@ -104,15 +110,19 @@ def parent_behaviour(client_edges: DataFrame, means: DataFrame) -> DataFrame:
     return client_edges.select("ClientId").distinct().join(means, "ClientId", "left")
 
 
-def parent_metrics(edges: DataFrame, client_edges: DataFrame, means: DataFrame) -> DataFrame:
+def parent_metrics(
+    edges: DataFrame, client_edges: DataFrame, means: DataFrame, probe: Probe | None = None
+) -> DataFrame:
     """Own behaviour, sharing rate of the invited, and their active fraction, per client."""
+    probe = probe or client_probe(client_edges)
     return (
         parent_behaviour(client_edges, means)
-        .join(child_sharing(edges, client_edges).select("ClientId", "child_sharing_rate"), "ClientId", "left")
-        .join(active_child_fraction(child_behaviour(client_edges, means)), "ClientId", "left")
+        .join(child_sharing(edges, client_edges, probe).select("ClientId", "child_sharing_rate"), "ClientId", "left")
+        .join(active_child_fraction(child_behaviour(client_edges, means, probe)), "ClientId", "left")
     )
 
 
 def users_metrics(edges: DataFrame, client_edges: DataFrame, means: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables: metrics per client, and behaviour per client and invited customer."""
-    return parent_metrics(edges, client_edges, means), child_behaviour(client_edges, means)
+    probe = client_probe(client_edges)
+    return parent_metrics(edges, client_edges, means, probe), child_behaviour(client_edges, means, probe)

@@ -40,7 +40,7 @@ def order_lines(tables: ShopTables, rules: Rules) -> DataFrame:
         F.col("Latitud").alias("Latitude"),
         F.col("Longitud").alias("Longitude"),
     )
-    parties = Probe(heads, ["cliente"], ["BillingAddressId"], ["storeid"])
+    parties = tables.probes["order"].called({"CustomerId": "cliente", "StoreId": "storeid"})
     heads = balanced_join(heads, customers, ["cliente"], ["OrderId"], parties)
     heads = balanced_join(heads, addresses, ["BillingAddressId"], ["OrderId"], parties)
     heads = balanced_join(heads, stores, ["storeid"], ["OrderId"], parties)
@@ -48,7 +48,8 @@ def order_lines(tables: ShopTables, rules: Rules) -> DataFrame:
     # Few categories share all products, so their names are joined with the same care.
     categories = tables.category.select(F.col("Id").alias("catid"), F.col("Name").alias("categoria"))
     filed = tables.product_category.select("ProductId", F.col("CategoryId").alias("catid"))
-    named = balanced_join(filed, categories, ["catid"], ["ProductId"], Probe(filed, ["catid"]))
+    filings = tables.probes["product_category"].called({"CategoryId": "catid"})
+    named = balanced_join(filed, categories, ["catid"], ["ProductId"], filings)
     goods = named.join(tables.product.select(F.col("Id").alias("ProductId"), "Sku"), "ProductId")
     items = tables.order_item.select(
         "OrderId",
@@ -56,7 +57,7 @@ def order_lines(tables: ShopTables, rules: Rules) -> DataFrame:
         "PriceExclTax",
         (F.col("Quantity") * F.col("OriginalProductCost")).alias("costo"),
     )
-    item_keys = Probe(tables.order_item, ["ProductId"], ["OrderId"])
+    item_keys = tables.probes["order_item"]
     sold = balanced_join(items, goods, ["ProductId"], ["OrderId"], item_keys)
     return balanced_join(sold, heads, ["OrderId"], ["ProductId"], item_keys).select(
         "storeid",
@@ -159,12 +160,21 @@ def active_flag(last_week: Column, as_of: datetime.date | str, rules: Rules) ->
     return F.when(days < rules.active_days, 1).otherwise(0)
 
 
-def behaviour(lines: DataFrame, as_of: datetime.date | str, rules: Rules) -> DataFrame:
+def visit_probe(tables: ShopTables, rules: Rules) -> Probe:
+    """Finds stores and weeks with very many orders, from the orders alone: no customer visits a store without one."""
+    day = delivery_date(F.col("CreatedOnUtc"), rules.utc_lag_hours, rules.cutoff_hour)
+    visits = tables.order.select(F.col("StoreId").alias("tienda"), week_start(day, rules.strict_week).alias("semana"))
+    return Probe(visits, ["tienda", "semana"])
+
+
+def behaviour(
+    lines: DataFrame, as_of: datetime.date | str, rules: Rules, visits: Probe | None = None
+) -> DataFrame:
     """One row per week and customer: spend, frequency, breadth, store activity, history.
 
-    ``lines`` is read by four aggregates, so pass a written table. A customer who used
-    several stores in a week is shown with the lowest store id, and so with that store's
-    spend only.
+    ``lines`` is read by four aggregates, so pass a written table, and with ``visit_probe`` they
+    need not be read for hot stores. A customer who used several stores in a week is shown with the
+    lowest store id, and so with that store's spend only.
     """
     weekly = weekly_customer_store(lines)
     shown = [c for c in weekly.columns if c not in ("semana", "cliente")]
@@ -176,7 +186,7 @@ def behaviour(lines: DataFrame, as_of: datetime.date | str, rules: Rules) -> Dat
     stores = store_week_customers(lines).drop("ZipCode_tienda")
     with_frequency = one_store.join(weekly_frequency(lines), ["semana", "cliente"])
     with_totals = with_frequency.join(_customer_totals(lines), "cliente")
-    visits = Probe(lines.withColumnRenamed("storeid", "tienda"), ["tienda", "semana"])
+    visits = visits or Probe(lines.withColumnRenamed("storeid", "tienda"), ["tienda", "semana"])
     joined = balanced_join(with_totals, stores, ["tienda", "semana"], ["cliente"], visits)
     return joined.select(
         "semana",

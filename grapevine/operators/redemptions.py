@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grapevine.functions.calendar import customer_novelty, local_time, week_code
-from grapevine.operators.skew import Probe, balanced_join
+from grapevine.operators.skew import balanced_join
 from grapevine.rules import Rules
 from grapevine.sources.schemas import ShopTables
 
@@ -36,7 +36,7 @@ def referrer_of_coupon(tables: ShopTables, rules: Rules) -> DataFrame:
         "BillingAddress_Id",
         F.lower("ReferralCode").alias("code"),
     )
-    return balanced_join(holders, coupons, ["code"], ["ClientId"], Probe(holders, ["code"])).select(
+    return balanced_join(holders, coupons, ["code"], ["ClientId"], tables.probes["customer"]).select(
         "DiscountId", "CouponCode", "ClientId", "Referrer_num", "BillingAddress_Id"
     )
 
@@ -46,8 +46,8 @@ def _named(rows: DataFrame, client: str, tables: ShopTables, **columns: str) ->
     addresses = tables.address.select(
         F.col("Id").alias("BillingAddress_Id"), *[F.col(old).alias(new) for new, old in columns.items()]
     )
-    shared = Probe(tables.customer, ["BillingAddress_Id"])
-    return balanced_join(rows, addresses, ["BillingAddress_Id"], [client], shared).drop("BillingAddress_Id")
+    probe = tables.probes["customer"]
+    return balanced_join(rows, addresses, ["BillingAddress_Id"], [client], probe).drop("BillingAddress_Id")
 
 
 def redemptions(tables: ShopTables, rules: Rules) -> DataFrame:
@@ -59,7 +59,7 @@ def redemptions(tables: ShopTables, rules: Rules) -> DataFrame:
     """
     owners = _named(referrer_of_coupon(tables, rules), "ClientId", tables, Referrer_Name="Firstname")
     usage = tables.discount_usage.select("OrderId", "DiscountId", F.col("CreatedOnUtc").alias("OrderUTC"))
-    uses = Probe(usage, ["DiscountId"], ["OrderId"])
+    uses = tables.probes["discount_usage"]
     used = balanced_join(usage, owners, ["DiscountId"], ["OrderId"], uses)
 
     orders = tables.order.select(
@@ -81,9 +81,8 @@ def redemptions(tables: ShopTables, rules: Rules) -> DataFrame:
         Referral_num="PhoneNumber",
     )
     stores = tables.store.select(F.col("Id").alias("StoreId"), F.col("Name").alias("StoreName"), "ZipCode")
-    # Buyers and stores that are hot among the coupon orders, found without the joins above.
-    coupon_orders = orders.join(usage.select("OrderId").distinct(), "OrderId", "left_semi")
-    parties = Probe(coupon_orders, ["childId"], ["StoreId"])
+    # Buyers and stores that are hot among the coupon orders are hot among all orders.
+    parties = tables.probes["order"].called({"CustomerId": "childId"})
     bought = balanced_join(placed, buyers, ["childId"], ["OrderId"], parties)
     sold = balanced_join(bought, stores, ["StoreId"], ["OrderId"], parties)
     return sold.select(
@@ -133,9 +132,8 @@ def buyer_coupon_orders(tables: ShopTables, rules: Rules) -> DataFrame:
         Referral_num="PhoneNumber",
     )
     stores = tables.store.select(F.col("Id").alias("StoreId"), F.col("Name").alias("StoreName"), "ZipCode")
-    coupon_orders = orders.join(usage.select("OrderId").distinct(), "OrderId", "left_semi")
-    uses = Probe(usage, ["DiscountId"], ["OrderId"])
-    parties = Probe(coupon_orders, ["ClientId"], ["StoreId"])
+    uses = tables.probes["discount_usage"]
+    parties = tables.probes["order"].called({"CustomerId": "ClientId"})
     used = balanced_join(usage, coupons, ["DiscountId"], ["OrderId"], uses)
     placed = balanced_join(used, orders, ["OrderId"], ["DiscountId"], uses)
     bought = balanced_join(placed, buyers, ["ClientId"], ["OrderId"], parties)
@@ -166,8 +164,8 @@ def customer_zip(tables: ShopTables) -> DataFrame:
     )
     phones = tables.address.select(F.col("Id").alias("BillingAddress_Id"), F.col("Id").alias("AddressId"), "PhoneNumber")
     people = tables.customer.select(F.col("Id").alias("UserId"), "BillingAddress_Id")
-    shared = Probe(people, ["BillingAddress_Id"])
-    located = balanced_join(people, phones, ["BillingAddress_Id"], ["UserId"], shared)
-    return balanced_join(codes, located, ["UserId"], None, Probe(codes, ["UserId"])).select(
+    located = balanced_join(people, phones, ["BillingAddress_Id"], ["UserId"], tables.probes["customer"])
+    owned = tables.probes["generic_attribute"].called({"EntityId": "UserId"})
+    return balanced_join(codes, located, ["UserId"], None, owned).select(
         "AddressId", "PhoneNumber", "UserId", "BillingAddress_Id", "EntityId", "ZipCode"
     )

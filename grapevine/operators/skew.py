@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import cached_property
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000  # a key with fewer rows overloads no task; of a hot key, about as many go to one
-HOT_KEYS = 1000  # a key with less than this part of the rows is not hot, so at most as many keys are
-PROBE_EVERY = 64  # one in this many rows is counted to find them
+TRACKED = 8192  # keys that one summary holds, a power of two
+SLACK = 4  # a summary may miss a key by a SLACK-th of the rows that make it hot
+LISTED = 1000  # hot keys that stand in the plan itself; more are broadcast
 
 
 def _same_on_every_run(columns: Sequence[str]) -> Column:
@@ -24,86 +27,116 @@ def _setting_in_bytes(spark: SparkSession, name: str) -> int:
     return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
 
 
-def _estimated_bytes(df: DataFrame) -> int:
+def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether the optimizer's own size estimate lets it broadcast the frame unasked."""
     limit = _setting_in_bytes(df.sparkSession, "spark.sql.autoBroadcastJoinThreshold")
-    return _estimated_bytes(df) <= limit
+    return estimated_bytes(df) <= limit
 
 
 class Probe:
-    """Looks for hot keys in a cheap frame, once for all joins on it.
+    """Finds the hot keys of a table, in one job for all joins on it.
 
     ``rows`` holds the key columns of each join in ``key_sets``. A key is hot from ``hot_rows`` rows
-    on, HOT_ROWS by default. Nothing is counted for frames that are smaller than what the session
-    calls a skewed partition. The first call of ``hot`` runs a Spark job.
+    on, HOT_ROWS by default, however small its share is. Every row is counted, in mergeable summaries
+    of the most frequent keys, which combine before they are shuffled. Keys are dealt by hash over as
+    many summaries as it takes for each to miss no key that is hot. Nothing is counted for frames
+    that are smaller than what the session calls a skewed partition. The first call of ``hot`` runs
+    the job.
     """
 
     def __init__(self, rows: DataFrame, *key_sets: Sequence[str], hot_rows: int | None = None):
         self.rows = rows
         self.hot_rows = HOT_ROWS if hot_rows is None else hot_rows
         self.key_sets = [list(keys) for keys in key_sets]
+        self._one_job = Lock()  # for steps that are made at the same time
 
     @cached_property
     def large(self) -> bool:
         limit = _setting_in_bytes(
             self.rows.sparkSession, "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"
         )
-        return _estimated_bytes(self.rows) > limit
+        return estimated_bytes(self.rows) > limit
 
     @cached_property
     def _found(self) -> list[tuple[int, int, int]]:
-        """Key set, key hash and rows, at most HOT_KEYS per key set: small numbers to collect.
+        """Key set, key hash and rows: small numbers to collect, a key for every ``hot_rows`` rows at most.
 
-        Rows are drawn each by itself, not by content: rows that are alike must not be all in or
-        all out. The draw decides where rows go, not what comes out.
+        A summary of n rows counts a key up to 3.5 / TRACKED n too few, less where few keys hold most rows.
         """
-        marked = [
+        rows = self.rows.count()  # of a file, from its footer
+        missed = 3.5 / TRACKED * rows
+        summaries = max(16, math.ceil(missed * SLACK / self.hot_rows))
+        marks = [
             F.struct(F.lit(i).alias("key_set"), _same_on_every_run(keys).alias("key"))
             for i, keys in enumerate(self.key_sets)
         ]
-        drawn = self.rows.sample(1 / PROBE_EVERY, 17) if PROBE_EVERY > 1 else self.rows
-        seen = drawn.agg(F.count(F.lit(1)).alias("n")).scalar()
+        # A summary cannot list more keys than it tracks, and does not list those that it surely overrates.
+        frequent = F.expr(f"approx_top_k(key, {TRACKED * 3 // 4}, {TRACKED})")
         counted = (
-            drawn.select(F.explode(F.array(*marked)).alias("mark"))
-            .groupBy("mark.key_set", "mark.key")
-            .count()
-            .where(F.col("count") * PROBE_EVERY >= self.hot_rows)
-            .where(F.col("count") * HOT_KEYS >= seen)
+            self.rows.select(F.explode(F.array(*marks)).alias("mark"))
+            .select("mark.*")
+            .groupBy("key_set", F.pmod("key", F.lit(summaries)).alias("summary"))
+            .agg(frequent.alias("found"))
+            .select("key_set", F.explode("found").alias("found"))
+            .where(F.col("found.count") >= self.hot_rows)
         )
-        return [(row["key_set"], row["key"], row["count"] * PROBE_EVERY) for row in counted.collect()]
+        return [(row["key_set"], row["found"]["item"], row["found"]["count"]) for row in counted.collect()]
 
     def hot(self, keys: Sequence[str]) -> dict[int, int]:
         """About how many rows the hot keys of one key set have, by hash of the key.
 
-        Only the placement of rows depends on this, never the result: a key missing here
-        is treated as the others, and holds less than one row in HOT_KEYS.
+        Only the placement of rows depends on this, never the result.
         """
         wanted = self.key_sets.index(list(keys))
         if not self.large:
             return {}
-        return {key: n for key_set, key, n in self._found if key_set == wanted}
+        with self._one_job:
+            found = self._found
+        return {key: n for key_set, key, n in found if key_set == wanted}
 
+    def called(self, names: dict[str, str]) -> Probe:
+        """This probe for frames that call its columns otherwise: new name by old one. No other job."""
+        return _Called(self, names)
 
-def is_one_of(keys: Sequence[str], hashes: Sequence[int]) -> Column:
-    """Whether a row's key is in a list made by ``Probe.hot``."""
-    return _same_on_every_run(keys).isin(list(hashes))
+
+class _Called(Probe):
+    def __init__(self, probe: Probe, names: dict[str, str]):
+        super().__init__(probe.rows, *[[names.get(c, c) for c in keys] for keys in probe.key_sets])
+        self.probe = probe
+
+    def hot(self, keys: Sequence[str]) -> dict[int, int]:
+        return self.probe.hot(self.probe.key_sets[self.key_sets.index(list(keys))])
+
+
+def _salt_count(n: int) -> int:
+    """Tasks that share a key of ``n`` rows: a power of two."""
+    return max(2, 1 << (n // max(1, HOT_ROWS)).bit_length())
 
 
 def _salts(keys: Sequence[str], hot: dict[int, int]) -> Column:
-    """Number of tasks that share a row's key: a power of two, by the key's weight; 1 where it is not hot."""
+    """Number of tasks that share a row's key, 1 where it is not hot."""
     by_salts: dict[int, list[int]] = {}
     for key, n in hot.items():
-        by_salts.setdefault(max(2, 1 << (n // max(1, HOT_ROWS)).bit_length()), []).append(key)
+        by_salts.setdefault(_salt_count(n), []).append(key)
     salts = F.lit(1)
     for count, own in by_salts.items():
-        salts = F.when(is_one_of(keys, own), F.lit(count)).otherwise(salts)
+        salts = F.when(_same_on_every_run(keys).isin(own), F.lit(count)).otherwise(salts)
     return salts
 
 
+def _with_salts(df: DataFrame, keys: Sequence[str], hot: dict[int, int]) -> DataFrame:
+    """The frame with ``_salts``. A long list is no part of the plan: it is broadcast, sixteen bytes for every HOT_ROWS rows."""
+    if len(hot) <= LISTED:
+        return df.withColumn("_salts", _salts(keys, hot))
+    listed = df.sparkSession.createDataFrame([(k, _salt_count(n)) for k, n in hot.items()], "_key long, _salts int")
+    marked = df.withColumn("_key", _same_on_every_run(keys)).join(F.broadcast(listed), "_key", "left").drop("_key")
+    return marked.withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+
+
 def balanced_join(
     big: DataFrame,
     small: DataFrame,
@@ -119,7 +152,7 @@ def balanced_join(
     the key, by a hash of the ``spread`` columns, and the matching rows of ``small`` are repeated
     once per task; all other keys join as they are. Without ``spread`` rows are dealt by their
     place in a source that ``big`` is read from, which a repeated task finds the same; this parts
-    rows that are alike. The list of hot keys is a constant of the plan, the same for both sides.
+    rows that are alike. The list of hot keys is fixed before the join, the same for both sides.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"cannot balance a {how!r} join")
@@ -127,8 +160,9 @@ def balanced_join(
     hot = probe.hot(keys) if not fits_broadcast(small) else {}
     if not hot:
         return big.join(small, keys, how)
-    salts = _salts(keys, hot)
     own = F.xxhash64(F.monotonically_increasing_id()) if spread is None else _same_on_every_run(spread)
-    dealt = big.withColumn("_salt", F.pmod(own, salts).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    dealt = big.withColumn("_own", own)
+    dealt = _with_salts(dealt, keys, hot).withColumn("_salt", F.pmod("_own", F.col("_salts")).cast("int"))
+    repeated = _with_salts(small, keys, hot)
+    repeated = repeated.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return dealt.drop("_own", "_salts").join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -31,20 +31,25 @@ def intermediates(user_rows: DataFrame) -> DataFrame:
     return sharers(user_rows).where(F.col("n_shares") <= share_threshold(user_rows).scalar())
 
 
-def edges_of(edges: DataFrame, members: DataFrame) -> DataFrame:
+def edge_probe(edges: DataFrame) -> Probe:
+    """Finds clients with very many interactions, once for all steps on the same edges."""
+    return Probe(edges, ["ClientId"])
+
+
+def edges_of(edges: DataFrame, members: DataFrame, probe: Probe | None = None) -> DataFrame:
     """Interactions whose referrer is one of the given users, by client id."""
     ids = members.select("ClientId").distinct()
-    uses = Probe(edges, ["ClientId"])
+    uses = probe or edge_probe(edges)
     return balanced_join(edges, ids, ["ClientId"], ["OrderId"], uses, "left_semi").select(*edges.columns)
 
 
-def typed_edges(edges: DataFrame, staged_sharers: DataFrame) -> DataFrame:
+def typed_edges(edges: DataFrame, staged_sharers: DataFrame, probe: Probe | None = None) -> DataFrame:
     """Interactions with the stage of their referrer as ``referrer_type``.
 
     One join for both stages of sharers; users who do not share have no interactions.
     """
     stages = staged_sharers.select("ClientId", F.col("stage").alias("referrer_type")).distinct()
-    uses = Probe(edges, ["ClientId"])
+    uses = probe or edge_probe(edges)
     return balanced_join(edges, stages, ["ClientId"], ["OrderId"], uses).select(*edges.columns, "referrer_type")
 
 

@@ -15,10 +15,11 @@ from grapevine.operators import edges as edge_ops
 from grapevine.operators import family, growth, orders, reach, stages
 from grapevine.operators.ranking import ranked
 from grapevine.operators.redemptions import redemptions
+from grapevine.operators.skew import Probe
 from grapevine.rules import Rules
 from grapevine.session import Workspace
 from grapevine.sources.schemas import ShopTables
-from grapevine.sources.tables import write_csv, write_table
+from grapevine.sources.tables import replace_tables, write_csv
 
 SCORE_PARTS = ["active", "vir_users", "vir_physical", "vir_temp", "child_sharing_rate", "active_child_fracc"]
 
@@ -134,9 +135,18 @@ class Campaign:
     def members(self, stage: str) -> DataFrame:
         return self.people.where(F.col("stage") == stage)
 
+    @cached_property
+    def edge_probe(self) -> Probe:
+        return stages.edge_probe(self.edges)
+
     @cached_property
     def influencer_edges(self) -> DataFrame:
-        return self.workspace.keep(stages.edges_of(self.edges, self.members("influencer")), "influencer-edges")
+        found = stages.edges_of(self.edges, self.members("influencer"), self.edge_probe)
+        return self.workspace.keep(found, "influencer-edges")
+
+    @cached_property
+    def client_probe(self) -> Probe:
+        return family.client_probe(self.influencer_edges)
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -144,7 +154,7 @@ class Campaign:
 
     @cached_property
     def behaviour(self) -> DataFrame:
-        return orders.behaviour(self.lines, self.as_of, self.rules)
+        return orders.behaviour(self.lines, self.as_of, self.rules, orders.visit_probe(self.tables, self.rules))
 
     @cached_property
     def means(self) -> DataFrame:
@@ -173,7 +183,7 @@ class Campaign:
     @cached_property
     def child_rows(self) -> DataFrame:
         self.prepare()
-        return family.child_behaviour(self.influencer_edges, self.means)
+        return family.child_behaviour(self.influencer_edges, self.means, self.client_probe)
 
     @cached_property
     def staged_people(self) -> DataFrame:
@@ -186,7 +196,9 @@ class Campaign:
         metrics = (
             self.reach.join(self.k_factors, "ClientId", "left")
             .join(
-                family.child_sharing(self.edges, self.influencer_edges).select("ClientId", "child_sharing_rate"),
+                family.child_sharing(self.edges, self.influencer_edges, self.client_probe).select(
+                    "ClientId", "child_sharing_rate"
+                ),
                 "ClientId",
                 "left",
             )
@@ -220,7 +232,7 @@ class Campaign:
     @cached_property
     def user_interactions(self) -> DataFrame:
         """Interactions of influencers and intermediate users; passive users have none."""
-        typed = stages.typed_edges(self.edges, self.people.where("stage != 'passive'"))
+        typed = stages.typed_edges(self.edges, self.people.where("stage != 'passive'"), self.edge_probe)
         return _renamed(edge_ops.with_similarity(typed), INTERACTION_COLUMNS)
 
 
@@ -234,7 +246,7 @@ def run(
     stages_table: str = STAGES_TABLE,
     interactions_table: str = INTERACTIONS_TABLE,
 ) -> tuple[DataFrame, DataFrame]:
-    """Analyse a campaign; with ``database`` also replace its two result tables.
+    """Analyse a campaign; with ``database`` also replace its two result tables, both or neither.
 
     Pass a ``workspace`` to know the folder of the written steps (``workspace.folder``); the
     frames read from it until their tables are written, then it can be removed.
@@ -242,6 +254,5 @@ def run(
     campaign = Campaign(spark, tables, as_of, rules, workspace)
     user_stages, user_interactions = campaign.user_stages, campaign.user_interactions
     if database:
-        write_table(user_stages, stages_table, database)
-        write_table(user_interactions, interactions_table, database)
+        replace_tables(spark, {stages_table: user_stages, interactions_table: user_interactions}, database)
     return user_stages, user_interactions

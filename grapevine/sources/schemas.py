@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grapevine.operators.skew import Probe
+
 LONG, INT, TEXT, REAL = T.LongType(), T.IntegerType(), T.StringType(), T.DoubleType()
 MONEY, MOMENT = T.DecimalType(18, 4), T.TimestampNTZType()
 
@@ -61,6 +64,17 @@ CATEGORY_FLAGS: dict[int, str] = {
 }
 
 
+# The columns by which tables are joined with smaller ones, where few keys may hold most rows.
+JOINED_BY = {
+    "discount_usage": ["DiscountId", "OrderId"],
+    "order": ["CustomerId", "StoreId", "BillingAddressId"],
+    "customer": ["BillingAddress_Id", "code"],
+    "order_item": ["ProductId", "OrderId"],
+    "product_category": ["CategoryId"],
+    "generic_attribute": ["EntityId"],
+}
+
+
 @dataclass(frozen=True)
 class ShopTables:
     """One frame per shop table, in the declared schema."""
@@ -77,6 +91,13 @@ class ShopTables:
     category: DataFrame
     generic_attribute: DataFrame
 
+    @cached_property
+    def probes(self) -> dict[str, Probe]:
+        """Per joined table what finds its hot keys: for all operators together one job a table at most."""
+        frames = {name: getattr(self, name) for name in JOINED_BY}
+        frames["customer"] = self.customer.withColumn("code", F.lower("ReferralCode"))
+        return {name: Probe(frames[name], *[[c] for c in keys]) for name, keys in JOINED_BY.items()}
+
     @classmethod
     def of(cls, frames: dict[str, DataFrame]) -> ShopTables:
         """Bring each frame to its declared columns and types."""

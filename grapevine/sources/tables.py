@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,58 @@ def write_table(df: DataFrame, name: str, database: str | None = None, if_exists
     df.write.mode(_mode(if_exists)).format("parquet").saveAsTable(target)
 
 
+STAGED, PREVIOUS = "__staged", "__previous"  # ends of the names of tables on their way in and out
+
+
+def replace_tables(spark: SparkSession, frames: dict[str, DataFrame], database: str) -> None:
+    """Save catalog tables that belong together so that readers get all new ones or all old ones.
+
+    All are written under other names first; a run that fails by then leaves the old tables as they
+    were. Then they change places by renaming, and the old tables are dropped when the last one has. A
+    failure between two tables puts the old ones back: at once, or, if the driver was lost, at
+    the beginning of the next call (or by ``restore_tables``).
+    """
+    restore_tables(spark, list(frames), database)
+    for name, df in frames.items():
+        write_table(df, name + STAGED, database, "fail")
+    try:
+        for name in frames:
+            if _exists(spark, name, database):
+                _rename(spark, name, name + PREVIOUS, database)
+            _rename(spark, name + STAGED, name, database)
+    except BaseException:
+        restore_tables(spark, list(frames), database)
+        raise
+    _drop(spark, [name + PREVIOUS for name in frames], database)
+
+
+def restore_tables(spark: SparkSession, names: Sequence[str], database: str) -> None:
+    """Undo, or finish, a replacement that stopped on its way.
+
+    While a new table still waits, the old ones come back; else all are new, and the old ones go. If there
+    was no old table, what was put in its place stays.
+    """
+    waiting = any(_exists(spark, name + STAGED, database) for name in names)
+    for name in names:
+        if waiting and _exists(spark, name + PREVIOUS, database):
+            _drop(spark, [name], database)
+            _rename(spark, name + PREVIOUS, name, database)
+    _drop(spark, [name + end for name in names for end in (STAGED, PREVIOUS)], database)
+
+
+def _exists(spark: SparkSession, name: str, database: str) -> bool:
+    return spark.catalog.tableExists(f"`{database}`.`{name}`")
+
+
+def _rename(spark: SparkSession, name: str, new_name: str, database: str) -> None:
+    spark.sql(f"ALTER TABLE `{database}`.`{name}` RENAME TO `{database}`.`{new_name}`")
+
+
+def _drop(spark: SparkSession, names: Sequence[str], database: str) -> None:
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS `{database}`.`{name}`")
+
+
 def write_parquet(df: DataFrame, path: str, if_exists: str = "replace") -> None:
     df.write.mode(_mode(if_exists)).parquet(path)
 

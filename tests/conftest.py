@@ -17,8 +17,7 @@ def spark():
 
 @pytest.fixture
 def always_skewed(spark, monkeypatch):
-    """No broadcasts, any amount of data counts as large, and every row is looked at."""
-    monkeypatch.setattr(skew, "PROBE_EVERY", 1)
+    """No broadcasts, any amount of data counts as large, and every key as hot."""
     monkeypatch.setattr(skew, "HOT_ROWS", 1)
     monkeypatch.setattr(distinct, "SET_ROWS", 1)
     settings = {

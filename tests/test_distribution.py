@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import cached_property
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,15 +76,13 @@ def test_one_probe_finds_the_hot_keys_of_several_joins(spark, hot_from_100, monk
     assert probe.hot(["other"]) == {hash_of_other: big.where("other = 'x'").count()}
     with pytest.raises(ValueError):
         probe.hot(["row"])
-    monkeypatch.setattr(skew, "PROBE_EVERY", 8)
     monkeypatch.setattr(skew, "HOT_ROWS", 500)
     assert list(by_row(big, ["key"]).hot(["key"])) == [hash_of_key]
     monkeypatch.setattr(skew, "HOT_ROWS", 10**6)
     assert by_row(big, ["key"]).hot(["key"]) == {}
 
 
-def test_one_key_set_does_not_crowd_out_another(spark, always_skewed, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_KEYS", 25)
+def test_one_key_set_does_not_crowd_out_another(spark, always_skewed):
     rows = spark.range(2000).select((F.col("id") % 8).alias("a"), (F.col("id") % 20).alias("b"))
     probe = skew.Probe(rows, ["a"], ["b"])
     assert len(probe.hot(["a"])) == 8 and len(probe.hot(["b"])) == 20
@@ -238,3 +237,81 @@ def test_distinct_counts_equal_the_plain_ones_for_small_and_heavy_groups(spark,
         assert ("Union" in plan_of(found())) == (heavy_from < 10**9)
         assert rows_of(found(), *plain.columns) == rows_of(plain)
         assert found().schema["as"].dataType == plain.schema["as"].dataType
+
+
+def test_a_hot_key_of_a_small_share_is_found(spark):
+    """Summaries of default size: 3,000 rows of twenty million are hot when 3,000 are."""
+    at = F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 6667 == 1, F.lit(-2)).otherwise(F.col("id"))
+    rows = spark.range(20_000_000).select(at.alias("k"))
+    probe = skew.Probe(rows, ["k"], hot_rows=1800)
+    probe.__dict__["large"] = True
+    hashes = {r.k: r.h for r in spark.createDataFrame([(-1,), (-2,)], "k long").select("k", F.xxhash64("k").alias("h")).collect()}
+    counts = {r.k: r["count"] for r in rows.where("k < 0").groupBy("k").count().collect()}
+    found = probe.hot(["k"])
+    assert set(found) == set(hashes.values())
+    for key, n in counts.items():
+        assert n <= found[hashes[key]] <= n + 450  # a quarter of what makes a key hot
+
+
+def test_a_long_list_of_hot_keys_is_broadcast(spark, hot_from_100, monkeypatch):
+    big, small = skewed(spark)
+    listed = rows_of(skew.balanced_join(big, small, ["key"], ["row"], by_row(big, ["key"]), "left"))
+    monkeypatch.setattr(skew, "LISTED", 0)
+    joined = skew.balanced_join(big, small, ["key"], ["row"], by_row(big, ["key"]), "left")
+    assert "BroadcastHashJoin" in plan_of(joined)
+    assert rows_of(joined) == listed
+    per_task = joined.where("key = 0").groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) >= 6
+
+
+def test_each_table_is_probed_by_one_job(spark, always_skewed, monkeypatch):
+    from checks.queries import AS_OF, RULES
+    from grapevine.plans.campaign import Campaign
+    from grapevine.sources.testviews import shop_from_test_tables
+
+    probed, found = [], skew.Probe._found.func
+
+    def watched(self):
+        probed.append(tuple(map(tuple, self.key_sets)))
+        return found(self)
+
+    counted = cached_property(watched)
+    counted.__set_name__(skew.Probe, "_found")
+    monkeypatch.setattr(skew.Probe, "_found", counted)
+    campaign = Campaign(spark, shop_from_test_tables(spark, SF), AS_OF, RULES)
+    campaign.user_stages.count()
+    campaign.user_interactions.count()
+    assert len(probed) == len(set(probed))
+    assert {keys[0][0] for keys in probed} == {
+        "DiscountId", "CustomerId", "BillingAddress_Id", "ProductId", "CategoryId",  # shop tables
+        "tienda", "ClientId", "phone", "_first",  # store weeks, edges, edges of influencers, names
+    }
+
+
+def test_edges_without_names_and_common_pairs_are_dealt_out(spark, always_skewed, monkeypatch):
+    from grapevine.operators import edges as ops
+
+    def name(column):
+        return F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit("ana")).otherwise(column)
+
+    number = F.col("id").cast("string")
+    edges = spark.range(3000).select(
+        F.col("id").alias("OrderId"), F.lit("a").alias("from"), number.alias("to"), name(number).alias("Referrer_Name"),
+        F.when(F.col("id") % 6 != 0, name(number)).otherwise("bea").alias("Referral_Name"), F.lit("1").alias("ZipCode"),
+    )
+    monkeypatch.setattr(skew, "HOT_ROWS", 100)
+    found = ops.with_similarity(edges)
+    assert found.columns == [*edges.columns, "name_similarity"]
+    assert found.count() == 3000
+    assert found.where("name_similarity IS NULL").count() == 1000
+    assert found.where("name_similarity = 1").count() == 2000
+    for kind in ("Referrer_Name IS NULL", "Referrer_Name = 'ana'"):
+        per_task = [r["count"] for r in found.where(kind).groupBy(F.spark_partition_id()).count().collect()]
+        assert len(per_task) >= 6 and max(per_task) < 400
+
+
+def test_distinct_counts_take_empty_text_and_need_no_second_read(spark):
+    df = spark.createDataFrame([(1, ""), (1, None), (1, "a"), (2, None)], "k int, a string")
+    found = distinct_counts(df, ["k"], {"n": "a"})
+    assert plan_of(found).count("Scan") == 1
+    assert rows_of(found) == [(1, 2), (2, 0)]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from grapevine.operators import family, reach
 from grapevine.rules import Rules
@@ -110,3 +111,13 @@ def test_family_metrics(spark):
         (1, 1.0, 2.0, 3.0, 4.0, 0.0, 0.5),
         (8, None, None, None, None, 0.0, None),
     ]
+
+
+def test_rates_round_as_the_binary_value_does(spark):
+    from grapevine.functions.scaling import rounded_to_cents
+
+    pairs = [(s, n) for n in range(1, 1200) for s in range(0, n + 1, max(1, n // 40))] + [(3, 4000), (1, 32), (25, 800)]
+    frame = spark.createDataFrame([(s * 100 / n,) for s, n in pairs], "v double")
+    found = frame.select("v", rounded_to_cents(F.col("v")).alias("r")).collect()
+    assert [(r.v, r.r) for r in found] == [(s * 100 / n, round(s * 100 / n, 2)) for s, n in pairs]
+    assert (0.075, 0.07) in {(r.v, r.r) for r in found} and (3.125, 3.12) in {(r.v, r.r) for r in found}

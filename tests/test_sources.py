@@ -50,6 +50,77 @@ def test_tables_are_replaced_appended_or_kept(spark, tmp_path):
         spark.sql("DROP DATABASE shop_out CASCADE")
 
 
+@pytest.fixture
+def pair(spark, tmp_path):
+    """Two result tables of an earlier run."""
+    spark.sql(f"CREATE DATABASE pair_out LOCATION '{tmp_path}'")
+    io.replace_tables(spark, {"a": spark.range(1), "b": spark.range(2)}, "pair_out")
+
+    def sizes() -> dict[str, int]:
+        names = [t.name for t in spark.catalog.listTables("pair_out")]
+        return {name: spark.table(f"pair_out.{name}").count() for name in sorted(names)}
+
+    yield sizes
+    spark.sql("DROP DATABASE pair_out CASCADE")
+
+
+def test_tables_that_belong_together_are_replaced_together(spark, pair):
+    assert pair() == {"a": 1, "b": 2}
+    io.replace_tables(spark, {"a": spark.range(3), "b": spark.range(4)}, "pair_out")
+    assert pair() == {"a": 3, "b": 4}
+
+
+@pytest.mark.parametrize("fails_at", ["a", "a__staged", "b", "b__staged"])
+def test_a_run_that_fails_between_the_tables_leaves_both_old_ones(spark, pair, monkeypatch, fails_at):
+    rename = io._rename
+    failed = []
+
+    def failing(session, name, new_name, database):
+        if name == fails_at and not failed:
+            failed.append(name)
+            raise RuntimeError("lost")
+        rename(session, name, new_name, database)
+
+    monkeypatch.setattr(io, "_rename", failing)
+    with pytest.raises(RuntimeError, match="lost"):
+        io.replace_tables(spark, {"a": spark.range(3), "b": spark.range(4)}, "pair_out")
+    assert failed and pair() == {"a": 1, "b": 2}
+
+
+def test_a_failure_while_writing_leaves_both_old_ones(spark, pair):
+    broken = spark.range(4).selectExpr("id", "assert_true(id < 3) AS checked")
+    with pytest.raises(Exception, match="not true"):
+        io.replace_tables(spark, {"a": spark.range(3), "b": broken}, "pair_out")
+    assert {name: n for name, n in pair().items() if "__" not in name} == {"a": 1, "b": 2}
+    io.replace_tables(spark, {"a": spark.range(5), "b": spark.range(6)}, "pair_out")
+    assert pair() == {"a": 5, "b": 6}
+
+
+@pytest.mark.parametrize("renamed", [1, 2, 3, 4])
+def test_the_next_run_puts_a_lost_driver_s_tables_right(spark, pair, monkeypatch, renamed):
+    """The driver is gone after so many of the four renamings: nothing puts the tables back at once."""
+    rename, done = io._rename, []
+
+    def lost(session, name, new_name, database):
+        if len(done) == renamed:
+            raise KeyboardInterrupt
+        done.append(name)
+        rename(session, name, new_name, database)
+
+    restore = io.restore_tables
+    with monkeypatch.context() as patch:
+        patch.setattr(io, "_rename", lost)
+        patch.setattr(io, "_drop", lambda *_: None)
+        patch.setattr(io, "restore_tables", lambda *_: None)
+        if renamed < 4:
+            with pytest.raises(KeyboardInterrupt):
+                io.replace_tables(spark, {"a": spark.range(3), "b": spark.range(4)}, "pair_out")
+        else:
+            io.replace_tables(spark, {"a": spark.range(3), "b": spark.range(4)}, "pair_out")
+    restore(spark, ["a", "b"], "pair_out")
+    assert pair() == ({"a": 1, "b": 2} if renamed < 4 else {"a": 3, "b": 4})
+
+
 def test_csv_round_trip_keeps_quotes_microseconds_and_missing_values(spark, tmp_path):
     rows = redemption_frame(
         spark,
