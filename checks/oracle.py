@@ -342,6 +342,8 @@ SELECTS: dict[str, str] = {
     "customer_zip": """SELECT c_custkey AS "AddressId", phone AS "PhoneNumber", c_custkey AS "UserId",
         c_custkey AS "BillingAddress_Id", c_custkey AS "EntityId", (1000 + c_nationkey)::VARCHAR AS "ZipCode"
         FROM customer JOIN v_shop_address ON id = c_custkey""",
+    "split_identities": """SELECT c.id AS "ClientId", username AS own_number, phone AS billing_number
+        FROM v_shop_customer c JOIN v_shop_address a ON a.id = c.id WHERE username IS DISTINCT FROM phone""",
     "new_customer_flag": """SELECT order_id AS "OrderId", child AS "childId", novelty AS "IsNewCustomer"
         FROM v_redeemed ORDER BY order_id, client""",
     "local_time": """SELECT id AS "Id", placed_local::VARCHAR AS local_time FROM v_shop_order""",
@@ -378,6 +380,9 @@ SELECTS: dict[str, str] = {
         round(n_shares / n_users::DOUBLE + 1e-9, 6) AS mean_shares_per_user
         FROM v_person JOIN v_counted USING (client) WHERE stage = 'influencer'""",
     "client_coupon": """SELECT DISTINCT client AS "ClientId", code AS coupon FROM v_inf_edge""",
+    "client_coupon_or_stop": """SELECT client AS "ClientId",
+        CASE WHEN count(DISTINCT code) > 1 THEN error('more than one coupon') ELSE min(code) END AS coupon
+        FROM v_inf_edge GROUP BY client""",
     "coupon_conflicts": """SELECT client AS "ClientId", count(DISTINCT code) AS n_coupons,
         (count(DISTINCT code) <> 1)::BIGINT AS has_conflict FROM v_inf_edge GROUP BY client""",
     "client_zipcodes": """SELECT client AS "ClientId", zip AS "ZipCode",
@@ -431,6 +436,8 @@ SELECTS: dict[str, str] = {
         FROM v_child_mean""",
     "active_child_fraction": """SELECT client AS "ClientId", round(fraction + 1e-9, 6) AS active_child_fracc
         FROM v_child_active""",
+    "self_invitations": """SELECT client AS "ClientId", max((giver IS NOT DISTINCT FROM taker)::BIGINT) AS invites_own_number,
+        max((child = client)::BIGINT) AS invites_own_id FROM v_edge GROUP BY client""",
     "parent_behaviour": f"""SELECT client AS "ClientId", {MEANS}, round(aov + 1e-9, 6) AS "mean_AOV" FROM v_parent_metric""",
     "users_metrics": f"""SELECT client AS "ClientId", {MEANS}, round(aov + 1e-9, 6) AS "mean_AOV",
         round(rate + 1e-9, 6) AS child_sharing_rate, round(fraction + 1e-9, 6) AS active_child_fracc, NULL::BIGINT AS cliente

@@ -24,6 +24,7 @@ from grapevine.sources.tables import read_csv, replace_tables
 from grapevine.sources.testviews import AS_OF, shop_from_test_tables
 
 RULES = Rules()
+STRICT = Rules(stop_on_coupon_conflict=True)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -228,6 +229,7 @@ QUERIES: dict[str, Query] = {
     "referrer_of_coupon": _from_tables(lambda t: redemptions.referrer_of_coupon(t, RULES)),
     "buyer_coupon_orders": _from_tables(lambda t: redemptions.buyer_coupon_orders(t, RULES)),
     "customer_zip": _from_tables(redemptions.customer_zip),
+    "split_identities": _from_tables(redemptions.split_identities),
     "new_customer_flag": _redemption_columns("OrderId", "childId", "IsNewCustomer"),
     "local_time": _from_tables(_local_time),
     "week_code": _from_tables(_week_code),
@@ -265,6 +267,7 @@ QUERIES: dict[str, Query] = {
         lambda c: _with_reach(c).select("ClientId", "n_shares", "n_distinct_users", "mean_shares_per_user")
     ),
     "client_coupon": _from_campaign(lambda c: reach.client_coupon(c.influencer_edges, RULES)),
+    "client_coupon_or_stop": _from_campaign(lambda c: reach.client_coupon(c.influencer_edges, STRICT)),
     "coupon_conflicts": _from_campaign(lambda c: reach.coupon_conflicts(c.influencer_edges)),
     "client_zipcodes": _from_campaign(lambda c: reach.client_zipcodes(c.influencer_edges)),
     "client_stores": _from_campaign(lambda c: reach.client_stores(c.influencer_edges)),
@@ -296,6 +299,7 @@ QUERIES: dict[str, Query] = {
     "child_sharing": _from_campaign(lambda c: family.child_sharing(c.edges, c.influencer_edges)),
     "child_behaviour": _from_campaign(lambda c: c.child_rows),
     "active_child_fraction": _from_campaign(lambda c: family.active_child_fraction(c.child_rows)),
+    "self_invitations": _from_campaign(lambda c: family.self_invitations(c.edges)),
     "parent_behaviour": _from_campaign(lambda c: family.parent_behaviour(c.influencer_edges, c.means)),
     "users_metrics": _from_campaign(_users_metrics),
     "influencer_profile": _from_campaign(_influencer_profile),

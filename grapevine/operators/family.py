@@ -67,21 +67,22 @@ def children(client_edges: DataFrame, probe: Probe | None = None) -> DataFrame:
     )
 
 
+def self_invitations(client_edges: DataFrame) -> DataFrame:
+    """Per client 1 or 0: is the own number among the invited, and is the own id?"""
+    own_number, own_id = _to_self(), F.col("childId") == F.col("ClientId")
+    return client_edges.groupBy("ClientId").agg(
+        F.max(own_number.cast("int")).alias("invites_own_number"),
+        F.max(F.coalesce(own_id, F.lit(False)).cast("int")).alias("invites_own_id"),
+    )
+
+
 def self_mismatches(client_edges: DataFrame) -> DataFrame:
     """Clients whose own number is among the invited while their id is not: another customer has it.
 
     Their invited customers are counted as they stand; this lists what to look into.
     """
-    own_number, own_id = _to_self(), F.col("childId") == F.col("ClientId")
-    return (
-        client_edges.groupBy("ClientId")
-        .agg(
-            F.max(own_number.cast("int")).alias("invites_own_number"),
-            F.max(F.coalesce(own_id, F.lit(False)).cast("int")).alias("invites_own_id"),
-        )
-        .where("invites_own_number = 1 AND invites_own_id = 0")
-        .select("ClientId")
-    )
+    found = self_invitations(client_edges).where("invites_own_number = 1 AND invites_own_id = 0")
+    return found.select("ClientId")
 
 
 def child_behaviour(client_edges: DataFrame, means: DataFrame, probe: Probe | None = None) -> DataFrame:

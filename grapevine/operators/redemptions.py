@@ -104,6 +104,17 @@ def redemptions(tables: ShopTables, rules: Rules) -> DataFrame:
     )
 
 
+def split_identities(tables: ShopTables) -> DataFrame:
+    """Customers whose own number is not the phone of their billing address.
+
+    People are told apart by number: such a customer is one person as a referrer and another as a
+    buyer. A customer without a billing address is none, one who lacks either number is listed.
+    """
+    people = tables.customer.select(F.col("Id").alias("ClientId"), F.col("username").alias("own_number"), "BillingAddress_Id")
+    known = _named(people, "ClientId", tables, billing_number="PhoneNumber")
+    return known.where(~F.col("own_number").eqNullSafe(F.col("billing_number")))
+
+
 def buyer_coupon_orders(tables: ShopTables, rules: Rules) -> DataFrame:
     """Orders paid with a personal code, seen from the buyer alone.
 

@@ -60,11 +60,8 @@ def test_k_is_the_least_squares_minimum_on_uneven_data(spark):
     assert [r.k_factor for r in found] == pytest.approx(expected, abs=2e-4)
 
 
-def test_the_scan_brackets_the_minimum_of_long_histories(spark):
-    """Nowhere within the bounds does a dense grid have a smaller error than the k that is found."""
+def made_histories():
     rng = np.random.default_rng(3)
-    grid = np.unique(np.concatenate([np.arange(0.01, 0.9, 0.002), np.arange(0.9, 1.1, 0.0005), np.arange(1.1, 10, 0.005)]))
-    grid = grid[np.abs(grid - 1) > 1e-9]
     days, histories = [], []
     for client in range(120):
         span = int(rng.choice([10, 30, 200, 1000]))
@@ -73,11 +70,43 @@ def test_the_scan_brackets_the_minimum_of_long_histories(spark):
         y = np.cumsum(np.maximum(1, rng.lognormal(0, rng.uniform(0.1, 2.5), len(x)) * growing).astype(int)).astype(float)
         histories.append((x, y))
         days += [(client, None, None, int(a), float(b), int(y[0])) for a, b in zip(x, y, strict=True)]
+    return days, histories
+
+
+def errors(x, y, k):
+    with np.errstate(over="ignore"):
+        return ((y[0] * (k[:, None] ** x - 1) / (k[:, None] - 1) - y) ** 2).sum(1)
+
+
+def test_the_fit_does_not_depend_on_the_first_intervals(spark, monkeypatch):
+    frame = spark.createDataFrame(made_histories()[0], POINTS)
+    found = {r.ClientId: r.k_factor for r in growth.k_factor(frame, Rules()).collect()}
+    monkeypatch.setattr(growth, "SCAN", ((float("inf"), 2.5),))
+    monkeypatch.setattr(growth, "FIRST", 1)
+    monkeypatch.setattr(growth, "HALVINGS", 14)
+    for r in growth.k_factor(frame, Rules()).collect():
+        assert r.k_factor == pytest.approx(found[r.ClientId], abs=1e-6)
 
-    def errors(x, y, k):
-        with np.errstate(over="ignore"):
-            return ((y[0] * (k[:, None] ** x - 1) / (k[:, None] - 1) - y) ** 2).sum(1)
 
+def test_no_error_in_an_interval_is_below_its_bound(spark):
+    days, histories = made_histories()
+    rng = np.random.default_rng(8)
+    ends = {c: sorted(rng.choice([rng.uniform(0.01, 10, 2), rng.uniform(0.9, 1.1, 2)])) for c in range(len(histories))}
+    frame = spark.createDataFrame([(*d, *map(float, ends[d[0]])) for d in days], POINTS + ", lo double, hi double")
+    points = F.collect_list(F.struct(F.col("x").cast("double").alias("x"), "y"))
+    rows = frame.groupBy("ClientId", "lo", "hi").agg(points.alias("points"), F.first("u0").cast("double").alias("u0"))
+    lo, hi = (growth._knot(F.col(c), F.col("u0")) for c in ("lo", "hi"))
+    for r in rows.select("ClientId", growth._bound(F.col("points"), lo, hi).alias("bound")).collect():
+        x, y = histories[r.ClientId]
+        inside = errors(x, y, np.linspace(*ends[r.ClientId], 2001))
+        assert r.bound <= inside.min() * (1 + 1e-9)
+
+
+def test_the_scan_brackets_the_minimum_of_long_histories(spark):
+    """Nowhere within the bounds does a dense grid have a smaller error than the k that is found."""
+    grid = np.unique(np.concatenate([np.arange(0.01, 0.9, 0.002), np.arange(0.9, 1.1, 0.0005), np.arange(1.1, 10, 0.005)]))
+    grid = grid[np.abs(grid - 1) > 1e-9]
+    days, histories = made_histories()
     for r in growth.k_factor(spark.createDataFrame(days, POINTS), Rules()).collect():
         x, y = histories[r.ClientId]
         k = r.k_factor + (1e-7 if abs(r.k_factor - 1) < 1e-7 else 0)
