@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grapevine.functions.scaling import ratio, rounded_to_cents
+from grapevine.operators.distinct import distinct_counts
 from grapevine.operators.reach import MISSING
 from grapevine.operators.skew import Probe, balanced_join
 
@@ -20,9 +21,8 @@ def _to_self():
 
 
 def client_probe(client_edges: DataFrame) -> Probe:
-    """Finds numbers and clients that stand in very many interactions, once for all steps on the same edges."""
-    ends = client_edges.select("ClientId", "childId", _phone("to").alias("phone"))
-    return Probe(ends, ["phone"], ["ClientId"], ["childId"])
+    """Finds numbers and customers that very many clients invited, once for all steps on the same edges."""
+    return Probe(client_edges.select("childId", _phone("to").alias("phone")), ["phone"], ["childId"])
 
 
 def child_sharing(edges: DataFrame, client_edges: DataFrame, probe: Probe | None = None) -> DataFrame:
@@ -34,7 +34,8 @@ def child_sharing(edges: DataFrame, client_edges: DataFrame, probe: Probe | None
     The client itself is left out on both sides. The rate is a percentage rounded to
     two places (``rounded_to_cents``), as a fraction; NULL for a client with no one else.
     """
-    sharing = edges.groupBy(_phone("from").alias("phone")).agg(F.count_distinct("ClientId").alias("n_sharing"))
+    senders = edges.select(_phone("from").alias("phone"), "ClientId")
+    sharing = distinct_counts(senders, ["phone"], {"n_sharing": "ClientId"})
     invited = client_edges.groupBy("ClientId", _phone("to").alias("phone")).agg(
         F.max(_to_self().cast("int")).alias("is_self")
     )
@@ -48,23 +49,17 @@ def child_sharing(edges: DataFrame, client_edges: DataFrame, probe: Probe | None
     return counts.withColumn("child_sharing_rate", rounded_to_cents(percent) / 100)
 
 
-def children(client_edges: DataFrame, probe: Probe | None = None) -> DataFrame:
+def children(client_edges: DataFrame) -> DataFrame:
     """Distinct client ids invited by each client.
 
     The client's own id is left out if its number is among the invited numbers; this is how
-    a self invitation is recognised. An own id that bought under another number stays.
+    a self invitation is recognised. An own id that bought under another number stays. Only own ids
+    depend on the number, so no other row is looked up.
     """
-    has_self = client_edges.groupBy(F.col("ClientId").alias("parent_Id")).agg(
-        F.max(_to_self().cast("int")).alias("has_self")
-    )
-    uses = client_edges.select(F.col("ClientId").alias("parent_Id"), F.col("childId").alias("cliente"))
-    own = F.col("cliente") == F.col("parent_Id")
-    parents = (probe or client_probe(client_edges)).called({"ClientId": "parent_Id"})
-    return (
-        balanced_join(uses.distinct(), has_self, ["parent_Id"], ["cliente"], parents)
-        .where(~(own & (F.col("has_self") == 1)))
-        .select("parent_Id", "cliente")
-    )
+    pairs = client_edges.select(F.col("ClientId").alias("parent_Id"), F.col("childId").alias("cliente"))
+    others = pairs.where(~F.col("cliente").eqNullSafe(F.col("parent_Id"))).distinct()
+    own = self_invitations(client_edges).where("invites_own_id = 1 AND invites_own_number = 0")
+    return others.union(own.select("ClientId", "ClientId"))
 
 
 def self_invitations(client_edges: DataFrame) -> DataFrame:
@@ -94,7 +89,7 @@ def child_behaviour(client_edges: DataFrame, means: DataFrame, probe: Probe | No
     per_child = means.withColumnRenamed("ClientId", "cliente")
     probe = probe or client_probe(client_edges)
     invited = probe.called({"childId": "cliente"})
-    return balanced_join(children(client_edges, probe), per_child, ["cliente"], ["parent_Id"], invited).select(
+    return balanced_join(children(client_edges), per_child, ["cliente"], ["parent_Id"], invited).select(
         "parent_Id", "cliente", "active", "mean_freq", "mean_gmv", "mean_AOV"
     )
 

@@ -26,13 +26,13 @@ def ranked(df: DataFrame, group: str, order: Sequence[Column], rank: str, worksp
     counts = written.groupBy(group, "_part").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_row").alias("_first")
     )
-    # One row per group and partition: as small as the number of shuffle partitions.
+    # At most a row per partition and one per group, as a group's rows stand side by side.
     before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(
         group, "_part", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
     )
     return (
-        written.join(F.broadcast(offsets), [group, "_part"])
+        written.join(offsets, [group, "_part"])
         .withColumn(rank, F.col("_before") + F.col("_row") - F.col("_first") + 1)
         .select(*df.columns, rank)
     )

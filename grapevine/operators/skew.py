@@ -28,7 +28,11 @@ def _setting_in_bytes(spark: SparkSession, name: str) -> int:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate, which only a classic session tells; elsewhere any frame may be large."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:
+        return 2**62
 
 
 def fits_broadcast(df: DataFrame) -> bool:

@@ -315,3 +315,15 @@ def test_distinct_counts_take_empty_text_and_need_no_second_read(spark):
     found = distinct_counts(df, ["k"], {"n": "a"})
     assert plan_of(found).count("Scan") == 1
     assert rows_of(found) == [(1, 2), (2, 0)]
+
+
+def test_metrics_of_clients_are_dealt_out_sparingly(spark, always_skewed, monkeypatch):
+    """Each side of the joins by client id is shuffled by it once, and the joins themselves not again."""
+    from checks.queries import AS_OF, RULES
+    from grapevine.plans.campaign import Campaign
+    from grapevine.sources.testviews import shop_from_test_tables
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 10**9)
+    monkeypatch.setattr(distinct, "SET_ROWS", 10**9)
+    plan = plan_of(Campaign(spark, shop_from_test_tables(spark, SF), AS_OF, RULES).staged_people)
+    assert plan.count("Exchange hashpartitioning") <= 14
