@@ -14,7 +14,8 @@ is compared in the first band it agrees in alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ ALIKE = 74  # equal numbers of the short sketch, of COORDINATES, from which a pa
 FINE, FINE_ALIKE = 512, 340  # numbers of the long sketch, and equal ones from which a pair is checked
 PROPOSALS = (3, None)  # partners that a node proposes in a bucket in each round; None: all
 BROADCAST_NODES = 2_000_000  # node numbers (16 MB) up to which texts need not move to meet them
-BLOCK_ROWS = 4096  # members of a bucket that are compared in one task
+BLOCK_ROWS = 2048  # members of a bucket that are compared in one task with as many others
+SLAB = 1 << 24  # numbers of sketches that are compared at a time
+HELD = 1 << 18  # pairs that are held before the best of them are picked, or they are passed on
 _SET = ["digest_a", "digest_b", "n_shingles"]
 
 
@@ -89,50 +92,63 @@ def _rows_of(column: pa.ChunkedArray, size: int) -> np.ndarray:
     return np.frombuffer(raw.buffers()[2], "<u2", len(raw) * size, begin).reshape(-1, size)
 
 
-def alike(short: np.ndarray, fine: np.ndarray, band: int, can: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows that look alike, and in how many numbers of the long sketch they agree.
+def alike(
+    short: np.ndarray, fine: np.ndarray, band: int, wanted: Callable[[int, int], np.ndarray]
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows that look alike, and in how many numbers of the long sketch they agree, a slab of rows at a time.
 
-    ``can`` (rows by rows) says which pairs are wanted. A pair counts in the first band it agrees in.
+    ``wanted(lo, hi)`` (some rows by all rows) says which pairs are. A pair counts in the first band it agrees in.
     """
-    m, found = len(short), []
-    step = max(1, (1 << 24) // (m * COORDINATES))
+    m = len(short)
+    step = max(1, SLAB // (m * COORDINATES))
     for lo in range(0, m, step):
         equal = (short[lo : lo + step, None, :] == short[None, :, :]).sum(2, dtype=np.int16)
-        a, b = np.nonzero((equal >= ALIKE) & can[lo : lo + step])
+        a, b = np.nonzero((equal >= ALIKE) & wanted(lo, min(lo + step, m)))
         for at in range(0, len(a), 1 << 15):
             i, j = a[at : at + (1 << 15)] + lo, b[at : at + (1 << 15)]
             bands = (short[i] == short[j]).reshape(len(i), -1, BAND).all(2)
             here = bands.argmax(1) == band
             i, j = i[here], j[here]
-            agree = (fine[i] == fine[j]).sum(1)
+            agree = (fine[i] == fine[j]).sum(1, dtype=np.int16)
             good = agree >= FINE_ALIKE
-            found.append((i[good], j[good], agree[good]))
-    if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(3))
-    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+            yield i[good], j[good], agree[good]
 
 
 def _proposals(most: int | None):
     """From rows of buckets, sorted by bucket and pair of blocks, to the pairs that their members propose."""
 
-    def of_group(node, comp, size, short, fine, block, band, cross) -> tuple[np.ndarray, np.ndarray]:
-        can = np.triu(comp[:, None] != comp[None, :], 1)
-        can &= 100 * np.minimum(size[:, None], size) >= PERCENT * np.maximum(size[:, None], size)
-        if cross:
-            can &= block[:, None] != block[None, :]
-        i, j, agree = alike(short, fine, band, can)
-        if most is not None:  # the best of either end
-            ends, other, agree = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([agree, agree])
-            order = np.lexsort((node[other], -agree, ends))
-            ends, other = ends[order], other[order]
-            rank = np.arange(len(ends)) - np.searchsorted(ends, ends)
-            i, j = ends[rank < most], other[rank < most]
-        return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+    def best(ends: np.ndarray, other: np.ndarray, agree: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((node[other], -agree, ends))
+        ends, other, agree = ends[order], other[order], agree[order]
+        kept = np.arange(len(ends)) - np.searchsorted(ends, ends) < most
+        return ends[kept], other[kept], agree[kept]
+
+    def of_group(node, comp, size, short, fine, block, band, cross) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a group, in parts: memory grows with the rows, not with the pairs that look alike."""
+
+        def wanted(lo: int, hi: int) -> np.ndarray:
+            can = (comp[lo:hi, None] != comp) & (np.arange(lo, hi)[:, None] < np.arange(len(node)))
+            can &= 100 * np.minimum(size[lo:hi, None], size) >= PERCENT * np.maximum(size[lo:hi, None], size)
+            return can & (block[lo:hi, None] != block) if cross else can
+
+        held = tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int16))
+        for i, j, agree in alike(short, fine, band, wanted):
+            if most is None:
+                yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+                continue
+            # The best of either end; what is not among the best of a part is not among the best of all.
+            found = (np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([agree, agree]))
+            held = tuple(np.concatenate(both) for both in zip(held, found, strict=True))
+            if len(held[0]) > HELD + 2 * most * len(node):
+                held = best(*held, node)
+        if len(held[0]):
+            i, j, _ = best(*held, node)
+            yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
-        def groups(table: pa.Table, last: bool) -> tuple[list, pa.Table | None]:
+        def groups(table: pa.Table, last: bool) -> tuple[Iterator, pa.Table | None]:
             keys = [table.column(c).to_numpy() for c in ("key", "first", "second")]
             new = np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
             cuts = np.append(np.flatnonzero(new), len(new))
@@ -143,17 +159,24 @@ def _proposals(most: int | None):
                 table.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "block", "band")
             )
             short, fine = _rows_of(table.column("sketch"), COORDINATES), _rows_of(table.column("fine"), FINE)
-            out = []
-            for a, b in zip(cuts[:done], cuts[1 : done + 1], strict=True):
-                part, cross = slice(a, b), keys[1][a] != keys[2][a]
-                rows = (x[part] for x in (node, comp, size, short, fine, block))
-                out.append(of_group(*rows, band[a], cross))
-            return out, rest
-
-        def pairs(out: list) -> pa.RecordBatch:
-            a, b = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-            both = np.unique(np.stack([a, b], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+
+            def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for a, b in zip(cuts[:done], cuts[1 : done + 1], strict=True):
+                    part, cross = slice(a, b), keys[1][a] != keys[2][a]
+                    rows = (x[part] for x in (node, comp, size, short, fine, block))
+                    yield from of_group(*rows, band[a], cross)
+
+            return parts(), rest
+
+        def pairs(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            out, n = [], 0
+            for part in itertools.chain(parts, [None]):
+                out += [] if part is None else [part]
+                n += 0 if part is None else len(part[0])
+                if n > HELD or (n and part is None):
+                    both = np.unique(np.concatenate([np.stack(p, 1) for p in out]), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+                    out, n = [], 0
 
         for batch in batches:
             if not len(batch):
@@ -163,12 +186,10 @@ def _proposals(most: int | None):
             if len(held) < 2000:
                 continue
             out, held = groups(held, False)
-            if out:
-                yield pairs(out)
+            yield from pairs(out)
         if held is not None and len(held):
             out, _ = groups(held, True)
-            if out:
-                yield pairs(out)
+            yield from pairs(out)
 
     return run
 

@@ -48,7 +48,9 @@ def with_responses(pages: DataFrame) -> DataFrame:
     large = F.octet_length("payload") >= REVISIT_BYTES
     slim = pages.where(large).select("page_id", "digest")
     found = slim.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1")
-    joined = pages.join(found.drop("n"), "digest", "left")
+    # Small pages match nothing: they are dealt out by what they are instead of meeting under a common digest.
+    key = F.when(large, F.col("digest")).otherwise(F.concat_ws(" ", F.lit("small"), "page_id", "url"))
+    joined = pages.withColumn("key", key).join(found.select(F.col("digest").alias("key"), "response"), "key", "left").drop("key")
     same = F.col("page_id").eqNullSafe(F.col("response"))
     return joined.withColumn("refers_to", F.when(large & ~same, F.col("response"))).drop("response")
 
@@ -166,9 +168,13 @@ def read_archive(source) -> Iterator[bytes]:
 
 
 def _file_system(folder: str):
-    """The file system of the shared folder, and the folder's path in it."""
+    """The file system of the shared folder, and the folder's path in it.
+
+    Spark's names of S3 are not pyarrow's, which finds its own credentials (environment, profile or role).
+    """
     from pyarrow import fs
 
+    folder = re.sub(r"^s3[an]://", "s3://", folder)
     return fs.FileSystem.from_uri(folder if re.match(r"\w+://|\w+:/", folder) else f"file://{folder}")
 
 
