@@ -16,11 +16,11 @@ from pyspark.sql import types as T
 from grapevine.functions import calendar, text
 from grapevine.functions.scaling import virality_curve
 from grapevine.operators import accuracy, edges, family, growth, orders, reach, redemptions, stages
-from grapevine.plans.campaign import INTERACTIONS_TABLE, STAGES_TABLE, Campaign, export_csv, run
+from grapevine.plans.campaign import Campaign, export_csv, run
 from grapevine.rules import Rules
 from grapevine.session import Workspace, use_trial_folder
 from grapevine.sources.schemas import ShopTables
-from grapevine.sources.tables import read_csv, replace_tables
+from grapevine.sources.tables import read_csv
 from grapevine.sources.testviews import AS_OF, shop_from_test_tables
 
 RULES = Rules()
@@ -185,15 +185,14 @@ def _name_similarity(rows: DataFrame) -> DataFrame:
 
 
 def _sink(name: str) -> Query:
-    """Replace both result tables in a database of the run's own, twice over, and read one of them."""
+    """Let the whole analysis replace both result tables in a database of its own, and read one of them."""
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         tables = _shop(spark, sf_dir)
         workspace = Workspace(spark)
         database = f"results_{uuid.uuid4().hex}"
         spark.sql(f"CREATE DATABASE {database} LOCATION '{workspace.path(database)}'")
-        rows = run(spark, tables, AS_OF, RULES, database, workspace)
-        replace_tables(spark, dict(zip((STAGES_TABLE, INTERACTIONS_TABLE), rows, strict=True)), database)
+        run(spark, tables, AS_OF, RULES, database, workspace)
         back = spark.table(f"{database}.{name}")
         return comparable(_rounded_k(back) if "k_factor" in back.columns else _without_similarity(back))
 
