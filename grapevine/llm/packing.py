@@ -14,6 +14,8 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ SHARD_TOKENS = 1 << 21
 ROUTES, ROUTE_BITS = 3, 21  # min-hashes that shards are made by, and bits of each
 K1, B = 1.2, 0.75
 BLOCK = 32 << 20
+COMMON = 4  # a term in over a COMMON-th of a shard's pieces has a row in its index
+REBUILT = 0.8  # share of live pieces at which used ones leave an index; changes no score
 _MARK = "`"
 # The pattern by which the tokenizer that lower-cases and marks word ends splits texts.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -98,15 +102,56 @@ def _parts_words(tokenizer) -> bool:
     )
 
 
+def _without_splitting(tokenizer) -> str:
+    """The tokenizer for lower-case letters up to U+00FF with spaces between the words: without the steps that
+    normalise and split by ``_PATTERN``, which leave such words as they are."""
+    steps = json.loads(tokenizer.to_str())
+    others = [p for p in steps["pre_tokenizer"]["pretokenizers"] if p.get("pattern") != {"Regex": _PATTERN}]
+    steps["normalizer"] = None
+    steps["pre_tokenizer"]["pretokenizers"] = [{"type": "WhitespaceSplit"}, *others]
+    return json.dumps(steps)
+
+
+class Known(NamedTuple):
+    """Ids of words: their hashes in order, and where each word's ids begin in ``ids`` and end."""
+
+    hashes: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    ids: np.ndarray
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where each hash stands, -1 if it does not."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def joined(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> Known:
+        """With words that do not stand here yet, whose ids are given one after the other."""
+        end = len(self.ids) + np.cumsum(sizes)
+        all_hashes = np.concatenate([self.hashes, hashes])
+        order = np.argsort(all_hashes)
+        begin, end = np.concatenate([self.begin, end - sizes])[order], np.concatenate([self.end, end])[order]
+        return Known(all_hashes[order], begin, end, np.concatenate([self.ids, ids]))
+
+
+def _taken(ids: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ids of many spans, one after the other."""
+    ends = np.cumsum(sizes)
+    return ids[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Tokens:
     """Ids of whole texts by a tokenizer that never joins what ASCII space parts.
 
     A word is encoded once per block. With a tokenizer that lower-cases and splits by ``_PATTERN``, words are
-    parted further, so that one with a comma is the same as one without. Words that an earlier block
-    has twice or more are remembered, up to ``remembered`` of them.
+    parted further, so that one with a comma is the same as one without, and plain letters skip the steps that
+    change nothing in them. Words of earlier blocks are remembered by their hashes, up to ``remembered`` of them
+    (some 32 bytes each); then all are forgotten.
     """
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 1 << 21):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -116,75 +161,97 @@ class Tokens:
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.remembered = remembered
-        self.known: dict[str, bytes] = {}
+        self._forget()
         self.parted = _parts_words(self.tokenizer)
         self.ends = np.zeros(size, bool)
         if self.parted:
+            self.plain = Tokenizer.from_str(_without_splitting(self.tokenizer))
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(_WORD_END)]] = True
 
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
-        """Many words at a time, with a mark between them; words that hold the mark go alone, and plain
+    def _forget(self) -> None:
+        self.known = Known(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind))
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids of all, one word after the other.
+
+        Many words go at a time, with a mark after each; words that hold the mark go alone, and plain
         letters, whose last id says that the word ends, need none."""
-        out, plain, marked = {}, [], []
-        for w in words:
-            if self.parted and w.isalpha() and max(w) <= "\u00ff":
-                plain.append(w)
-            elif _MARK in w:
-                out[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
-            else:
-                marked.append(w)
-        return out | self._together(plain, " ", False) | self._together(marked, f" {_MARK} ", True)
-
-    def _together(self, words: list[str], between: str, marks: bool) -> dict[str, bytes]:
-        width, out = self.kind.itemsize, {}
-        groups = [words[i : i + 512] for i in range(0, len(words), 512)]
-        texts = [between.join(g) for g in groups]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, self.kind)
-            raw = ids.tobytes()
-            if marks:
-                cuts = np.flatnonzero(ids == self.mark)
-                begins, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
-            else:
-                ends = np.flatnonzero(self.ends[ids]) + 1
-                begins = np.append(0, ends[:-1])
-            spans = zip(group, (begins * width).tolist(), (ends * width).tolist(), strict=True)
-            out |= {w: raw[a:b] for w, a, b in spans}
-        return out
+        kinds: tuple[list[int], ...] = ([], [], [])
+        for i, w in enumerate(words):
+            plain = self.parted and w.isalpha() and (w.isascii() or max(w) <= "\u00ff")
+            kinds[0 if plain else 2 if _MARK in w else 1].append(i)
+        plain, marked, alone = kinds
+        sizes, parts = np.zeros(len(words), np.int64), []
+        for at, marks in ((plain, False), (marked, True)):
+            sizes[at], ids = self._together([words[i] for i in at], marks)
+            parts.append(ids)
+        for i in alone:
+            ids = np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, self.kind)
+            sizes[i] = len(ids)
+            parts.append(ids)
+        order = np.array([*plain, *marked, *alone], np.int64)
+        begin = np.zeros(len(words), np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        return sizes, _taken(np.concatenate(parts), begin, sizes)
+
+    def _together(self, words: list[str], marks: bool) -> tuple[np.ndarray, np.ndarray]:
+        after = f" {_MARK} " if marks else " "
+        texts = [after.join([*words[i : i + 512], ""]) for i in range(0, len(words), 512)]
+        if marks:
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        elif texts:
+            found = self.plain.encode_batch_fast([t.lower() for t in texts], add_special_tokens=False)
+        else:
+            found = []
+        ids = np.concatenate([np.zeros(0, self.kind), *[np.array(f.ids, self.kind) for f in found]])
+        ends = np.flatnonzero(ids == self.mark if marks else self.ends[ids])
+        if len(ends) != len(words):
+            raise ValueError(f"{len(words)} words came back as {len(ends)}")
+        sizes = np.diff(ends, prepend=-1)
+        return (sizes - 1, np.delete(ids, ends)) if marks else (sizes, ids)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, END_ID after each, and where each text's ids begin."""
         text = W.text_of(texts)
         vocabulary = W.vocabulary_of(lowered(text), pieces_of) if self.parted else W.vocabulary_of(text)
-        words = W.strings_of(vocabulary.entries)
-        made = self._encode([w for w in words if w not in self.known])
-        raw = [made[w] if w in made else self.known[w] for w in words]
-        times = np.bincount(vocabulary.codes, minlength=len(words))
-        again = [words[i] for i in np.flatnonzero(times > 1).tolist() if words[i] in made]
-        if len(self.known) + len(again) > self.remembered:
-            self.known.clear()
-        self.known |= {w: made[w] for w in again[: self.remembered]}
-        sizes = np.array([len(r) for r in raw], np.int64) // self.kind.itemsize
-        flat, starts = np.frombuffer(b"".join(raw), self.kind), np.cumsum(sizes) - sizes
+        place = self.known.places(vocabulary.hashes)
+        new = np.flatnonzero(place < 0)
+        at = vocabulary.entries.offsets
+        made_sizes, made = self._encode(W.strings_of(W.entries_of(vocabulary.entries, at[new], at[new + 1])))
+        old = np.flatnonzero(place >= 0)
+        begin, sizes = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        begin[old], sizes[old] = self.known.begin[place[old]], (self.known.end - self.known.begin)[place[old]]
+        begin[new], sizes[new] = len(self.known.ids) + np.cumsum(made_sizes) - made_sizes, made_sizes
+        flat = np.concatenate([self.known.ids, made])
+        if len(self.known.hashes) + len(new) > self.remembered:
+            self._forget()
+        some = new[: self.remembered]
+        self.known = self.known.joined(vocabulary.hashes[some], sizes[some], _taken(flat, begin[some], sizes[some]))
+
         per_word = sizes[vocabulary.codes]
         ends = np.zeros(len(per_word) + 1, np.int64)
         np.cumsum(per_word, out=ends[1:])
-        places = np.repeat(starts[vocabulary.codes] - ends[:-1], per_word) + np.arange(ends[-1])
         bounds = ends[vocabulary.bounds] + np.arange(len(vocabulary.bounds))
         out = np.full(bounds[-1], END_ID, self.kind)
         word = np.ones(len(out), bool)
         word[bounds[1:] - 1] = False
-        out[word] = flat[places]
+        out[word] = _taken(flat, begin[vocabulary.codes], per_word)
         return out, bounds
 
 
+@cache
+def tokens_of(path: str) -> Tokens:
+    """One per worker process, so that a task knows the words of those before it."""
+    return Tokens(path)
+
+
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``row_id``, ``doc_id``, ``ids`` (little-endian, 2 bytes each, or 4 for a large vocabulary) and
     ``doc_tokens``. Write it before use."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(tokenizer)
+        tokens = tokens_of(tokenizer)
         for block in W.blocks(batches, "text", BLOCK):
             ids, bounds = tokens.encode(block.column("text"))
             raw = pa.Array.from_buffers(
@@ -255,7 +322,8 @@ def routes(ids: np.ndarray, bounds: np.ndarray, places: np.ndarray) -> np.ndarra
 
 
 class Index:
-    """Inverted BM25 index of one shard's pieces."""
+    """Inverted BM25 index of one shard's pieces. A term that more than a part of them have is a row over all pieces
+    instead of a list, which is less to add up; all rows have at most as many numbers as the lists, times COMMON."""
 
     def __init__(self, ids: np.ndarray, bounds: np.ndarray, idf: np.ndarray, mean_size: float):
         import pandas as pd
@@ -265,24 +333,47 @@ class Index:
         codes, keys = pd.factorize(ids.astype(np.int64) * n + rows)  # hashed: sorting the distinct ones is less work
         order = np.argsort(keys)
         keys, times = keys[order], np.bincount(codes)[order]
-        term, self.piece = keys // n, keys % n
+        term, piece = keys // n, keys % n
         norm = K1 * (1 - B + B * np.diff(bounds) / max(mean_size, 1.0))
-        self.weight = idf[term] * times * (K1 + 1) / (times + norm[self.piece])
-        self.at = np.searchsorted(term, np.arange(size + 1))
-        self.n = n
-        by_piece = np.argsort(self.piece, kind="stable")
+        weight = idf[term] * times * (K1 + 1) / (times + norm[piece])
+        by_piece = np.argsort(piece, kind="stable")
         self.terms = term[by_piece]
-        self.terms_at = np.searchsorted(self.piece[by_piece], np.arange(n + 1))
+        self.terms_at = np.searchsorted(piece[by_piece], np.arange(n + 1))
+        self.n = n
+
+        common = np.bincount(term, minlength=size) * COMMON > n
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        listed = ~common[term]
+        self.rows = np.zeros((int(common.sum()), n))
+        self.rows[self.row[term[~listed]], piece[~listed]] = weight[~listed]
+        self.piece, self.weight = piece[listed], weight[listed]
+        self.at = np.searchsorted(term[listed], np.arange(size + 1))
 
     def terms_of(self, piece: int) -> np.ndarray:
         return self.terms[self.terms_at[piece] : self.terms_at[piece + 1]]
 
+    def keep(self, live: np.ndarray) -> None:
+        """Leaves out pieces that are used up; ``live`` says by piece whether it stays. The ones
+        that stay get new numbers, in the order of the old ones; ``terms_of`` goes by the first numbers."""
+        stays = live[self.piece]
+        before = np.zeros(len(stays) + 1, np.int64)
+        np.cumsum(stays, out=before[1:])
+        self.at = before[self.at]
+        self.piece = (np.cumsum(live) - 1)[self.piece[stays]]
+        self.weight = self.weight[stays]
+        self.rows = self.rows[:, live]
+        self.n = int(live.sum())
+
     def scores(self, terms: np.ndarray) -> np.ndarray:
-        """BM25 score of every piece of the shard for a query."""
+        """BM25 score of every piece that stays in the index for a query."""
+        row = self.row[terms]
         begin, sizes = self.at[terms], self.at[terms + 1] - self.at[terms]
         bounds = np.cumsum(sizes)
         places = np.repeat(begin - (bounds - sizes), sizes) + np.arange(bounds[-1] if len(bounds) else 0)
-        return np.bincount(self.piece[places], self.weight[places], self.n)
+        listed = np.bincount(self.piece[places], self.weight[places], self.n)
+        asked = np.zeros(len(self.rows))
+        asked[row[row >= 0]] = 1
+        return listed + np.einsum("t,tp->p", asked, self.rows)
 
 
 class Window:
@@ -317,6 +408,7 @@ def packed_shard(docs: list[tuple], idf: np.ndarray, mean_size: float, open_: Wi
     index = Index(np.concatenate(rest), np.concatenate([[0], np.cumsum(sizes)]), idf, mean_size)
     left, used = sizes.copy(), np.zeros(len(rest), np.int64)  # ids of a piece that are left, and before those
     seeds = iter(np.argsort(-sizes, kind="stable").tolist())
+    indexed = np.arange(len(rest))  # the pieces that the index has
 
     def put(window: Window, piece: int, n: int) -> None:
         key, total = keys[piece]
@@ -335,8 +427,11 @@ def packed_shard(docs: list[tuple], idf: np.ndarray, mean_size: float, open_: Wi
             put(window, seed, int(left[seed]))
         open_ = None
         if window.space:
-            ranked = np.argsort(-index.scores(window.query), kind="stable")
-            ranked = ranked[left[ranked] > 0]
+            live = left[indexed] > 0
+            if live.sum() <= REBUILT * len(indexed):
+                index.keep(live)
+                indexed, live = indexed[live], live[live]
+            ranked = indexed[live][np.argsort(-index.scores(window.query)[live], kind="stable")]
             own = left[ranked]
             skip = 0
             while window.space and skip < len(ranked):
