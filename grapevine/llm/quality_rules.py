@@ -5,7 +5,9 @@ vectors of a language and source, the share ``COVERED`` whose covariance has the
 gives centre and covariance, and a vector too far from the centre by Mahalanobis distance is
 rejected. Concentration steps start from the medians (several scales of them) and keep, step by
 step, the nearest share of the rows; a step is one aggregation over all rows, by group and
-distance bin, so a group of any size is never in one task.
+distance bin, so a group of any size is never in one task. A group's estimate is drawn towards its
+language's, and that towards the one of all rows, by their numbers of rows, so no number of rows
+switches from one estimate to another.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ COUNTS_SCHEMA = ", ".join(f"{c} long" for c in COUNTS)
 COVERED = 0.75
 STEPS = 8
 SPREADS = (1.0, 3.0)  # starting scales, in robust standard deviations
-MIN_ROWS = 60  # groups with fewer rows are judged by their language, or by all rows
+PRIOR_ROWS = 60  # rows that the coarser estimate counts for beside a group's own
 REJECTED_SHARE = 1e-9  # of normally distributed vectors
 BINS_PER_DOUBLING = 32
 
@@ -266,31 +268,60 @@ def _consistency(share: float, freedom: int) -> float:
     return share / inside
 
 
+_JUDGE_SCHEMA = "lang_key string, source_key string, centre array<double>, whitener array<double>"
+_JUDGE_ARROW = pa.schema([("lang_key", pa.string()), ("source_key", pa.string())] + list(_FIT_ARROW)[-2:])
+
+
+def _moments(estimate: dict) -> tuple[np.ndarray, np.ndarray]:
+    lower = np.linalg.inv(np.array(estimate["whitener"]).reshape(SIZE, SIZE))
+    return np.array(estimate["centre"]), lower @ lower.T
+
+
+def drawn_towards(own: dict, coarser: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and covariance of a mixture: a group's rows, and PRIOR_ROWS rows of the coarser estimate."""
+    centre, cov = _moments(own)
+    weight = own["rows"] / (own["rows"] + PRIOR_ROWS)
+    apart = centre - coarser[0]
+    mixed = weight * cov + (1 - weight) * coarser[1] + weight * (1 - weight) * np.outer(apart, apart)
+    return weight * centre + (1 - weight) * coarser[0], mixed
+
+
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            centre, cov = drawn_towards(row["fit0"], drawn_towards(row["fit1"], _moments(row["fit2"])))
+            whitener = np.linalg.inv(np.linalg.cholesky(cov))
+            keys = {c: row[c] for c in ("lang_key", "source_key")}
+            out.append(keys | {"centre": centre.tolist(), "whitener": whitener.ravel().tolist()})
+        if out:
+            yield pa.RecordBatch.from_pylist(out, _JUDGE_ARROW)
+
+
+def estimates(fits: DataFrame) -> DataFrame:
+    """Centre and whitening matrix that each language and source is judged by (``_JUDGE_SCHEMA``)."""
+    of_level = lambda k, *keys: fits.where(F.col("level") == k).select(
+        F.lit(0).alias("every"), *keys, F.struct("rows", "centre", "whitener").alias(f"fit{k}")
+    )
+    own = of_level(0, "lang_key", "source_key")
+    joined = own.join(of_level(1, "lang_key").drop("every"), "lang_key").join(of_level(2), "every")
+    return joined.drop("every").mapInArrow(_drawn, _JUDGE_SCHEMA)
+
+
 def judged(vectors: DataFrame, fits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows with ``base_failed``, ``distance`` and ``kept``.
 
-    A row is judged by the finest of its groups that has MIN_ROWS rows, or else by all rows; the
-    extremes of length alone reject nothing: what counts is the distance without them.
+    A row is judged by the estimate of its language and source, drawn towards the coarser ones; a
+    group of a few rows is judged nearly by these alone.
     """
     limit = math.sqrt(chi_square_quantile(1 - REJECTED_SHARE, SIZE))
-    usable = fits.where((F.col("rows") >= MIN_ROWS) | (F.col("level") == 2))
-    as_level = lambda k: usable.where(F.col("level") == k).select(
-        F.col("lang_key").alias(f"_l{k}"),
-        F.col("source_key").alias(f"_s{k}"),
-        F.struct("centre", "whitener").alias(f"_fit{k}"),
-    )
-    keys = vectors.withColumn("_levels", _levels(lang, source))
-    for k in (0, 1, 2):
-        side = as_level(k)
-        same = [F.col("_levels")[k]["lang_key"].eqNullSafe(F.col(f"_l{k}"))]
-        same += [F.col("_levels")[k]["source_key"].eqNullSafe(F.col(f"_s{k}"))]
-        keys = keys.join(side, same[0] & same[1], "left").drop(f"_l{k}", f"_s{k}")
-    chosen = keys.withColumn("_fit", F.coalesce("_fit0", "_fit1", "_fit2")).select("*", "_fit.*")
-    scored = chosen.withColumn("distance", F.sqrt(_distance())).withColumn("base_failed", base_failed())
+    own = estimates(fits).select(F.struct("lang_key", "source_key").alias("_key"), "centre", "whitener")
+    finest = _levels(lang, source)[0]
+    keyed = vectors.withColumn("_key", F.struct(finest["lang_key"].alias("lang_key"), finest["source_key"].alias("source_key")))
+    scored = keyed.join(own, "_key", "left").withColumn("distance", F.sqrt(_distance()))
+    scored = scored.withColumn("base_failed", base_failed())
     verdict = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)
-    return scored.withColumn("kept", verdict).drop(
-        "_levels", "_fit0", "_fit1", "_fit2", "_fit", "centre", "whitener", *NAMES
-    )
+    return scored.withColumn("kept", verdict).drop("_key", "centre", "whitener", *NAMES)
 
 
 def _keys_and_text(docs: DataFrame, *others: str) -> DataFrame:

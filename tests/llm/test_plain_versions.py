@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from grapevine.llm import packing, quality_classifier, sharding
+from grapevine.llm import packing, quality_classifier, quality_rules, sharding
 from grapevine.session import Workspace
 
 
@@ -181,3 +181,86 @@ def test_equal_texts_share_a_shard_unless_their_group_is_large(spark):
     assert (loads.max(0) < 1.02 * loads.min(0)).all()
     for s in range(8):
         assert sorted(r.slot for r in found.values() if r.shard == s) == list(range(loads[s, 0]))
+
+
+def _vectors(spark, groups):
+    """Rows of statistics by language and source."""
+    names = quality_rules.NAMES
+    rows = [(lang, source, *map(float, x)) for (lang, source), own in groups.items() for x in own]
+    return spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{n} double" for n in names))
+
+
+def _normal(rng, rows, centre=0.0):
+    mixing = np.eye(quality_rules.SIZE) + 0.4 * np.tri(quality_rules.SIZE, k=-1)
+    return centre + rng.normal(size=(rows, quality_rules.SIZE)) @ mixing.T
+
+
+def _plain_determinant_estimate(x):
+    """Concentration steps on sorted distances; of the starts the one with the least determinant."""
+    best = None
+    size = quality_rules.SIZE
+    least = np.diag(quality_rules.LEAST_SPREAD**2)
+    low, middle, high = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    spread = np.hypot((high - low) / 1.349, quality_rules.LEAST_SPREAD)
+    for scale in quality_rules.SPREADS:
+        centre, cov = middle, np.diag((spread * scale) ** 2)
+        for _ in range(quality_rules.STEPS):
+            d2 = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+            near = x[np.argsort(d2, kind="stable")[: math.ceil(quality_rules.COVERED * len(x))]]
+            centre = near.mean(0)
+            cov = np.cov(near.T, bias=True) * quality_rules._consistency(quality_rules.COVERED, size) + least
+        found = (np.linalg.slogdet(cov)[1], centre, cov)
+        best = found if best is None or found[0] < best[0] else best
+    return best[1:]
+
+
+def test_estimates_are_those_of_plain_concentration_steps(spark):
+    """Also where a fifth of a group, all in one place, are outliers, and in a group that is mostly one vector."""
+    rng = np.random.default_rng(5)
+    groups = {
+        ("x", "clean"): _normal(rng, 500),
+        ("x", "dirty"): np.concatenate([_normal(rng, 400, 3.0), _normal(rng, 100, 15.0)]),
+        ("y", None): np.concatenate([np.repeat(_normal(rng, 1), 60, axis=0), _normal(rng, 20)]),
+    }
+    workspace = Workspace(spark)
+    fits = quality_rules.fit(workspace.keep(_vectors(spark, groups), "vectors"), workspace).where("level = 0").collect()
+    by_key = {(r.lang_key, r.source_key): r.asDict() for r in fits}
+    assert len(by_key) == len(groups)
+    for (lang, source), x in groups.items():
+        own = by_key[f"={lang}", "null" if source is None else f"={source}"]
+        centre, cov = quality_rules._moments(own)
+        expected, wanted = _plain_determinant_estimate(x)
+        scale = np.sqrt(np.diag(wanted))
+        assert own["rows"] == len(x)
+        # Bins hold more than one distance, so the nearest share differs by a few rows.
+        assert np.abs((centre - expected) / scale).max() < 0.15
+        assert np.abs((cov - wanted) / np.outer(scale, scale)).max() < 0.25
+    assert np.abs(quality_rules._moments(by_key["=x", "=dirty"])[0] - 3.0).max() < 0.5
+
+
+def test_an_estimate_is_drawn_towards_the_coarser_one_as_by_rows_of_it():
+    """Centre and covariance of the group's rows together with rows of the coarser estimate."""
+    rng = np.random.default_rng(6)
+    coarse = _normal(rng, quality_rules.PRIOR_ROWS, 2.0)
+    coarser = coarse.mean(0), np.cov(coarse.T, bias=True)
+    for rows in (20, 59, 60, 500):
+        own = _normal(rng, rows)
+        whitener = np.linalg.inv(np.linalg.cholesky(np.cov(own.T, bias=True)))
+        fitted = {"rows": rows, "centre": own.mean(0).tolist(), "whitener": whitener.ravel().tolist()}
+        centre, cov = quality_rules.drawn_towards(fitted, coarser)
+        both = np.concatenate([own, coarse])
+        assert np.allclose(centre, both.mean(0)) and np.allclose(cov, np.cov(both.T, bias=True))
+
+
+def test_a_row_more_hardly_changes_how_a_group_is_judged(spark):
+    """No number of rows switches a group from one estimate to another."""
+    rng = np.random.default_rng(7)
+    rest, own = _normal(rng, 300), _normal(rng, 61, 4.0)
+    workspace, found = Workspace(spark), []
+    for rows in (59, 60, 61):
+        groups = {("x", "large"): rest, ("x", "small"): own[:rows]}
+        fits = quality_rules.fit(workspace.keep(_vectors(spark, groups), "vectors"), workspace)
+        (small,) = quality_rules.estimates(fits).where("source_key = '=small'").collect()
+        found.append(np.array(small["centre"]))
+    assert np.abs(np.diff(found, axis=0)).max() < 0.25
+    assert all(1.0 < np.mean(c) < 4.0 for c in found)
