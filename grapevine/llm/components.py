@@ -5,21 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grapevine.operators.skew import Probe, balanced_join
 from grapevine.session import Workspace
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame, hubs: bool) -> DataFrame:
+    """Rows by node ``u`` with its ``m``; where there may be ``hubs``, their rows are dealt over tasks."""
+    return balanced_join(rows, least, ["u"], ["v"], Probe(rows, ["u"])) if hubs else rows.join(least, "u")
+
+
+def _large_star(edges: DataFrame, hubs: bool) -> DataFrame:
     """Every larger neighbour of a node is linked with the least of the node and its neighbours."""
     both = edges.union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both, least, hubs).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hubs: bool) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked with the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _with_least(down, least, hubs).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least).distinct()
 
 
@@ -27,12 +33,16 @@ def components(links: DataFrame, workspace: Workspace) -> DataFrame:
     """``node`` and ``component`` (the least node reachable) of all nodes in the links ``u``, ``v`` but those least ones.
 
     Alternating stars: the number of rounds grows with the logarithm of the number of nodes. Every
-    round's table is written, so a lost executor costs a round at most.
+    round's table is written, so a lost executor costs a round at most. Links of a size that one
+    node may hold too many of are written between the two stars too: there they are probed for it.
     """
     edges = workspace.keep(links.select("u", "v").where("u != v"), "links")
     before = None
     while True:
-        edges = workspace.keep(_small_star(_large_star(edges)), "stars")
+        hubs = Probe(edges).large
+        linked = _large_star(edges, hubs)
+        linked = workspace.keep(linked, "large-stars") if hubs else linked
+        edges = workspace.keep(_small_star(linked, hubs), "stars")
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before or not after[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grapevine.llm import words as W
+from grapevine.operators import skew
 from grapevine.session import Workspace
 
 STATES = 8
@@ -296,6 +297,24 @@ def fitted(read: DataFrame, model: Model, share: np.ndarray) -> Model:
         before = total
 
 
+def _counted(entries: DataFrame, n_blocks: int, workspace: Workspace) -> DataFrame:
+    """Every entry (``block``, ``place``, ``class``) with its word's ``count``; ``once`` marks one entry of each word.
+
+    A word has at most a row per block, however often it occurs. With no more blocks than the rows
+    that a key may have, no word is hot, and a window counts; else words are summed before the
+    shuffle, and the sums go back in a join that deals the rows of the words in most blocks over tasks.
+    """
+    first = F.struct("block", "place")
+    if n_blocks <= skew.HOT_ROWS:
+        of_word = Window.partitionBy("hash")
+        once = F.row_number().over(of_word.orderBy("block", "place")) == 1
+        return entries.select("block", "place", "class", F.sum("times").over(of_word).alias("count"), once.alias("once"))
+    sums = entries.groupBy("hash").agg(F.sum("times").alias("count"), F.min(first).alias("first"))
+    probe = skew.Probe(entries.select("hash"), ["hash"])
+    joined = skew.balanced_join(entries, workspace.keep(sums, "sums"), ["hash"], ["block", "place"], probe)
+    return joined.select("block", "place", "class", "count", (first == F.col("first")).alias("once"))
+
+
 def scored(docs: DataFrame, held_out: Column, workspace: Workspace) -> DataFrame:
     """Every document's ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
@@ -303,19 +322,9 @@ def scored(docs: DataFrame, held_out: Column, workspace: Workspace) -> DataFrame
     nothing to learn from, every word is unknown; without documents there is no row.
     """
     read = workspace.keep(blocks(docs, held_out), "blocks")
-    # A word has at most a row per block, however often it occurs.
     entries = read.select("block", F.posexplode(F.arrays_zip("hash", "class", "times")).alias("place", "entry"))
-    of_word = Window.partitionBy("hash")
-    counts = workspace.keep(
-        entries.select("block", "place", "entry.*").select(
-            "block",
-            "place",
-            "class",
-            F.sum("times").over(of_word).alias("count"),
-            (F.row_number().over(of_word.orderBy("block", "place")) == 1).alias("once"),
-        ),
-        "counts",
-    )
+    entries = entries.select("block", "place", "entry.*")
+    counts = workspace.keep(_counted(entries, read.count(), workspace), "counts")
     table = (
         counts.where("once and count > 0")
         .groupBy("class")

@@ -26,6 +26,7 @@ from grapevine.llm import words as W
 from grapevine.llm.components import components
 from grapevine.llm.rows import numbered, with_columns
 from grapevine.llm.sketches import COORDINATES, band_keys, set_digests, shingles, sketch
+from grapevine.operators.skew import Probe, balanced_join
 from grapevine.session import Workspace
 
 PERCENT = 75  # of the union that the intersection must have
@@ -238,9 +239,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 )
 
     of = lambda end: texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}"))
-    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(
-        run, "u long, v long"
-    )
+    # A text that is like very many others stands in as many pairs.
+    ends = Probe(pairs, ["u"], ["v"])
+    both = balanced_join(balanced_join(pairs, of("u"), ["u"], ["v"], ends), of("v"), ["v"], ["u"], ends)
+    return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
 def _fine_sketches(texts: pa.Array) -> dict[str, pa.Array]:
@@ -283,7 +285,8 @@ def classes(rows: DataFrame, workspace: Workspace) -> DataFrame:
     found = workspace.keep(linked(rows, workspace), "linked")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_id")).alias("least")
     least = found.groupBy("root").agg(first)
-    return found.join(least, "root").select(
+    # A component may hold a third of all rows.
+    return balanced_join(found, least, ["root"], ["row_id"], Probe(found, ["root"])).select(
         "row_id",
         "doc_id",
         "n_shingles",

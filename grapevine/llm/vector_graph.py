@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from grapevine.llm.components import components
 from grapevine.llm.rows import numbered
+from grapevine.operators.skew import Probe, balanced_join
 from grapevine.session import Workspace
 
 COSINE = 0.98
@@ -360,7 +361,9 @@ def near_vectors(vectors: DataFrame, workspace: Workspace) -> DataFrame:
         hits, true = audit(labels, found)
     copies = nodes.select("node", "copies")
     both = found.union(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    partners = both.join(copies.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node"))
+    # A vector may be linked with very many, a component or an embedding may hold a third of all rows.
+    counted = balanced_join(both, copies.withColumnRenamed("node", "v"), ["v"], ["u"], Probe(both, ["v"]))
+    partners = counted.groupBy(F.col("u").alias("node"))
     partners = partners.agg(F.sum("copies").alias("others"))
     located = components(found, workspace)
     of_node = (
@@ -373,15 +376,19 @@ def near_vectors(vectors: DataFrame, workspace: Workspace) -> DataFrame:
             F.coalesce("component", "node").alias("root"),
         )
     )
+    same = ["label", "embedding"]
     placed = workspace.keep(
-        rows.join(of_node, ["label", "embedding"], "left").select(
-            "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "row_id").alias("root")
+        balanced_join(rows, of_node, same, ["row_id"], Probe(rows, same), "left").select(
+            "row_id",
+            "vec_id",
+            F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            F.coalesce("root", "row_id").alias("root"),
         ),
         "placed",
     )
     least = placed.groupBy("root").agg(F.min("vec_id").alias("component_id"))
     recall = F.lit(hits / true if true else None).cast("double")
-    return placed.join(least, "root").select(
+    return balanced_join(placed, least, ["root"], ["row_id"], Probe(placed, ["root"])).select(
         "vec_id",
         "n_links",
         "component_id",
