@@ -202,6 +202,20 @@ VIEWS: dict[str, str] = {
         JOIN v_order_days d USING (semana, cliente)
         JOIN v_store_week s USING (semana, tienda)
         WHERE rn = 1""",
+    "v_main_category": """
+        SELECT 'SKU-' || product_id AS sku, min(category_id) AS category_id FROM v_shop_product_category GROUP BY 1""",
+    "v_paid_once": """
+        SELECT semana, tienda, cliente, sum(price) AS gmv, sum(cost) AS cost
+        FROM v_line JOIN v_main_category USING (sku, category_id) GROUP BY ALL""",
+    "v_paid_day": """
+        SELECT semana, cliente, count(*) FILTER (WHERE paid > 0) AS n
+        FROM (SELECT fecha, semana, cliente, sum(price) AS paid
+              FROM v_line JOIN v_main_category USING (sku, category_id) GROUP BY ALL)
+        GROUP BY ALL""",
+    "v_behaved_once": """
+        SELECT b.* EXCLUDE (gmv, cost, freq, gm, aov), p.gmv, p.cost, d.n AS freq,
+               (p.gmv - p.cost)::DOUBLE / nullif(p.gmv, 0)::DOUBLE AS gm, p.gmv::DOUBLE / nullif(d.n, 0) AS aov
+        FROM v_behaved b JOIN v_paid_once p USING (semana, tienda, cliente) JOIN v_paid_day d USING (semana, cliente)""",
     "v_client_mean": """
         SELECT cliente AS client, avg(active) AS active, avg(freq) AS freq, avg(gmv) AS gmv, avg(aov::DECIMAL(28, 8)) AS aov
         FROM v_behaved GROUP BY cliente""",
@@ -429,6 +443,11 @@ SELECTS: dict[str, str] = {
         freq AS frecuencia, clients AS clientesactivos, round(lat + 1e-9, 6) AS "Latitude", round(lon + 1e-9, 6) AS "Longitude",
         skus, cats AS categorias, round(cost::DOUBLE + 1e-9, 6) AS costo, round(gm + 1e-9, 6) AS gm,
         all_skus AS skuhistoricos, all_cats AS catshistoricas, round(aov + 1e-9, 6) AS "AOV" FROM v_behaved""",
+    "behaviour_once": """SELECT semana::VARCHAR AS semana, born::VARCHAR AS nacimiento, last::VARCHAR AS ultimopedido,
+        active AS activo1, cliente, tienda, zip AS "ZipCode_tienda", round(gmv::DOUBLE + 1e-9, 6) AS gmv,
+        freq AS frecuencia, clients AS clientesactivos, round(lat + 1e-9, 6) AS "Latitude", round(lon + 1e-9, 6) AS "Longitude",
+        skus, cats AS categorias, round(cost::DOUBLE + 1e-9, 6) AS costo, round(gm + 1e-9, 6) AS gm,
+        all_skus AS skuhistoricos, all_cats AS catshistoricas, round(aov + 1e-9, 6) AS "AOV" FROM v_behaved_once""",
     "client_means": f"""SELECT client AS "ClientId", {MEANS}, round(aov + 1e-9, 6) AS "mean_AOV" FROM v_client_mean""",
     "child_sharing": """SELECT client AS "ClientId", n_children, n_sharing AS n_sharing_children,
         round(rate + 1e-9, 6) AS child_sharing_rate FROM v_sharing""",

@@ -25,6 +25,7 @@ from grapevine.sources.testviews import AS_OF, shop_from_test_tables
 
 RULES = Rules()
 STRICT = Rules(stop_on_coupon_conflict=True)
+ONCE = Rules(dedupe_lines=True)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -293,6 +294,7 @@ QUERIES: dict[str, Query] = {
     "category_flags": _from_lines(orders.category_flags),
     "active_flag": _from_lines(_active_flag),
     "behaviour": _from_campaign(lambda c: c.behaviour),
+    "behaviour_once": lambda spark, sf_dir: comparable(Campaign(spark, _shop(spark, sf_dir), AS_OF, ONCE).behaviour),
     "client_means": _from_campaign(lambda c: c.means),
     # influencers and the customers they invited
     "child_sharing": _from_campaign(lambda c: family.child_sharing(c.edges, c.influencer_edges)),

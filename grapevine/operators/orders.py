@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grapevine.functions.calendar import delivery_date, week_start
@@ -22,7 +22,8 @@ def order_lines(tables: ShopTables, rules: Rules) -> DataFrame:
     or if the order lacks its customer, address or store. Orders and products are completed
     on their own side first, so each line crosses the network at most twice. Orders come
     last: that leaves an order's lines side by side, and the aggregates that follow combine
-    them before they shuffle.
+    them before they shuffle. With ``dedupe_lines``, ``main_filing`` marks the repetition with
+    the product's lowest category, and the aggregates below count the money of that one alone.
     """
     orders = tables.order
     heads = orders.select(
@@ -51,6 +52,11 @@ def order_lines(tables: ShopTables, rules: Rules) -> DataFrame:
     filings = tables.probes["product_category"].called({"CategoryId": "catid"})
     named = balanced_join(filed, categories, ["catid"], ["ProductId"], filings)
     goods = named.join(tables.product.select(F.col("Id").alias("ProductId"), "Sku"), "ProductId")
+    marks = []
+    if rules.dedupe_lines:  # a product has few categories
+        of_product = Window.partitionBy("ProductId").orderBy("catid")
+        goods = goods.withColumn("main_filing", F.row_number().over(of_product) == 1)
+        marks = ["main_filing"]
     items = tables.order_item.select(
         "OrderId",
         "ProductId",
@@ -72,9 +78,15 @@ def order_lines(tables: ShopTables, rules: Rules) -> DataFrame:
         "Longitude",
         "fecha",
         "semana",
+        *marks,
     )
 
 
+def _money(lines: DataFrame, column: str) -> Column:
+    """Total of an amount, without the repetitions of lines where they are marked."""
+    return F.sum(F.when(F.col("main_filing"), F.col(column)) if "main_filing" in lines.columns else F.col(column))
+
+
 def _customer_totals(lines: DataFrame) -> DataFrame:
     # One pass for both lifetime and history.
     return distinct_counts(
@@ -106,7 +118,7 @@ def weekly_customer_store(lines: DataFrame) -> DataFrame:
         lines.withColumnRenamed("storeid", "tienda"),
         ["semana", "tienda", "cliente", "ZipCode_tienda"],
         {"skus": "Sku", "categorias": "categoria"},
-        {"gmv": F.sum("PriceExclTax"), "costo": F.sum("costo")},
+        {"gmv": _money(lines, "PriceExclTax"), "costo": _money(lines, "costo")},
     ).withColumn("gm", ratio(F.col("gmv") - F.col("costo"), F.col("gmv")))
 
 
@@ -116,7 +128,7 @@ def _spent(total: Column) -> Column:
 
 def daily_order_flag(lines: DataFrame) -> DataFrame:
     """1 per delivery day on which a customer spent anything, else 0."""
-    return lines.groupBy("fecha", "semana", "cliente").agg(_spent(F.sum("PriceExclTax")).alias("pedido"))
+    return lines.groupBy("fecha", "semana", "cliente").agg(_spent(_money(lines, "PriceExclTax")).alias("pedido"))
 
 
 def weekly_frequency(lines: DataFrame) -> DataFrame:

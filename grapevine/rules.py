@@ -23,4 +23,5 @@ class Rules:
     min_active_days: int = 5  # fewer distinct days than this give no growth factor
     k_low: float = 0.01  # bounds of the growth factor
     k_high: float = 10.0
+    dedupe_lines: bool = False  # True: money of a line counts once, not once per category of its product
     stop_on_coupon_conflict: bool = False  # True: fail when a client used several codes

@@ -52,6 +52,20 @@ def test_lines_repeat_per_category_and_need_all_parties(spark):
     ]
 
 
+def test_money_of_a_line_counts_once_if_wanted(spark):
+    """Product 1 is filed twice; its breadth and the flags of both categories stay."""
+    once = Rules(dedupe_lines=True)
+    lines, plain = ops.order_lines(small_shop(spark), once), ops.order_lines(small_shop(spark), Rules())
+    assert rows_of(lines.drop("main_filing")) == rows_of(plain)
+    assert rows_of(lines.where("Sku = 'SKU-1'"), "catid", "main_filing") == [(2, True), (3, False)]
+    weekly = lambda rows: ops.weekly_customer_store(rows).where("cliente = 1 and tienda = 5")
+    (once_gmv, cost, n), = rows_of(weekly(lines), "gmv", "costo", "categorias")
+    (gmv, full_cost, same), = rows_of(weekly(plain), "gmv", "costo", "categorias")
+    assert (2 * once_gmv, 2 * cost, n) == (gmv, full_cost, same)
+    assert rows_of(ops.category_flags(lines)) == rows_of(ops.category_flags(plain))
+    assert rows_of(ops.weekly_frequency(lines)) == rows_of(ops.weekly_frequency(plain))
+
+
 def test_zero_spend_has_no_margin_and_is_no_order_day(spark):
     lines = ops.order_lines(small_shop(spark), Rules())
     assert rows_of(ops.weekly_customer_store(lines).where("cliente = 2"), "gmv", "gm") == [(Decimal("0.0000"), None)]
