@@ -307,7 +307,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id``, number of ids, and the hashes of the ids as text and of what they decode to.
 
     Null text counts as empty: no ids, and the hashes of nothing. Every row is encoded whole;
-    rows that repeat are encoded each.
+    rows that repeat are encoded each. Only ``doc_id`` and ``text`` are read; other columns may be
+    called anything.
     """
 
     def compute(encoder: Encoder, texts: pa.Array) -> dict:

@@ -319,7 +319,9 @@ def scored(docs: DataFrame, held_out: Column, workspace: Workspace) -> DataFrame
     """Every document's ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     A null text counts as empty: one token, its end. Rows that repeat train and score each. With
-    nothing to learn from, every word is unknown; without documents there is no row.
+    nothing to learn from, every word is unknown; without documents there is no row. Texts of any
+    length are scored whole. Only ``doc_id``, ``text`` and what ``held_out`` names are read; other
+    columns may be called anything.
     """
     read = workspace.keep(blocks(docs, held_out), "blocks")
     entries = read.select("block", F.posexplode(F.arrays_zip("hash", "class", "times")).alias("place", "entry"))

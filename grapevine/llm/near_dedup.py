@@ -300,7 +300,8 @@ def near_duplicates(docs: DataFrame, workspace: Workspace) -> DataFrame:
 
     Null text counts as empty; a document without words is linked with nothing. Rows that repeat
     are in one component. A missing id counts as larger than any other; a component of such rows
-    has none. ``kept`` tells whether the id is its component's.
+    has none. ``kept`` tells whether the id is its component's. Texts of any length are compared
+    whole. Only ``doc_id`` and ``text`` are read; other columns may be called anything.
     """
     rows = workspace.keep(sketched(docs), "sketched")
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))

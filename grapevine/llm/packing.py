@@ -469,7 +469,9 @@ def packed(docs: DataFrame, tokenizer: str, workspace: Workspace) -> DataFrame:
     each), ``doc_tokens``, ``sequence_id`` and ``offset`` in the sequence.
 
     Every id of every document, its end included, lies in one piece. Null text counts as empty:
-    its end alone. Rows that repeat are packed each. No document, no row.
+    its end alone. Rows that repeat are packed each. No document, no row. A document of a window or
+    more is cut into windows. Of neighbours that score alike the first in the shard is taken. Only
+    ``doc_id`` and ``text`` are read; other columns may be called anything.
     """
     tokens = workspace.keep(tokenised(docs, tokenizer), "tokens")
     reader = Tokens(tokenizer)

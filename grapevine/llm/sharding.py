@@ -56,7 +56,9 @@ def sharded(docs: DataFrame, workspace: Workspace, shards: int = SHARDS) -> Data
     """``doc_id``, ``size``, ``text_crc32``, ``shard`` and ``slot`` (its number in the shard) of every document.
 
     Null text counts as empty, with size 1. Equal texts share a shard, unless their group was
-    split; rows that repeat are rows of one group. No document, no row.
+    split; rows that repeat are rows of one group. No document, no row. Of shards that suit alike
+    the lowest is taken. Only ``doc_id`` and ``text`` are read, whole; other columns may be called
+    anything.
     """
     rows = workspace.keep(measured(docs), "measured")
     groups = rows.groupBy(*_TEXT, "words").agg(F.count("*").alias("rows"))

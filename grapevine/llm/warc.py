@@ -256,6 +256,8 @@ def archived(pages: DataFrame, workspace: Workspace) -> DataFrame:
     """Writes every page to archives in the workspace and reads them back: a row per page.
 
     Null html is an empty payload; a page without id is archived without one. No page, no archive.
+    Payloads of any length are written whole. Only ``page_id``, ``url`` and ``html`` are read; other
+    columns may be called anything.
     """
     folder = workspace.path("archives")
     archives = write_archives(with_responses(digested(pages)), folder, workspace)
