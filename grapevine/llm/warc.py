@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grapevine.operators import skew
 from grapevine.session import Workspace
 
 REVISIT_BYTES = 1000
@@ -49,10 +50,15 @@ def with_responses(pages: DataFrame) -> DataFrame:
     slim = pages.where(large).select("page_id", "digest")
     found = slim.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1")
     # Small pages match nothing: they are dealt out by what they are instead of meeting under a common digest.
-    key = F.when(large, F.col("digest")).otherwise(F.concat_ws(" ", F.lit("small"), "page_id", "url"))
-    joined = pages.withColumn("key", key).join(found.select(F.col("digest").alias("key"), "response"), "key", "left").drop("key")
+    alone = F.concat_ws(" ", F.lit("small"), "page_id", "url")
+    # So are pages with a payload of very many, whose digests are sent to all tasks: one for every HOT_ROWS pages at most.
+    common = found.where(F.col("n") >= skew.HOT_ROWS).select(F.col("digest").alias("key"), F.struct("response").alias("common"))
+    rare = found.where(F.col("n") < skew.HOT_ROWS).select(F.col("digest").alias("key"), "response")
+    keyed = pages.withColumn("key", F.when(large, F.col("digest")).otherwise(alone)).join(F.broadcast(common), "key", "left")
+    dealt = keyed.withColumn("key", F.when(F.col("common").isNotNull(), alone).otherwise(F.col("key")))
+    joined = dealt.join(rare, "key", "left").withColumn("response", F.coalesce("common.response", "response"))
     same = F.col("page_id").eqNullSafe(F.col("response"))
-    return joined.withColumn("refers_to", F.when(large & ~same, F.col("response"))).drop("response")
+    return joined.withColumn("refers_to", F.when(large & ~same, F.col("response"))).drop("key", "common", "response")
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:

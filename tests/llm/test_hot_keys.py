@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grapevine.llm import components, hmm, near_dedup, vector_graph
+from grapevine.llm import components, hmm, near_dedup, vector_graph, warc
 from grapevine.llm.rows import remainder
 from grapevine.operators import skew
 from grapevine.session import Workspace
@@ -89,3 +89,17 @@ def test_scores_do_not_depend_on_how_counts_are_joined(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 0)
     assert [r[:5] for r in job()] == [r[:5] for r in plain]
     assert np.allclose([r[5:] for r in job()], [r[5:] for r in plain])
+
+
+@pytest.mark.parametrize("hot_rows", [1, 3, 10**6])
+def test_pages_with_a_payload_of_very_many(spark, monkeypatch, hot_rows):
+    """Payloads of five, two and one pages, one of pages without id alone, and small ones."""
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
+    big = {name: name * 1200 for name in "abcd"}
+    rows = [(i, "u", big["a"]) for i in range(5)] + [(i, "u", big["b"]) for i in (10, 11)] + [(20, None, big["c"])]
+    rows += [(None, "u", big["d"])] * 4 + [(i, "u", "short") for i in (30, 31)] + [(40, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = warc.with_responses(warc.digested(pages))
+    assert found.columns == warc.digested(pages).columns + ["refers_to"]
+    expected = [(i, 4 if i < 4 else 11 if i == 10 else None) for i in (0, 1, 2, 3, 4, 10, 11, 20, 30, 31, 40)]
+    assert rows_of(found.select("page_id", "refers_to")) == sorted([*expected, *[(None, None)] * 4], key=repr)
