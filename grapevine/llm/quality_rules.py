@@ -39,6 +39,7 @@ SPREADS = (1.0, 3.0)  # starting scales, in robust standard deviations
 PRIOR_ROWS = 60  # rows that the coarser estimate counts for beside a group's own
 REJECTED_SHARE = 1e-9  # of normally distributed vectors
 BINS_PER_DOUBLING = 32
+BLOCK = 4 << 20  # bytes of text counted at a time; sums over a block take eight times as much
 
 
 def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -334,7 +335,7 @@ def quality_rules(docs: DataFrame, workspace: Workspace) -> DataFrame:
     Null text counts as empty, and fails; null language or source is a value of its own. Rows
     that repeat are judged each. No document, no row. Other columns of ``docs`` are ignored.
     """
-    counted = with_columns(_keys_and_text(docs, "doc_id"), "text", COUNTS_SCHEMA, text_counts)
+    counted = with_columns(_keys_and_text(docs, "doc_id"), "text", COUNTS_SCHEMA, text_counts, BLOCK)
     vectors = workspace.keep(with_statistics(counted.drop("text")), "statistics")
     return judged(vectors, fit(vectors, workspace)).drop("lang", "source")
 
@@ -345,8 +346,8 @@ def drop_rejected(docs: DataFrame, workspace: Workspace) -> DataFrame:
     The statistics are counted once for the estimates and once more for the verdict, as a row's
     text need not move for either.
     """
-    counted = with_columns(_keys_and_text(docs), "text", COUNTS_SCHEMA, text_counts)
+    counted = with_columns(_keys_and_text(docs), "text", COUNTS_SCHEMA, text_counts, BLOCK)
     fits = fit(workspace.keep(with_statistics(counted.drop("text")), "statistics"), workspace)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    again = with_columns(docs.select(whole, "lang", "source", "text"), "text", COUNTS_SCHEMA, text_counts)
+    again = with_columns(docs.select(whole, "lang", "source", "text"), "text", COUNTS_SCHEMA, text_counts, BLOCK)
     return judged(with_statistics(again), fits).where("kept").select("_row.*")
