@@ -2,9 +2,10 @@
 
 Texts with the same set of shingles are one node. Sketches are cut into bands; nodes that agree in
 a band share a bucket. Within a bucket, sketches are compared as arrays, and every node proposes
-the partners outside its component that look most alike: a few at first, and then all of them, so
-no pair that shares a bucket and looks alike stays unchecked, though the members of a large group
-need not all be paired. Proposed pairs are confirmed on the full shingle sets.
+the few partners that look most alike; these pairs are confirmed on the full shingle sets. Then all
+pairs across the components found so far that share a bucket and look alike are checked on the full
+sets where they meet, in the tasks that compare a bucket: these pairs may be as many as the square
+of a group's size, so they are never rows. Only links that join components leave such a task.
 
 At a Jaccard index of 0.75 a pair shares no bucket of 32 bands of 4 with a chance of 6 in a million.
 Nodes that share a bucket get a longer sketch, of 512 numbers; at 0.75 its agreement is below the
@@ -33,9 +34,10 @@ PERCENT = 75  # of the union that the intersection must have
 BAND = 4
 ALIKE = 74  # equal numbers of the short sketch, of COORDINATES, from which a pair is looked at
 FINE, FINE_ALIKE = 512, 340  # numbers of the long sketch, and equal ones from which a pair is checked
-PROPOSALS = (3, None)  # partners that a node proposes in a bucket in each round; None: all
+PROPOSED = 3  # partners that a node proposes in a bucket
 BROADCAST_NODES = 2_000_000  # node numbers (16 MB) up to which texts need not move to meet them
 BLOCK_ROWS = 2048  # members of a bucket that are compared in one task with as many others
+BLOCK_SHINGLES = 1 << 20  # shingles of a block of members whose full sets are compared in one task with another's
 SLAB = 1 << 24  # numbers of sketches that are compared at a time
 HELD = 1 << 18  # pairs that are held before the best of them are picked, or they are passed on
 _SET = ["digest_a", "digest_b", "n_shingles"]
@@ -115,6 +117,44 @@ def alike(
             yield i[good], j[good], agree[good]
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows of some groups, where each begins (one entry more than groups), and which are of two blocks.
+
+    A group is a bucket and pair of blocks, by which the rows are sorted.
+    """
+    held: pa.Table | None = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and len(batch):
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        if held is None or (batch is not None and len(held) < 2000):
+            continue
+        keys = [held.column(c).to_numpy() for c in ("key", "first", "second")]
+        new = np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
+        cuts = np.append(np.flatnonzero(new), len(new))
+        cuts = cuts if batch is None else cuts[:-1]  # the last group may go on
+        if len(cuts) > 1:
+            begun = cuts[:-1]
+            yield held.slice(0, cuts[-1]), cuts, keys[1][begun] != keys[2][begun]
+            held = held.slice(cuts[-1])
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
+    plain = (table.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "block", "band"))
+    return *plain, _rows_of(table.column("sketch"), COORDINATES), _rows_of(table.column("fine"), FINE)
+
+
+def _across(comp: np.ndarray, size: np.ndarray, block: np.ndarray, cross: bool) -> Callable[[int, int], np.ndarray]:
+    """Pairs of a group across components, of sets that are not too different in size; if ``cross``, across blocks."""
+
+    def wanted(lo: int, hi: int) -> np.ndarray:
+        can = (comp[lo:hi, None] != comp) & (np.arange(lo, hi)[:, None] < np.arange(len(comp)))
+        can &= 100 * np.minimum(size[lo:hi, None], size) >= PERCENT * np.maximum(size[lo:hi, None], size)
+        return can & (block[lo:hi, None] != block) if cross else can
+
+    return wanted
+
+
 def _proposals(most: int | None):
     """From rows of buckets, sorted by bucket and pair of blocks, to the pairs that their members propose."""
 
@@ -127,13 +167,8 @@ def _proposals(most: int | None):
     def of_group(node, comp, size, short, fine, block, band, cross) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of a group, in parts: memory grows with the rows, not with the pairs that look alike."""
 
-        def wanted(lo: int, hi: int) -> np.ndarray:
-            can = (comp[lo:hi, None] != comp) & (np.arange(lo, hi)[:, None] < np.arange(len(node)))
-            can &= 100 * np.minimum(size[lo:hi, None], size) >= PERCENT * np.maximum(size[lo:hi, None], size)
-            return can & (block[lo:hi, None] != block) if cross else can
-
         held = tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int16))
-        for i, j, agree in alike(short, fine, band, wanted):
+        for i, j, agree in alike(short, fine, band, _across(comp, size, block, cross)):
             if most is None:
                 yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
                 continue
@@ -147,27 +182,10 @@ def _proposals(most: int | None):
             yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def groups(table: pa.Table, last: bool) -> tuple[Iterator, pa.Table | None]:
-            keys = [table.column(c).to_numpy() for c in ("key", "first", "second")]
-            new = np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
-            cuts = np.append(np.flatnonzero(new), len(new))
-            done = len(cuts) - 1 if last else len(cuts) - 2
-            rest = None if last else table.slice(cuts[done])
-            table = table.slice(0, cuts[done])
-            node, comp, size, block, band = (
-                table.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "block", "band")
-            )
-            short, fine = _rows_of(table.column("sketch"), COORDINATES), _rows_of(table.column("fine"), FINE)
-
-            def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                for a, b in zip(cuts[:done], cuts[1 : done + 1], strict=True):
-                    part, cross = slice(a, b), keys[1][a] != keys[2][a]
-                    rows = (x[part] for x in (node, comp, size, short, fine, block))
-                    yield from of_group(*rows, band[a], cross)
-
-            return parts(), rest
+        def parts(table: pa.Table, cuts: np.ndarray, crosses: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            node, comp, size, block, band, short, fine = _columns(table)
+            for a, b, cross in zip(cuts[:-1], cuts[1:], crosses, strict=True):
+                yield from of_group(*(x[a:b] for x in (node, comp, size, short, fine, block)), band[a], cross)
 
         def pairs(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
             out, n = [], 0
@@ -179,42 +197,105 @@ def _proposals(most: int | None):
                     yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
                     out, n = [], 0
 
-        for batch in batches:
-            if not len(batch):
-                continue
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            if len(held) < 2000:
-                continue
-            out, held = groups(held, False)
-            yield from pairs(out)
-        if held is not None and len(held):
-            out, _ = groups(held, True)
-            yield from pairs(out)
+        for groups in _whole_groups(batches):
+            yield from pairs(parts(*groups))
 
     return run
 
 
-def proposed(members: DataFrame, found: DataFrame, sketches: DataFrame, most: int | None) -> DataFrame:
-    """Pairs ``u < v`` that members of a bucket propose across components.
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Members with their sketches, once for every pair of blocks that theirs is in.
 
     A bucket of many members is compared block by block, a task for every pair of blocks.
     """
-    labelled = members.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    rows = labelled.join(mixed.select("key"), "key", "left_semi").join(sketches, "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
         F.least(k, F.col("block")).alias("first"), F.greatest(k, F.col("block")).alias("second")
     ))
-    dealt = (
-        rows.withColumn("block", block)
-        .withColumn("pair", F.explode(others))
-        .select("key", "band", "pair.first", "pair.second", "block", "node", "comp", "n_shingles", "sketch", "fine")
+    dealt = rows.withColumn("block", block).withColumn("pair", F.explode(others))
+    return (
+        dealt.select("pair.first", "pair.second", *[c for c in dealt.columns if c not in ("pair", "blocks")])
         .repartition("key", "first", "second")
         .sortWithinPartitions("key", "first", "second", "node")
     )
-    return dealt.mapInArrow(_proposals(most), "u long, v long").distinct()
+
+
+def _mixed(members: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with their component ``comp`` and sketches."""
+    labelled = members.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    rows = labelled.join(mixed.select("key"), "key", "left_semi").join(sketches, "node")
+    return rows.select("key", "band", "blocks", "node", "comp", "n_shingles", "sketch", "fine")
+
+
+def proposed(members: DataFrame, found: DataFrame, sketches: DataFrame, most: int | None) -> DataFrame:
+    """Pairs ``u < v`` that members of a bucket propose across components."""
+    return _dealt(_mixed(members, found, sketches)).mapInArrow(_proposals(most), "u long, v long").distinct()
+
+
+def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each group that look like one of another component."""
+    names = ["key", "band", "node", "comp", "n_shingles"]
+    for table, cuts, crosses in _whole_groups(batches):
+        _, comp, size, block, band, short, fine = _columns(table)
+        has = np.zeros(len(table), bool)
+        for a, b, cross in zip(cuts[:-1], cuts[1:], crosses, strict=True):
+            wanted = _across(comp[a:b], size[a:b], block[a:b], cross)
+            for i, j, _ in alike(short[a:b], fine[a:b], band[a], wanted):
+                has[a + i] = has[a + j] = True
+        yield from table.select(names).filter(pa.array(has)).to_batches()
+
+
+def in_common(sets: np.ndarray, bounds: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many elements the sets ``i`` and ``j`` of each pair share; sets stand side by side, each from its bound."""
+    sizes = np.diff(bounds)
+    common = np.zeros(len(i), np.int64)
+    for lo, hi in W.ranges(sizes[i] + sizes[j], 1 << 19):
+        keys, rows = [], []
+        for end in (i[lo:hi], j[lo:hi]):
+            row = np.repeat(np.arange(hi - lo), sizes[end])
+            begin = np.cumsum(sizes[end]) - sizes[end]
+            keys.append(sets[np.arange(len(row)) + (bounds[end] - begin)[row]] + W.mixed(row.astype(np.uint64) + np.uint64(1)))
+            rows.append(row)
+        common[lo:hi] = np.bincount(rows[0][np.isin(*keys)], minlength=hi - lo)
+    return common
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join the components of each group: of the pairs that look alike, those confirmed on the full sets,
+    without pairs that the links before them have joined. There are fewer than the group has members."""
+    for table, cuts, crosses in _whole_groups(batches):
+        node, comp, size, block, band, short, fine = _columns(table)
+        u, v = [], []
+        for a, b, cross in zip(cuts[:-1], cuts[1:], crosses, strict=True):
+            sets, bounds = shingles(W.text_of(table.column("text").slice(a, b - a), lower=True))
+            counts = np.diff(bounds)
+            wanted, joined = _across(comp[a:b], size[a:b], block[a:b], cross), comp[a:b].copy()
+            for i, j, _ in alike(short[a:b], fine[a:b], band[a], wanted):
+                apart = joined[i] != joined[j]
+                i, j = i[apart], j[apart]
+                common = in_common(sets, bounds, i, j)
+                good = 100 * common >= PERCENT * (counts[i] + counts[j] - common)
+                for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
+                    if joined[x] != joined[y]:
+                        joined[joined == joined[y]] = joined[x]
+                        u.append(min(node[a + x], node[a + y]))
+                        v.append(max(node[a + x], node[a + y]))
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def joining(members: DataFrame, found: DataFrame, texts: DataFrame, workspace: Workspace) -> DataFrame:
+    """Links ``u < v`` that join the components found so far, as all pairs across them in a bucket are checked.
+
+    Members that look like none of another component are left out before texts move.
+    """
+    mixed = _mixed(members, found, texts.select("node", "n_shingles", "sketch", "fine"))
+    kinds = "key long, band int, node long, comp long, n_shingles long"
+    left = workspace.keep(_dealt(mixed).mapInArrow(_with_partner, kinds).distinct(), "partners")
+    blocks = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)
+    sizes = left.groupBy("key").agg(F.ceil(blocks).cast("int").alias("blocks"))
+    rows = left.join(sizes, "key").join(texts.select("node", "sketch", "fine", "text"), "node")
+    return _dealt(rows).mapInArrow(_joining, "u long, v long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -262,14 +343,15 @@ def linked(rows: DataFrame, workspace: Workspace) -> DataFrame:
     whole = rows.select(F.col("row_id").alias("node"), "n_shingles", "sketch", "text").join(known, "node")
     texts = workspace.keep(with_columns(whole, "text", "fine binary", _fine_sketches, 4 << 20), "members")
     spark = rows.sparkSession
-    found = spark.createDataFrame([], "node long, component long")
-    links = tried = spark.createDataFrame([], "u long, v long")
-    for most in PROPOSALS:
-        pairs = proposed(members, found, texts.select("node", "n_shingles", "sketch", "fine"), most)
-        pairs = workspace.keep(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        tried = tried.union(pairs)
-        links = links.union(workspace.keep(confirmed(pairs, texts.select("node", "text")), "confirmed"))
-        found = components(links, workspace)
+    none = spark.createDataFrame([], "node long, component long")
+    pairs = proposed(members, none, texts.select("node", "n_shingles", "sketch", "fine"), PROPOSED)
+    pairs = workspace.keep(pairs, "pairs")
+    links = workspace.keep(confirmed(pairs, texts.select("node", "text")), "confirmed")
+    found = components(links, workspace)
+    more = workspace.keep(joining(members, found, texts, workspace), "joining")
+    if not more.isEmpty():
+        known_links = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        found = components(known_links.union(more), workspace)
     return (
         slim.join(sets, _SET, "left")
         .join(found, "node", "left")

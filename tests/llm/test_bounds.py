@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from grapevine.llm import near_dedup, warc
-from grapevine.llm.sketches import COORDINATES
+from grapevine.llm import words as W
+from grapevine.llm.sketches import COORDINATES, shingles, sketch
+from grapevine.session import Workspace
 
 
 def members(n, copies, seed=4):
@@ -86,6 +88,68 @@ def test_a_pair_of_blocks_of_copies_takes_little_memory(most):
     assert n > 3 * near_dedup.BLOCK_ROWS and peak < 500e6
 
 
+def test_pairs_of_a_group_that_are_no_links_are_never_rows(spark, monkeypatch):
+    """600 texts of which any two look alike (0.70): the pairs that are joined with texts do not grow with their square."""
+    common = [f"w{k}" for k in range(144)]
+    rows = [(i, " ".join([*common, *(f"own{i}x{k}" for k in range(30))])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs, members, confirmed, buckets = [], [], near_dedup.confirmed, near_dedup.buckets
+    monkeypatch.setattr(near_dedup, "confirmed", lambda p, t: pairs.append(p.count()) or confirmed(p, t))
+    monkeypatch.setattr(near_dedup, "buckets", lambda n: members.append(buckets(n).count()) or buckets(n))
+    found = near_dedup.near_duplicates(docs, Workspace(spark)).collect()
+    assert all(r.kept for r in found) and len(found) == 600
+    assert sum(pairs) <= 3 * members[0] < 600 * 599 // 4
+
+
+@pytest.mark.parametrize("cross", [0, 1])
+def test_joining_links_are_those_of_all_pairs(cross):
+    rng = np.random.default_rng(5)
+    common, texts, n = [f"w{k}" for k in range(150)], [], 80
+    for _ in range(n):
+        at = set(rng.choice(150, 2, replace=False).tolist())
+        own = rng.integers(0, 3, 150)
+        texts.append(" ".join(f"{w}v{own[k]}" if k in at else w for k, w in enumerate(common)))
+    sets, bounds = shingles(W.text_of(pa.array(texts)))
+
+    def spread(size):
+        return (W.mixed(sketch(sets, bounds, size)) >> np.uint64(48)).astype("<u2")
+
+    short = spread(COORDINATES)
+    short[:, : near_dedup.BAND] = 7
+    columns = {
+        "key": np.zeros(n, np.int64),
+        "band": np.zeros(n, np.int32),
+        "first": np.zeros(n, np.int32),
+        "second": np.full(n, cross, np.int32),
+        "block": np.arange(n, dtype=np.int32) % (1 + cross),
+        "node": np.arange(n) * 3 + 5,
+        "comp": np.arange(n) // 2,
+        "n_shingles": np.diff(bounds),
+    }
+    batch = batch_of(columns, short, spread(near_dedup.FINE)).append_column("text", pa.array(texts))
+    links = {p for b in near_dedup._joining(iter([batch])) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    own = [set(sets[bounds[i] : bounds[i + 1]].tolist()) for i in range(n)]
+    true = {
+        (i, j)
+        for i in range(n)
+        for j in range(i + 1, n)
+        if i // 2 != j // 2
+        and (not cross or i % 2 != j % 2)
+        and 100 * len(own[i] & own[j]) >= near_dedup.PERCENT * len(own[i] | own[j])
+    }
+
+    def labels(pairs):
+        label = list(range(n // 2))
+        for i, j in pairs:
+            a, b = label[i // 2], label[j // 2]
+            label = [min(a, b) if x in (a, b) else x for x in label]
+        return label
+
+    found = {((u - 5) // 3, (v - 5) // 3) for u, v in links}
+    assert found <= true and labels(found) == labels(true)
+    assert 0 < len(found) < n // 2 < len(true)
+
+
 def test_small_pages_alike_do_not_meet_in_one_task(spark):
     before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
     rows = spark.range(3000).select(
