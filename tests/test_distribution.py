@@ -239,6 +239,20 @@ def test_distinct_counts_equal_the_plain_ones_for_small_and_heavy_groups(spark,
         assert found().schema["as"].dataType == plain.schema["as"].dataType
 
 
+def test_ranked_rows_are_made_once(spark):
+    """The sort samples its rows for ranges; what makes them must not run again."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(500).selectExpr("id", "id % 3 AS grp").mapInArrow(count, "id long, grp long")
+    found = ranked(rows, "grp", [F.col("id")], "place", Workspace(spark))
+    assert found.count() == 500 and made.value == 500
+
+
 def test_a_hot_key_of_a_small_share_is_found(spark):
     """Summaries of default size: 3,000 rows of twenty million are hot when 3,000 are."""
     at = F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 6667 == 1, F.lit(-2)).otherwise(F.col("id"))
