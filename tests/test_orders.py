@@ -104,6 +104,43 @@ def test_lines_are_the_same_with_salted_joins(spark, always_skewed, monkeypatch)
     assert both() == salted
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_flags_of_a_week_meet_as_two_numbers(spark):
+    """Unpaid, refunded, missing prices, and categories outside the list, as a pivot over the list gives them."""
+    rows = [(w, c, k, [None, Decimal(0), Decimal(-2), Decimal(3)][(w + c + 7 * (k or 5)) % 4])
+            for w in range(3) for c in range(40) for k in [*CATEGORY_FLAGS, 999, None] if (k or 5) * c % 5 != 1]
+    rows = [(w, c, k, p) for w, c, k, p in rows for p in (p, p)]
+    rows += [(9, 1, 2, Decimal(-3)), (9, 1, 2, Decimal(3)), (9, 2, 999, Decimal(1)), (9, None, 79, None)]
+    lines = spark.createDataFrame(rows, "semana int, cliente long, catid long, PriceExclTax decimal(18,4)")
+    pivot = lines.groupBy("semana", "cliente").pivot("catid", list(CATEGORY_FLAGS)).agg(F.sum("PriceExclTax"))
+    flag = lambda i: F.when(F.col(str(i)) > 0, 1).when(F.col(str(i)).isNotNull(), 0)
+    plain = pivot.select("semana", "cliente", *[flag(i).alias(name) for i, name in CATEGORY_FLAGS.items()])
+    found = ops.category_flags(lines)
+    assert rows_of(found) == rows_of(plain) and found.schema == plain.schema
+    assert "pivotfirst" in plan_of(plain) and "pivotfirst" not in plan_of(found)
+
+
+def test_means_make_no_counts_that_they_do_not_use(spark):
+    lines = ops.order_lines(small_shop(spark), Rules())
+    behaviour = ops.behaviour(lines, "2021-03-16", Rules())
+    assert "theta_sketch" in plan_of(behaviour)
+    assert "theta_sketch" not in plan_of(ops.client_means(behaviour))
+
+
+def test_a_customer_with_few_lines_needs_no_second_count(spark, always_skewed, monkeypatch):
+    """No group of stores and weeks can be larger than its customer."""
+    lines = ops.order_lines(small_shop(spark), Rules())
+    monkeypatch.setattr(distinct, "SET_ROWS", 2)
+    twice = ops.weekly_customer_store(lines)
+    assert "Union" in plan_of(twice)
+    monkeypatch.setattr(distinct, "SET_ROWS", lines.count())
+    once = ops.weekly_customer_store(lines)
+    assert "Union" not in plan_of(once) and rows_of(once) == rows_of(twice)
+
+
 def test_means_skip_missing_values(spark):
     rows = spark.createDataFrame(
         [(1, 1, 2, Decimal("4"), 2.0), (1, 1, 0, Decimal("0"), None)],
