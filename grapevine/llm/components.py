@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,13 @@ from grapevine.operators.skew import Probe, balanced_join
 from grapevine.session import Workspace
 
 
+LINKS_A_FILE = 100_000  # of a round's table; fewer files than partitions where links are few
+
+
+def _files(links: int) -> int:
+    return max(8, math.ceil(links / LINKS_A_FILE))
+
+
 def _with_least(rows: DataFrame, least: DataFrame, hubs: bool) -> DataFrame:
     """Rows by node ``u`` with its ``m``; where there may be ``hubs``, their rows are dealt over tasks."""
     return balanced_join(rows, least, ["u"], ["v"], Probe(rows, ["u"])) if hubs else rows.join(least, "u")
@@ -35,14 +44,16 @@ def components(links: DataFrame, workspace: Workspace) -> DataFrame:
     Alternating stars: the number of rounds grows with the logarithm of the number of nodes. Every
     round's table is written, so a lost executor costs a round at most. Links of a size that one
     node may hold too many of are written between the two stars too: there they are probed for it.
+    No star makes more links than it is given and nodes, so a round is written in files by their number.
     """
     edges = workspace.keep(links.select("u", "v").where("u != v"), "links")
+    files = _files(edges.count())
     before = None
     while True:
         hubs = Probe(edges).large
         linked = _large_star(edges, hubs)
-        linked = workspace.keep(linked, "large-stars") if hubs else linked
-        edges = workspace.keep(_small_star(linked, hubs), "stars")
+        linked = workspace.keep(linked, "large-stars", files) if hubs else linked
+        edges = workspace.keep(_small_star(linked, hubs), "stars", files)
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before or not after[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from grapevine.llm import near_dedup, warc
+from grapevine.llm import components, near_dedup, warc
 from grapevine.llm import words as W
 from grapevine.llm.sketches import COORDINATES, shingles, sketch
 from grapevine.session import Workspace
@@ -184,3 +184,20 @@ def test_archives_find_s3_under_spark_s_names(monkeypatch):
     for folder in ("s3a://bucket/run", "s3n://bucket/run", "hdfs://host/run", "file:/tmp/run", "/tmp/run"):
         warc._file_system(folder)
     assert asked == ["s3://bucket/run", "s3://bucket/run", "hdfs://host/run", "file:/tmp/run", "file:///tmp/run"]
+
+
+def test_rounds_of_a_few_links_are_written_in_few_files(spark, tmp_path):
+    workspace = Workspace(spark, str(tmp_path))
+    wide = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in wide}
+    try:
+        for name, value in wide.items():
+            spark.conf.set(name, value)
+        links = spark.range(400).selectExpr("id AS u", "id + 1 AS v")
+        found = components.components(links, workspace)
+        assert found.where("component = 0").count() == found.count() == 400
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    rounds = [p for p in tmp_path.glob("*/stars-*")]
+    assert rounds and all(len(list(p.glob("*.parquet"))) <= 8 for p in rounds)
