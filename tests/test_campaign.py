@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from checks.compare import differences, duckdb_on
 from checks.oracle import ORACLE
 from checks.queries import QUERIES, RULES
 from grapevine import Campaign, run
+from grapevine.operators import edges
+from grapevine.operators.redemptions import redemptions
 from grapevine.plans.campaign import INTERACTION_COLUMNS, STAGE_COLUMNS
 from grapevine.sources.testviews import AS_OF, shop_from_test_tables
 from tests.frames import rows_of
@@ -64,3 +68,26 @@ def test_result_properties(spark):
     edges = campaign.user_interactions
     assert edges.count() == campaign.edges.count()
     assert edges.agg(F.sum("n_interactions")).first()[0] == campaign.redemptions.count()
+
+
+def test_means_write_no_column_they_do_not_need(spark):
+    tables = shop_from_test_tables(spark, SF)
+    lean, whole = Campaign(spark, tables, AS_OF), Campaign(spark, tables, AS_OF)
+    assert whole.lines.where("Sku IS NULL").isEmpty()
+    assert sorted(lean.means.collect()) == sorted(whole.means.collect())
+    assert "lines" not in lean.__dict__
+    (path,) = Path(lean.workspace.folder).glob("lines-for-means-*")
+    written = spark.read.parquet(str(path))
+    assert written.count() == whole.lines.count()
+    assert written.where("coalesce(Sku, categoria, cast(costo AS string), cast(Latitude AS string)) IS NOT NULL").isEmpty()
+
+
+def test_latest_interaction_holds_every_column_once(spark):
+    tables = shop_from_test_tables(spark, SF)
+    rows = redemptions(tables, RULES)
+    found = edges.latest_interactions(rows)
+    assert found.columns == ["from", "to", *[c for c in rows.columns if c not in edges.ENDS], "n_interactions"]
+    assert [found.schema[c].dataType for c in rows.columns if c not in edges.ENDS] == [
+        rows.schema[c].dataType for c in rows.columns if c not in edges.ENDS
+    ]
+    assert "max_by" not in found._jdf.queryExecution().optimizedPlan().toString()
