@@ -91,3 +91,9 @@ def test_latest_interaction_holds_every_column_once(spark):
         rows.schema[c].dataType for c in rows.columns if c not in edges.ENDS
     ]
     assert "max_by" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_influencer_profile_makes_both_sides_at_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(Campaign, "prepare", lambda self: made.append("prepare"))
+    assert QUERIES["influencer_profile"](spark, SF).count() and made == ["prepare"]
