@@ -49,7 +49,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in W.blocks(batches, "text", 4 << 20):
+        for block in W.blocks(batches, "text", W.BLOCK):
             sets, bounds = shingles(W.text_of(block.column("text"), lower=True))
             digest_a, digest_b = set_digests(sets, bounds)
             rows = sketch(sets, bounds)
@@ -304,7 +304,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = [np.diff(W.text_of(batch.column(c)).offsets) for c in ("text_u", "text_v")]
-            for lo, hi in W.ranges(sizes[0] + sizes[1], 4 << 20):
+            for lo, hi in W.ranges(sizes[0] + sizes[1], 2 * W.BLOCK):
                 part = batch.slice(lo, hi - lo)
                 keys, counts = [], []
                 for column in ("text_u", "text_v"):
@@ -341,7 +341,7 @@ def linked(rows: DataFrame, workspace: Workspace) -> DataFrame:
     known = workspace.keep(members.select("node").distinct(), "known")
     known = F.broadcast(known) if known.count() <= BROADCAST_NODES else known
     whole = rows.select(F.col("row_id").alias("node"), "n_shingles", "sketch", "text").join(known, "node")
-    texts = workspace.keep(with_columns(whole, "text", "fine binary", _fine_sketches, 4 << 20), "members")
+    texts = workspace.keep(with_columns(whole, "text", "fine binary", _fine_sketches, W.BLOCK), "members")
     spark = rows.sparkSession
     none = spark.createDataFrame([], "node long, component long")
     pairs = proposed(members, none, texts.select("node", "n_shingles", "sketch", "fine"), PROPOSED)

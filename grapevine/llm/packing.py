@@ -31,7 +31,7 @@ END_ID = 2
 SHARD_TOKENS = 1 << 21
 ROUTES, ROUTE_BITS = 3, 21  # min-hashes that shards are made by, and bits of each
 K1, B = 1.2, 0.75
-BLOCK = 32 << 20
+BLOCK = 4 << 20  # bytes of text tokenised at a time; what is done for each block is the less, the fewer there are
 COMMON = 4  # a term in over a COMMON-th of a shard's pieces has a row in its index
 REBUILT = 0.8  # share of live pieces at which used ones leave an index; changes no score
 _MARK = "`"
@@ -129,11 +129,14 @@ class Known(NamedTuple):
 
     def joined(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> Known:
         """With words that do not stand here yet, whose ids are given one after the other."""
+        if not len(hashes):
+            return self
         end = len(self.ids) + np.cumsum(sizes)
-        all_hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(all_hashes)
-        begin, end = np.concatenate([self.begin, end - sizes])[order], np.concatenate([self.end, end])[order]
-        return Known(all_hashes[order], begin, end, np.concatenate([self.ids, ids]))
+        # Only the new words are sorted: those that stand here are many, and in order.
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        own = zip((self.hashes, self.begin, self.end), (hashes, end - sizes, end), strict=True)
+        return Known(*[np.insert(old, at, new[order]) for old, new in own], np.concatenate([self.ids, ids]))
 
 
 def _taken(ids: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Leader | No
     texts = rows.groupBy("doc_id", "quality", "turn").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in W.blocks(batches, "text", 4 << 20):
+        for block in W.blocks(batches, "text", W.BLOCK):
             buckets, bounds = features(block.column("text"))
             found = [np.unique(buckets[a:b], return_counts=True) for a, b in zip(bounds, bounds[1:], strict=False)]
             rows = {
@@ -164,7 +164,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     A column named ``score`` would clash: rename it, or use ``accepted``.
     """
-    return with_columns(docs, "text", "score double", lambda texts: {"score": model.scores(texts)}, 8 << 20)
+    return with_columns(docs, "text", "score double", lambda texts: {"score": model.scores(texts)}, W.BLOCK)
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -12,6 +12,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
+#: Bytes of text that a task works on at a time. The arrays over a block take up to a hundred times as much, and what a
+#: worker process has taken once it keeps in part for the steps after it.
+BLOCK = 1 << 20
 SPACES = b" \t\n\v\f\r"
 SPACE, SYMBOL, LETTER = 0, 1, 2
 #: By byte: space or not.

@@ -5,12 +5,15 @@ from __future__ import annotations
 import tracemalloc
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from grapevine.llm import components, near_dedup, warc
+from grapevine.llm import components, near_dedup, packing, quality_classifier, quality_rules, warc
 from grapevine.llm import words as W
+from grapevine.llm.rows import with_columns
 from grapevine.llm.sketches import COORDINATES, shingles, sketch
 from grapevine.session import Workspace
 
@@ -201,3 +204,80 @@ def test_rounds_of_a_few_links_are_written_in_few_files(spark, tmp_path):
             spark.conf.set(name, value)
     rounds = [p for p in tmp_path.glob("*/stars-*")]
     assert rounds and all(len(list(p.glob("*.parquet"))) <= 8 for p in rounds)
+
+
+class Frame:
+    """Stands for a frame; ``mapInArrow`` gives the function that tasks run."""
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+
+    def select(self, *_):
+        return self
+
+    def withColumn(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+IN_TASKS = {  # MB of memory for a batch of 8 MB of text, which stands in a batch of Spark's before it comes here
+    "classifier": (40, lambda d: quality_classifier.scored(d, quality_classifier.Model(np.ones(1 << 18), 0.0))),
+    "rules": (40, lambda d: with_columns(d, "text", quality_rules.COUNTS_SCHEMA, quality_rules.text_counts, W.BLOCK)),
+    "sketches": (40, near_dedup.sketched),
+    "tokens": (100, lambda d: packing.tokenised(d, public_tokenizers.path("word_bpe_49k.json"))),
+}
+
+
+@pytest.mark.parametrize("step", IN_TASKS)
+def test_a_task_works_on_a_part_of_a_large_batch(spark, step):
+    """An executor's workers did with whole batches, and kept the memory for the steps after it."""
+    rng = np.random.default_rng(8)
+    words = np.array(["".join(chr(97 + x) for x in rng.integers(0, 26, 5)) for _ in range(5000)])
+    texts = [" ".join(words[rng.integers(0, len(words), 340)]) for _ in range(4000)]
+    ids = pa.array(range(len(texts)))
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], names=["row_id", "doc_id", "text"])
+    most, made = IN_TASKS[step]
+    run = made(Frame())
+    list(run(iter([batch.slice(0, 50)])))  # what a worker process has once
+    tracemalloc.start()
+    try:
+        found = sum(len(b) for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == len(texts) and peak < most * 1e6
+
+
+def test_known_words_stay_in_order():
+    rng = np.random.default_rng(3)
+    known = packing.Known(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16))
+    hashes = rng.permutation(np.unique(rng.integers(0, 1 << 60, 500).astype(np.uint64)))
+    ids = [rng.integers(0, 9000, rng.integers(0, 4)).astype(np.uint16) for _ in hashes]
+    for lo, hi in ((0, 200), (200, 200), (200, 201), (201, len(hashes))):
+        sizes = np.array([len(x) for x in ids[lo:hi]], np.int64)
+        known = known.joined(hashes[lo:hi], sizes, np.concatenate([np.zeros(0, np.uint16), *ids[lo:hi]]))
+    at = known.places(hashes)
+    assert (np.diff(known.hashes) > 0).all() and (at >= 0).all()
+    assert all((known.ids[known.begin[i] : known.end[i]] == x).all() for i, x in zip(at, ids, strict=True))
+    assert known.places(np.array([1, 2], np.uint64)).tolist() == [-1, -1]
+
+
+def test_a_step_of_the_estimates_takes_bins_in_any_order():
+    """The bins of a group come in one row, so a task needs no pages for sorts and windows over a handful of rows."""
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(400, quality_rules.SIZE))
+    bins = np.sort(rng.integers(-9, 40, 400))
+    of_bin = [rows[bins == b] for b in np.unique(bins)]
+    made = [
+        {"bin": int(b), "n": len(r), "sums": [*r.sum(0), *[(r[:, i] * r[:, j]).sum() for i, j in quality_rules.PAIRS]]}
+        for b, r in zip(np.unique(bins), of_bin, strict=True)
+    ]
+    group = {"level": 0, "lang_key": "=en", "source_key": "null", "start": 1}
+    batch = pa.RecordBatch.from_pylist([group | {"bins": made}, group | {"bins": [made[i] for i in rng.permutation(len(made))]}])
+    before = np.cumsum([len(r) for r in of_bin]) - [len(r) for r in of_bin]
+    near = np.concatenate([r for r, n in zip(of_bin, before, strict=True) if n < quality_rules.COVERED * 400])
+    for found in next(quality_rules._concentrated(iter([batch]))).to_pylist():
+        assert found["rows"] == 400 and np.allclose(found["centre"], near.mean(0))
+        cov = np.cov(near.T, bias=True) * quality_rules._consistency(quality_rules.COVERED, quality_rules.SIZE)
+        assert np.allclose(quality_rules._moments(found)[1], cov + np.diag(quality_rules.LEAST_SPREAD**2))
