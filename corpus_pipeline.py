@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from grapevine.llm import near_dedup, quality_classifier, quality_rules
-from grapevine.llm.queries import packed_pieces, quality_model, workspace
+from grapevine.llm.queries import packed_pieces, quality_model, text_workspace
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,12 +25,12 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def rule(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail no fixed rule and are no outliers of their language and source."""
-    return quality_rules.drop_rejected(docs, workspace(spark))
+    return quality_rules.drop_rejected(docs, text_workspace(spark))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return near_dedup.drop_duplicates(docs, workspace(spark))
+    return near_dedup.drop_duplicates(docs, text_workspace(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ ORACLE_SQL = None  # the classifier is trained and the outliers are estimated st
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    tables = workspace(spark)
+    tables = text_workspace(spark)
     for name, stage in STAGES:
         docs = tables.keep(stage(spark, docs, sf_dir), name)
     return docs

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from grapevine.llm import words as W
 from grapevine.llm.components import components
-from grapevine.llm.rows import numbered, with_columns
+from grapevine.llm.rows import in_arrow, numbered, with_columns
 from grapevine.llm.sketches import COORDINATES, band_keys, set_digests, shingles, sketch
 from grapevine.operators.skew import Probe, balanced_join
 from grapevine.session import Workspace
@@ -67,7 +67,8 @@ def sketched(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*block.columns, *made.values()], names=[*block.schema.names, *made])
 
     rows = numbered(docs.select("doc_id", "text")).select("row_id", "doc_id", "text")
-    return rows.mapInArrow(
+    return in_arrow(
+        rows,
         run,
         f"row_id long, doc_id {kind}, text string, n_shingles long, digest_a long, digest_b long, "
         "sketch binary, bands array<long>",
@@ -230,7 +231,7 @@ def _mixed(members: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFra
 
 def proposed(members: DataFrame, found: DataFrame, sketches: DataFrame, most: int | None) -> DataFrame:
     """Pairs ``u < v`` that members of a bucket propose across components."""
-    return _dealt(_mixed(members, found, sketches)).mapInArrow(_proposals(most), "u long, v long").distinct()
+    return in_arrow(_dealt(_mixed(members, found, sketches)), _proposals(most), "u long, v long").distinct()
 
 
 def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,11 +292,11 @@ def joining(members: DataFrame, found: DataFrame, texts: DataFrame, workspace: W
     """
     mixed = _mixed(members, found, texts.select("node", "n_shingles", "sketch", "fine"))
     kinds = "key long, band int, node long, comp long, n_shingles long"
-    left = workspace.keep(_dealt(mixed).mapInArrow(_with_partner, kinds).distinct(), "partners")
+    left = workspace.keep(in_arrow(_dealt(mixed), _with_partner, kinds).distinct(), "partners")
     blocks = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)
     sizes = left.groupBy("key").agg(F.ceil(blocks).cast("int").alias("blocks"))
     rows = left.join(sizes, "key").join(texts.select("node", "sketch", "fine", "text"), "node")
-    return _dealt(rows).mapInArrow(_joining, "u long, v long").distinct()
+    return in_arrow(_dealt(rows), _joining, "u long, v long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -323,7 +324,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     # A text that is like very many others stands in as many pairs.
     ends = Probe(pairs, ["u"], ["v"])
     both = balanced_join(balanced_join(pairs, of("u"), ["u"], ["v"], ends), of("v"), ["v"], ["u"], ends)
-    return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+    return in_arrow(both.select("u", "v", "text_u", "text_v"), run, "u long, v long")
 
 
 def _fine_sketches(texts: pa.Array) -> dict[str, pa.Array]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grapevine.llm import words as W
-from grapevine.llm.rows import numbered
+from grapevine.llm.rows import in_arrow, numbered
 from grapevine.session import Workspace
 
 WINDOW = 4096
@@ -244,7 +244,8 @@ class Tokens:
 
 @cache
 def tokens_of(path: str) -> Tokens:
-    """One per worker process, so that a task knows the words of those before it."""
+    """One per worker process, so that a task knows the words of those before it. It takes some 100 MB: clear
+    the cache in the step after."""
     return Tokens(path)
 
 
@@ -268,8 +269,8 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
             )
 
     rows = numbered(docs.select("doc_id", "text"))
-    return rows.select("row_id", "doc_id", "text").mapInArrow(
-        run, f"row_id long, doc_id {kind}, ids binary, doc_tokens long"
+    return in_arrow(
+        rows.select("row_id", "doc_id", "text"), run, f"row_id long, doc_id {kind}, ids binary, doc_tokens long"
     )
 
 
@@ -281,11 +282,15 @@ def _flat(batch: pa.RecordBatch, kind: np.dtype) -> tuple[np.ndarray, np.ndarray
 
 
 def document_frequencies(tokens: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
-    """In how many documents each id occurs: each task counts, and a row per id comes together."""
+    """In how many documents each id occurs: each task counts, and a row per id comes together.
+
+    All is tokenised by then, so a worker process lets its tokenizer and the words it knows go.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pandas as pd
 
+        tokens_of.cache_clear()
         found = np.zeros(size, np.int64)
         for batch in batches:
             ids, bounds = _flat(batch, kind)
@@ -296,7 +301,8 @@ def document_frequencies(tokens: DataFrame, kind: np.dtype, size: int) -> np.nda
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["id", "n"])
 
-    table = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counted = in_arrow(tokens.select("ids"), run, "id long, n long")
+    table = counted.groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size, np.int64)
     out[table["id"].to_numpy()] = table["n"].to_numpy()
     return out
@@ -487,6 +493,7 @@ def packed(docs: DataFrame, tokenizer: str, workspace: Workspace) -> DataFrame:
     places = turns(idf)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens_of.cache_clear()
         for batch in batches:
             if len(batch):
                 route = routes(*_flat(batch, kind), places)
@@ -539,8 +546,10 @@ def packed(docs: DataFrame, tokenizer: str, workspace: Workspace) -> DataFrame:
         "sequence_id long, offset long"
     )
     # By range of (route, row): equal routes, however many, spread over tasks.
-    routable = tokens.select("row_id", "doc_id", "ids").mapInArrow(
-        routed, f"row_id long, doc_id {doc_kind.simpleString()}, ids binary, route long"
+    routable = in_arrow(
+        tokens.select("row_id", "doc_id", "ids"),
+        routed,
+        f"row_id long, doc_id {doc_kind.simpleString()}, ids binary, route long",
     )
     dealt = routable.repartitionByRange("route", "row_id").sortWithinPartitions("route", "row_id")
-    return dealt.select("doc_id", "ids").mapInArrow(run, schema)
+    return in_arrow(dealt.select("doc_id", "ids"), run, schema)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grapevine.llm import words as W
-from grapevine.llm.rows import with_columns
+from grapevine.llm.rows import in_arrow, with_columns
 
 BITS = 18
 SAMPLE = 8000  # labelled documents that the model is fitted on, in expectation
@@ -146,13 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Leader | No
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(values)], names=["at", "weight"])
 
     kind = labels.schema["quality"].dataType.simpleString()
-    trained = (
-        texts.mapInArrow(sparse, f"quality {kind}, turn long, at array<int>, times array<int>")
-        .repartition(1)
-        .sortWithinPartitions("turn", "quality", "at")
-        .mapInArrow(learned, "at long, weight double")
-        .toArrow()  # at most a number per bucket
-    )
+    counted = in_arrow(texts, sparse, f"quality {kind}, turn long, at array<int>, times array<int>")
+    in_turn = counted.repartition(1).sortWithinPartitions("turn", "quality", "at")
+    trained = in_arrow(in_turn, learned, "at long, weight double").toArrow()  # at most a number per bucket
     at, values = trained["at"].to_numpy(), trained["weight"].to_numpy()
     model = Model(np.zeros(1 << BITS), float(values[at < 0].sum()))
     model.weights[at[at >= 0]] = values[at >= 0]
@@ -168,6 +164,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score the threshold or more, with all their columns. Rows that repeat stay or go together."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return scored(docs.select(whole, "text"), model).where(F.col("score") >= threshold).select("row.*")
+    """The documents that score the threshold or more, with all their columns. Rows that repeat stay or go together.
+
+    A text is handed to Python once, not also within the whole row.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]
+    row = F.struct(*others or [F.lit(0)]).alias("_row")
+    kept = scored(docs.select(row, "text"), model).where(F.col("score") >= threshold)
+    return kept.select(*[F.col("text").alias(c) if c.lower() == "text" else F.col(f"_row.`{c}`") for c in docs.columns])

@@ -25,7 +25,7 @@ from grapevine.llm import (
     warc,
 )
 from grapevine.llm.rows import remainder
-from grapevine.session import Workspace, use_trial_folder
+from grapevine.session import Workspace, use_small_batches, use_trial_folder
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -40,13 +40,19 @@ def workspace(spark: SparkSession) -> Workspace:
     return Workspace(spark)
 
 
+def text_workspace(spark: SparkSession) -> Workspace:
+    """For the operators that the pipeline is made of, which hand whole texts to Python again and again."""
+    use_small_batches(spark)
+    return workspace(spark)
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder("doc_id", 7) == 2
     return hmm.scored(_table(spark, sf_dir, "documents"), held_out, workspace(spark))
 
 
 def packed_pieces(docs: DataFrame) -> DataFrame:
-    pieces = packing.packed(docs, public_tokenizers.path(WORD_TOKENIZER), workspace(docs.sparkSession))
+    pieces = packing.packed(docs, public_tokenizers.path(WORD_TOKENIZER), text_workspace(docs.sparkSession))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
@@ -74,7 +80,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept"]
-    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), workspace(spark)).select(*columns)
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), text_workspace(spark)).select(*columns)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +88,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_model(docs: DataFrame, sf_dir: str) -> quality_classifier.Model:
+    use_small_batches(docs.sparkSession)
     labels = _table(docs.sparkSession, sf_dir, "labels")
     return quality_classifier.fit(docs, labels, remainder("doc_id", 4) != 2)
 
@@ -96,7 +103,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), workspace(spark))
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), text_workspace(spark))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
+import subprocess
+import sys
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grapevine.llm import components, near_dedup, packing, quality_classifier, quality_rules, warc
+from grapevine import session
+from grapevine.llm import components, near_dedup, packing, quality_classifier, quality_rules, queries, rows, warc
 from grapevine.llm import words as W
 from grapevine.llm.rows import with_columns
 from grapevine.llm.sketches import COORDINATES, shingles, sketch
@@ -281,3 +287,73 @@ def test_a_step_of_the_estimates_takes_bins_in_any_order():
         assert found["rows"] == 400 and np.allclose(found["centre"], near.mean(0))
         cov = np.cov(near.T, bias=True) * quality_rules._consistency(quality_rules.COVERED, quality_rules.SIZE)
         assert np.allclose(quality_rules._moments(found)[1], cov + np.diag(quality_rules.LEAST_SPREAD**2))
+
+
+def kept_after(run):
+    """MB that this process has more after a task over 8 MB of text than after one over little."""
+
+    def own():
+        found = re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())
+        return sum(map(int, found)) / 1024
+
+    rng = np.random.default_rng(8)
+    words = np.array(["".join(chr(97 + x) for x in rng.integers(0, 26, 5)) for _ in range(5000)])
+    texts = pa.array([" ".join(words[rng.integers(0, len(words), 340)]) for _ in range(4000)])
+    ids = pa.array(range(len(texts)))
+    batch = pa.RecordBatch.from_arrays([ids, ids, texts], names=["row_id", "doc_id", "text"])
+    sum(len(b) for b in run(iter([batch.slice(0, 50)])))
+    rows.give_back()
+    before = own()
+    sum(len(b) for b in run(iter([batch])))
+    return own() - before
+
+
+@pytest.mark.parametrize("step", IN_TASKS)
+def test_a_worker_gives_back_what_a_task_took(spark, step):
+    """Worker processes kept it while other steps ran, which counts as their executor's memory."""
+    code = "import pickle, sys; from tests.llm import test_bounds as t; print(t.kept_after(pickle.load(sys.stdin.buffer)))"
+    run = cloudpickle.dumps(IN_TASKS[step][1](Frame()))
+    told = subprocess.run([sys.executable, "-c", code], input=run, capture_output=True, check=True, cwd=Path(__file__).parents[2])
+    assert float(told.stdout) < 6
+
+
+def test_the_tokenizer_goes_when_all_is_tokenised(monkeypatch):
+    class Done(Exception):
+        pass
+
+    def in_task(_, run, __):
+        batch = pa.RecordBatch.from_arrays([pa.array([np.array([7, 2], "<u2").tobytes()])], names=["ids"])
+        assert sum(len(b) for b in run(iter([batch]))) == 2
+        raise Done
+
+    packing.tokens_of(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(packing, "in_arrow", in_task)
+    with pytest.raises(Done):
+        packing.document_frequencies(Frame(), np.dtype("<u2"), 10)
+    assert packing.tokens_of.cache_info().currsize == 0
+
+
+def test_the_classifier_gets_a_text_once(spark, monkeypatch):
+    """It got the whole row beside the text; every column stays, of any name, in its order."""
+    given, real = [], quality_classifier.scored
+    monkeypatch.setattr(quality_classifier, "scored", lambda docs, model: real(given.append(docs) or docs, model))
+    docs = spark.createDataFrame([(1, "ab", 0.1, 5), (2, None, 0.2, 6)], "`a.b` int, Text string, score double, `row` int")
+    model = quality_classifier.Model(np.zeros(1 << 18), 3.0)
+    kept = quality_classifier.accepted(docs, model)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect()))
+    assert [f.name for f in given[0].schema["_row"].dataType] == ["a.b", "score", "row"]
+    alone = quality_classifier.accepted(docs.select("Text"), model)
+    assert alone.columns == ["Text"] and alone.count() == 2
+
+
+def test_texts_go_to_python_a_thousand_at_a_time(spark):
+    before = spark.conf.get(session.ARROW_ROWS)
+    try:
+        for given, used in (("10000", 1000), ("0", 1000), ("300", 300)):
+            spark.conf.set(session.ARROW_ROWS, given)
+            queries.text_workspace(spark)
+            sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches)
+            assert spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] == used
+    finally:
+        spark.conf.set(session.ARROW_ROWS, before)
